@@ -77,15 +77,7 @@ def word_fingerprints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     solid[1:-1] = ~SPACE[data]
     edge = np.diff(solid)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    out = np.empty(len(start), dtype=np.uint64)
-    i = 0
-    while i < len(start):  # pieces that end at a word's end keep the power tables small
-        j = max(i + 1, int(np.searchsorted(end, start[i] + PIECE, side="right")))
-        lo, hi = start[i], end[j - 1]
-        p = prefix_sums(data[lo:hi], folded=True)
-        out[i:j] = span_fingerprints(p, start[i:j] - lo, end[i:j] - lo)
-        i = j
-    return start, end, out
+    return start, end, span_table(data, start, end, folded=True)
 
 
 _STEP = np.array([pow(0xC2B2AE3D27D4EB4F, k + 1, 1 << 64) for k in range(5)], dtype=np.uint64)
@@ -154,3 +146,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_
 
 def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8) if data else np.zeros(0, np.uint8)
+
+
+def span_table(data: np.ndarray, start: np.ndarray, end: np.ndarray, folded: bool = False) -> np.ndarray:
+    """Fingerprints of many spans in ascending order that don't overlap, computed in small pieces."""
+    out = np.empty(len(start), dtype=np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + PIECE, side="right")))
+        lo, hi = start[i], end[j - 1]
+        out[i:j] = span_fingerprints(prefix_sums(data[lo:hi], folded), start[i:j] - lo, end[i:j] - lo)
+        i = j
+    return out
