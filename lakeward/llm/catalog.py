@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secretscan, tokenfiles, urlfilter
+from . import mixing, secretscan, tiff, tokenfiles, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": secretscan.op2_secret_scan,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op6_tiff_media": tiff.op6_tiff_media,
     "op7_token_files": tokenfiles.op7_token_files,
     "op10_url_filter": urlfilter.op10_url_filter,
 }
