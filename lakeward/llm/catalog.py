@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secretscan, tiff, tokenfiles, urlfilter
+from . import mixing, secretscan, suffixdedup, tiff, tokenfiles, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": secretscan.op2_secret_scan,
+    "op3_suffix_dedup": suffixdedup.op3_suffix_dedup,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op6_tiff_media": tiff.op6_tiff_media,
     "op7_token_files": tokenfiles.op7_token_files,
@@ -17,5 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_suffix_dedup": suffixdedup.op3_suffix_dedup,
     "op4_mix_sources": mixing.oracle(),
 }
