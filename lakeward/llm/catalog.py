@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secretscan, suffixdedup, tiff, tokenfiles, urlfilter
+from . import jaccardjoin, mixing, secretscan, suffixdedup, tiff, tokenfiles, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": secretscan.op2_secret_scan,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": mixing.op4_mix_sources,
     "op6_tiff_media": tiff.op6_tiff_media,
     "op7_token_files": tokenfiles.op7_token_files,
+    "op9_jaccard_join": jaccardjoin.op9_jaccard_join,
     "op10_url_filter": urlfilter.op10_url_filter,
 }
 
