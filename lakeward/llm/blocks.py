@@ -158,3 +158,19 @@ def span_table(data: np.ndarray, start: np.ndarray, end: np.ndarray, folded: boo
         out[i:j] = span_fingerprints(prefix_sums(data[lo:hi], folded), start[i:j] - lo, end[i:j] - lo)
         i = j
     return out
+
+
+def batch_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the words of many texts, and the index of each one's text."""
+    data = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
+    start, _, words = word_fingerprints(data)
+    begin = np.cumsum(np.array([0] + [len(t) + 1 for t in texts[:-1]], dtype=np.int64)) if texts else np.zeros(0, np.int64)
+    return words, np.searchsorted(begin, start, side="right") - 1
+
+
+def batch_ngrams(words: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of runs of n words that stay within a text, and the place of each run's first word."""
+    if len(words) < n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    at = np.flatnonzero(owner[: len(owner) - n + 1] == owner[n - 1 :])
+    return shingle_fingerprints(words, n)[at], at
