@@ -7,8 +7,8 @@ ASCII white space, A-Z lower-cased); two link when 100 * |intersection| >=
 * Equal sets are one class, held by its smallest doc_id.
 * Light sets (size up to a boundary): a pair of sizes s, t needs c = ceil(3/7 *
   (s + t)) common shingles, so each light set lists its c-subsets for every
-  partner size; sets with a common subset of their size pair are linked, by a
-  star to the smallest, without counting anything.
+  partner size; sets of the two sizes with a common subset are linked, by a
+  star to the smallest of the other size, without counting anything.
 * Heavy pairs: shingles are ordered by how many texts hold them, rarest first;
   linked sets share one of the first s - ceil(0.75 s) + 1.  Each such inverted
   list gives its members to the group of its largest set.  A group first scans
@@ -200,12 +200,16 @@ def light_edges(heavy: DataFrame, most: int) -> DataFrame:
                     c = needed(n, t)
                     if c <= min(n, t, len(mine)):
                         head = b"%d,%d:" % (min(n, t), max(n, t))
-                        out += [(hashlib.blake2b(head + b"".join(some), digest_size=16).digest(), node) for some in combinations(mine, c)]
-            yield pd.DataFrame(out, columns=["key", "node"])
+                        side = (n > t) - (n < t)
+                        out += [(hashlib.blake2b(head + b"".join(some), digest_size=16).digest(), node, side) for some in combinations(mine, c)]
+            yield pd.DataFrame(out, columns=["key", "node", "side"])
 
-    keys = heavy.where(F.col("n") <= most).select("node", "n", "held").mapInPandas(run, "key binary, node long")
-    heads = keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("m")).where("m > 1")
-    return keys.join(heads, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    keys = heavy.where(F.col("n") <= most).select("node", "n", "held").mapInPandas(run, "key binary, node long, side int")
+    # A subset proves a link only between sets of its two sizes, so each side's star has the other side's smallest.
+    first = lambda side: F.min(F.when(F.col("side") == side, F.col("node")))
+    heads = keys.groupBy("key").agg(first(-1).alias("less"), first(0).alias("same"), first(1).alias("more"))
+    other = F.when(F.col("side") == -1, F.col("more")).when(F.col("side") == 1, F.col("less")).otherwise(F.col("same"))
+    return keys.join(heads, "key").select(other.alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
 
 
 def groups(heavy: DataFrame, most: int) -> DataFrame:
@@ -321,5 +325,17 @@ def join_components(docs: DataFrame) -> DataFrame:
     return out.select(real("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(real("smallest"), real("doc")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The row of the smallest doc_id of each component, with all columns.
+
+    Rows with equal doc_id and text count once; a component without any doc_id keeps one row of each text.
+    """
+    ws = Workspace(docs.sparkSession, "distinct")
+    found = ws.save(join_components(docs), "components").where("doc_id <=> component_id")
+    heads = found.groupBy(F.col("doc_id").alias("head")).agg(F.count("*").alias("rows"))
+    kept = docs.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("head")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]) if heads.where("rows > 1").limit(1).count() else kept
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents"))
