@@ -177,31 +177,33 @@ def item_parts(benchmark: DataFrame, part_items: int = PART_ITEMS) -> Iterator[t
         yield mine, max(len(mine), -(-n // parts))
 
 
+def _leaky(texts: list[bytes], items: Items) -> Iterator[tuple[int, list[tuple[int, int, int, int, float]]]]:
+    """Index and leaks of each text that holds an item."""
+    at = 0
+    while at < len(texts) and len(items.ids):
+        stop, held = at, 0
+        while stop < len(texts) and held < BATCH_BYTES:
+            held += len(texts[stop])
+            stop += 1
+        words, owner = batch_words(texts[at:stop])
+        bounds = np.searchsorted(owner, np.arange(stop - at + 1))
+        for i in _candidates(words, owner, stop - at, items):
+            if found := leaks_of(words[bounds[i] : bounds[i + 1]], items):
+                yield at + i, found
+        at = stop
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row per document and item that it holds: where, how many words, Hamming distance and similarity."""
-    spark = docs.sparkSession
     out = None
     for rows, n in item_parts(benchmark):
-        shared = spark.sparkContext.broadcast(index_items(rows, n))
+        shared = docs.sparkSession.sparkContext.broadcast(index_items(rows, n))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
             kinds = [pa.int64()] * 4 + [pa.int32(), pa.float64()]
             for batch in batches:
-                found = []
-                if len(items.ids):
-                    ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-                    at = 0
-                    while at < len(texts):
-                        stop, held = at, 0
-                        while stop < len(texts) and held < BATCH_BYTES:
-                            held += len(texts[stop])
-                            stop += 1
-                        words, owner = batch_words(texts[at:stop])
-                        bounds = np.searchsorted(owner, np.arange(stop - at + 1))
-                        for i in _candidates(words, owner, stop - at, items):
-                            found += [(ids[at + i], *leak) for leak in leaks_of(words[bounds[i] : bounds[i + 1]], items)]
-                        at = stop
+                ids = batch.column(0)
+                found = [(ids[i].as_py(), *leak) for i, leaks in _leaky(texts_of(batch.column(1)), shared.value) for leak in leaks]
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in LEAKS.split(", ")])
 
         part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, LEAKS)
@@ -220,9 +222,19 @@ def _candidates(words: np.ndarray, owner: np.ndarray, n: int, items: Items) -> l
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` that hold no benchmark item; a null doc_id is kept."""
-    leaked = find_leaks(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"].cast("long") == F.col("leaked"), "left_anti")
+    """The rows of `docs`, with all their columns, that hold no benchmark item."""
+    place = docs.columns.index("text")
+    for rows, n in item_parts(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(index_items(rows, n))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                stay = np.ones(batch.num_rows, dtype=bool)
+                stay[[i for i, _ in _leaky(texts_of(batch.column(place)), shared.value)]] = False
+                yield batch.filter(pa.array(stay))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,17 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2,
     return pieces.join(reads, ["nth", "block"], "left").groupBy("doc_id", "source", "nth", "at", "size", "source_size", "target").agg(taken.alias("taken"))
 
 
+def take(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
+    """The rows of `docs` as often as the mix takes their words, to the nearest whole copy (rows of equal doc_id alike)."""
+    taken = mix(spark, docs, weights, max_epochs).groupBy(F.col("doc_id").alias("taken_id")).agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
+    copies = taken.select("taken_id", F.floor(F.col("t") / F.greatest(F.col("s"), F.lit(1)) + 0.5).cast("int").alias("taken_copies")).where("taken_copies > 0")
+    names = docs.columns
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(names))])  # so that no name clashes
+    key = F.col(f"c{names.index('doc_id')}").cast("long")
+    out = numbered.join(copies, key.eqNullSafe(F.col("taken_id")))
+    return out.withColumn("taken_copy", F.explode(F.sequence(F.lit(1), F.col("taken_copies")))).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark, table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

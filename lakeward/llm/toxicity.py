@@ -207,9 +207,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return ids.mapInArrow(run, "doc_id long, " + ", ".join(f"p_{c} double" for c in CHAIN) + ", rejected boolean")
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that the chain doesn't reject, with all their columns."""
-    chain = train(docs, labels)
+def keep_clean(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """The rows of `docs` that the chain doesn't reject, with all their columns; `labelled` holds the labelled texts."""
+    chain = train(docs if labelled is None else labelled, labels)
     if chain is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(chain)
