@@ -141,8 +141,8 @@ def region_costs(tables: DataFrame) -> DataFrame:
     outputs = F.greatest(F.lit(1), F.floor(F.col("data_gb") / OUT_GB))
     compact = F.bround(F.col("data_gb") * COMPUTE_GB + F.col("files") / 1000 * GET_1K + outputs / 1000 * PUT_1K, 4)
     ship = F.bround(F.col("data_gb") * SHIP_GB + outputs / 1000 * PUT_1K, 4)
-    out = tables.select("tbl", F.round(compact * 2, 4).alias("both"), F.round(compact + ship, 4).alias("shipped"), compact.alias("one"))
-    return out.withColumn("winner", F.when(F.col("both") < F.col("shipped"), "compact both").otherwise("compact+ship"))
+    out = tables.select("tbl", F.round(compact * 2, 4).alias("both_regions"), F.round(compact + ship, 4).alias("shipped"), compact.alias("one_region"))
+    return out.withColumn("winner", F.when(F.col("both_regions") < F.col("shipped"), "compact both").otherwise("compact+ship"))
 
 
 def due_tables(registry: DataFrame, now: Column, most: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import commits as cm
@@ -16,10 +16,13 @@ from .fixtures import NOW, RUNS, VF, accesses, commits, data_files, read, runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-NOW_COL = F.lit(NOW).cast("timestamp_ntz")
 NOW_SQL = f"timestamp '{NOW}'"
 
 
+def now() -> Column:
+    return F.lit(NOW).cast("timestamp_ntz")
+
+
 def query(sql: str):
     """Register a query under its function's name with the SQL it is checked against."""
 
@@ -266,13 +269,13 @@ _RATES = "select {key} as tbl, count(*) filter (where not own and ts > now - int
 
 @query(f"select *, {_CLS} as class from ({_RATES.format(key='user_id')}) q")
 def mnt_classify_tables(spark, d):
-    return cm.commit_rates(commits(spark, d), NOW_COL, ["tbl"]).withColumn("class", cm.workload_class())
+    return cm.commit_rates(commits(spark, d), now(), ["tbl"]).withColumn("class", cm.workload_class())
 
 
 @query(f"select *, {_CLS} as class from ({_RATES.format(key='event_type')}) q")
 def mnt_classify_streams(spark, d):
     c = read(spark, d, "events").select(F.col("event_type").alias("tbl"), "ts", (F.col("event_type") == "error").alias("own"))
-    return cm.commit_rates(c, NOW_COL, ["tbl"]).withColumn("class", cm.workload_class())
+    return cm.commit_rates(c, now(), ["tbl"]).withColumn("class", cm.workload_class())
 
 
 _PLANS = "(values " + ", ".join(f"('{c[0]}', '{c[8]}', {c[9]}, {c[11]}, {c[2]}, {c[14]})" for c in cm.CLASSES) + ") p(class, mode, keep_last, target_mib, small_trigger, next_min)"
@@ -341,7 +344,7 @@ def win_anchor(spark, d):
 
 @query(f"with s as (select event_id as snapshot_id, user_id as tbl, ts from events where ts <= {NOW_SQL}), r as (select *, row_number() over (partition by tbl order by ts desc, snapshot_id desc) as rn from s) select tbl, count(*) as total, count(*) filter (where rn > 5 and ts < {NOW_SQL} - interval 168 hour) as expired from r group by tbl")
 def mnt_expire_retention(spark, d):
-    s = cm.expirable(commits(spark, d).where(F.col("ts") <= NOW_COL), NOW_COL, 5, 168)
+    s = cm.expirable(commits(spark, d).where(F.col("ts") <= now()), now(), 5, 168)
     return s.groupBy("tbl").agg(F.count("*").alias("total"), F.count_if(F.col("expires")).alias("expired"))
 
 
@@ -398,12 +401,12 @@ _FIRE = f"commits_since >= 50 as by_commits, small_files >= 500 as by_files, las
 
 @query(f"with s as ({_STATE}), t as (select tbl, {_FIRE} from s) select *, by_commits or by_files or by_time or by_size as fired from t")
 def mnt_triggers(spark, d):
-    return dc.triggers(_states(spark, d), NOW_COL).select("tbl", "by_commits", "by_files", "by_time", "by_size", "fired")
+    return dc.triggers(_states(spark, d), now()).select("tbl", "by_commits", "by_files", "by_time", "by_size", "fired")
 
 
 @query(f"with s as ({_STATE}) select tbl, round(least(small_files / 1000.0, 5.0) * 25 + least(commits_since / 100.0, 5.0) * 20 + case when last_compaction is null then 75.0 else least(date_diff('second', last_compaction, {NOW_SQL}) / 3600.0 / 24, 5.0) * 15 end + least(uncompacted_bytes / 1073741824.0, 10.0) * 10 + (1.0 - health_score) * 30 + boost, 6) as priority from s")
 def mnt_schedule_priority(spark, d):
-    return _states(spark, d).select("tbl", F.round(dc.schedule_priority(NOW_COL), 6).alias("priority"))
+    return _states(spark, d).select("tbl", F.round(dc.schedule_priority(now()), 6).alias("priority"))
 
 
 @query("select event_id, (hour(ts) * 60 + minute(ts)) >= 1320 or (hour(ts) * 60 + minute(ts)) <= 240 as open from events")
@@ -413,7 +416,7 @@ def mnt_maintenance_window(spark, d):
 
 @query(f"with s as ({_STATE}) select tbl, last_compaction as next_at from s where last_compaction <= {NOW_SQL} order by last_compaction, tbl limit 25")
 def srt_due_tables(spark, d):
-    return dc.due_tables(_states(spark, d).select("tbl", F.col("last_compaction").alias("next_at")), NOW_COL, 25)
+    return dc.due_tables(_states(spark, d).select("tbl", F.col("last_compaction").alias("next_at")), now(), 25)
 
 
 _AGE = f"(epoch({NOW_SQL}) - epoch(ts))"
@@ -425,18 +428,18 @@ h as (select g.tbl, total, clients, last_access, d1, d6, d24, ema, least(1.0, 0.
 
 @query(_HEAT + " select tbl, total, clients, last_access, round(d1, 6) as d1, round(d6, 6) as d6, round(d24, 6) as d24 from h")
 def agg_access_stats(spark, d):
-    a = dc.access_stats(accesses(spark, d), NOW_COL)
+    a = dc.access_stats(accesses(spark, d), now())
     return a.select("tbl", "total", "clients", "last_access", *[F.round(f"decayed_{h}h", 6).alias(f"d{h}") for h in (1, 6, 24)])
 
 
 @query(_HEAT + " select tbl, round(ema, 6) as ema from h where ema is not null")
 def agg_latency_ema(spark, d):
-    return dc.latency_ema(accesses(spark, d).where(F.col("ts") <= NOW_COL)).select("tbl", F.round("ema", 6).alias("ema"))
+    return dc.latency_ema(accesses(spark, d).where(F.col("ts") <= now())).select("tbl", F.round("ema", 6).alias("ema"))
 
 
 @query(_HEAT + " select tbl, round(heat, 4) as heat, tier, round_even(least(100.0, case tier when 'hot' then 60.0 + heat * 40.0 when 'warm' then heat * 30.0 else 0.0 end), 2) as boost from h")
 def mnt_heat(spark, d):
-    return dc.heat(accesses(spark, d), NOW_COL, hot_qph=2.0, warm_qph=0.5)
+    return dc.heat(accesses(spark, d), now(), hot_qph=2.0, warm_qph=0.5)
 
 
 _TIER = "select c_custkey as tbl, case c_custkey % 3 when 0 then 'hot' when 1 then 'warm' else 'cold' end as tier, (array[0.7, 0.85, 1.0, 1.5, 2.0])[cast(c_custkey % 5 as integer) + 1] as feedback from customer"
@@ -483,6 +486,6 @@ def mnt_partition_recommendations(spark, d):
     return dc.partition_recommendations(g.withColumn("total_bytes", F.when(F.col("part") == 9, 0).otherwise(F.col("total_bytes"))))
 
 
-@query(f"with t as (select s_suppkey as tbl, cast(s_suppkey as double) * 0.37 as gb, s_suppkey * 100 as files from supplier), c as (select *, greatest(1, floor(gb / 0.128)) as o from t), k as (select tbl, round_even(gb * 0.001 + files / 1000.0 * 0.0004 + o / 1000 * 0.005, 4) as one, round_even(gb * 0.02 + o / 1000 * 0.005, 4) as ship from c) select tbl, round(one * 2, 4) as both, round(one + ship, 4) as shipped, one, case when round(one * 2, 4) < round(one + ship, 4) then 'compact both' else 'compact+ship' end as winner from k")
+@query(f"with t as (select s_suppkey as tbl, cast(s_suppkey as double) * 0.37 as gb, s_suppkey * 100 as files from supplier), c as (select *, greatest(1, floor(gb / 0.128)) as o from t), k as (select tbl, round_even(gb * 0.001 + files / 1000.0 * 0.0004 + o / 1000 * 0.005, 4) as one, round_even(gb * 0.02 + o / 1000 * 0.005, 4) as ship from c) select tbl, round(one * 2, 4) as both_regions, round(one + ship, 4) as shipped, one as one_region, case when round(one * 2, 4) < round(one + ship, 4) then 'compact both' else 'compact+ship' end as winner from k")
 def mnt_region_costs(spark, d):
     return dc.region_costs(read(spark, d, "supplier").select(F.col("s_suppkey").alias("tbl"), (F.col("s_suppkey").cast("double") * 0.37).alias("data_gb"), (F.col("s_suppkey") * 100).alias("files")))
