@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.layout import z_key
 from ..operators import commits as cm
 from ..operators import files as fl
 from ..operators import verify as vf
@@ -65,7 +66,7 @@ def _plan(table: Table, partition: dict[str, str] | None = None) -> list[dict]:
     return [r.asDict() for r in entries.orderBy("path").collect()]
 
 
-def rewrite(wh: Warehouse, ident: Ident, choose, operation: str, dry_run: bool = False, target: int = TARGET, sort: list[str] | None = None, attempts: int = 15) -> Result:
+def rewrite(wh: Warehouse, ident: Ident, choose, operation: str, dry_run: bool = False, target: int = TARGET, sort: list[str] | None = None, zorder: list[str] | None = None, attempts: int = 15) -> Result:
     """Replace the data files that `choose(table, entries)` picks by few sorted ones, without the rows that deletes remove.
 
     One commit for all partitions.  Deletes that were applied everywhere go
@@ -74,13 +75,13 @@ def rewrite(wh: Warehouse, ident: Ident, choose, operation: str, dry_run: bool =
     """
     for _ in range(attempts):
         table = wh.load(ident)
-        out = _rewrite_once(wh, ident, table, choose, operation, dry_run, target, sort)
+        out = _rewrite_once(wh, ident, table, choose, operation, dry_run, target, sort, zorder)
         if out is not None:
             return out
     raise VerificationFailed(f"{operation}: inputs changed in each of {attempts} attempts")
 
 
-def _rewrite_once(wh: Warehouse, ident: Ident, table: Table, choose, operation: str, dry_run: bool, target: int, sort: list[str] | None) -> Result | None:
+def _rewrite_once(wh: Warehouse, ident: Ident, table: Table, choose, operation: str, dry_run: bool, target: int, sort: list[str] | None, zorder: list[str] | None) -> Result | None:
     if table.snapshot() is None:
         return Result(operation, skipped="no snapshot", dry_run=dry_run)
     entries = _plan(table)
@@ -105,13 +106,15 @@ def _rewrite_once(wh: Warehouse, ident: Ident, table: Table, choose, operation:
     ascending = dict(table.meta["sort"])
     rows = table.live_rows(picked, deletes)
     parts = table.meta["partition"]
+    if zorder:
+        rows, order, ascending = rows.withColumn("__z", z_key(rows, zorder)), ["__z"], {}
     by = [F.col(c).asc_nulls_first() if ascending.get(c, True) else F.col(c).desc_nulls_last() for c in order]
     if max(files.values()) > 1:  # large partitions are cut by range, so that each has as many files as its bytes need
         rows = rows.repartitionByRange(sum(files.values()), *[F.col(c) for c in [*parts, *order]] or [F.monotonically_increasing_id()])
     else:
         rows = rows.repartition(max(1, len(groups)), *[F.col(c) for c in parts]) if parts else rows.coalesce(1)
     rows = rows.sortWithinPartitions(*[F.col(c) for c in parts], *by) if parts or by else rows
-    paths = wh.write_data(table, rows)
+    paths = wh.write_data(table, rows.drop("__z"))
     staged = table.spark.read.schema(table.schema).parquet(*paths).count() if paths else 0
     live = table.live_rows(picked, deletes).count() if deletes else sum(e["record_count"] for e in picked)
     if staged != live:
