@@ -212,10 +212,9 @@ def keep_clean(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None =
     chain = train(docs if labelled is None else labelled, labels)
     if chain is None:
         return docs
-    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    shared, place = docs.sparkSession.sparkContext.broadcast(chain), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = docs.columns.index("text")
         for batch, texts in _chunks(batches, place):
             p = shared.value.predict(shared.value.columns(*hashed_features(texts)))
             yield batch.filter(pa.array(p[:, -1] < shared.value.threshold))
