@@ -63,7 +63,8 @@ def _plan(table: Table, partition: dict[str, str] | None = None) -> list[dict]:
     entries = table.entries(keep=may_hold)
     for c, v in texts.items():
         entries = entries.where(F.col("part_values")[c].cast(typed[c]).eqNullSafe(F.lit(v).cast(typed[c])) | (F.col("content") != DATA))
-    return [r.asDict() for r in entries.orderBy("path").collect()]
+    needed = entries.select("path", "content", "file_bytes", "record_count", "part", "seq", "eq_columns")
+    return sorted((r.asDict() for r in needed.toLocalIterator()), key=lambda e: e["path"])
 
 
 def rewrite(wh: Warehouse, ident: Ident, choose, operation: str, dry_run: bool = False, target: int = TARGET, sort: list[str] | None = None, zorder: list[str] | None = None, attempts: int = 15) -> Result:
@@ -131,7 +132,8 @@ def _rewrite_once(wh: Warehouse, ident: Ident, table: Table, choose, operation:
         now = [r.asDict() for r in t.entries().select("path", "content").collect()]
         if not gone <= {e["path"] for e in now} or {e["path"] for e in now if e["content"] != DATA} - {d["path"] for d in deletes}:
             raise Moved
-        keep = t.entries().where(~F.col("path").isin(sorted(gone | done)))
+        leaving = t.spark.createDataFrame([(p,) for p in sorted(gone | done)], "path string")
+        keep = t.entries().join(leaving, "path", "left_anti")
         added = wh.entries_of(t, paths, t.meta["last_seq"] + 1) if paths else None
         both = keep.unionByName(added.select(*keep.columns)) if added is not None else keep
         return wh.staged(t, [wh.write_manifest(t, both)], "replace", {"maintenance": operation}, own=True)
