@@ -280,6 +280,14 @@ def scan_edges(members: DataFrame, heavy: DataFrame, labels: DataFrame, ws: Work
         tokens, owner = tokens[order], owner[order]
         nodes, comps, n = (those[c].to_numpy() for c in ("node", "comp", "n"))
         a, b = [], []
+        joined: dict[int, int] = {}  # components that this task has linked: only links that join two are needed
+
+        def top(c: int) -> int:
+            while (up := joined.get(c, c)) != c:
+                joined[c] = joined.get(up, up)
+                c = up
+            return c
+
         asking = rows[rows["asks"]]
         for node, comp, size, held in zip(asking["node"], asking["comp"], asking["n"], asking["held"], strict=True):
             mine = np.frombuffer(held, np.uint64)
@@ -288,8 +296,12 @@ def scan_edges(members: DataFrame, heavy: DataFrame, labels: DataFrame, ws: Work
             at = np.repeat(lo - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
             common = np.bincount(owner[at], minlength=len(nodes))
             hit = np.flatnonzero(linked(common, size, n) & (common > 0) & (comps != comp))
-            a += [node] * len(hit)
-            b += nodes[hit].tolist()
+            others, first = np.unique(comps[hit], return_index=True)
+            for other, at_node in zip(others.tolist(), nodes[hit[first]].tolist(), strict=True):
+                if top(comp) != top(other):
+                    joined[top(comp)] = top(other)
+                    a.append(node)
+                    b.append(at_node)
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return tasks.groupBy("pivot", "i", "j").applyInPandas(run, "a long, b long")
