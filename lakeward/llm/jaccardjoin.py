@@ -50,6 +50,7 @@ LIGHT_MOST = 24
 CHUNK = 256
 BUCKET_BYTES = 16 << 20
 LAST = (1 << 63) - 1
+HEADS = 3
 MESSAGE = "block long, bucket int, kind int, data binary"
 SETS = "node long, doc long, n long, sig binary"
 HEAVY = "node long, n long, prefix array<long>, held binary"
@@ -142,23 +143,35 @@ def shared_shingles(packed: DataFrame, buckets: int) -> DataFrame:
     return packed.select("block", "lens", "data").mapInArrow(name, MESSAGE).groupBy("bucket").applyInPandas(meet, MESSAGE)
 
 
+def head_messages(heads: DataFrame) -> DataFrame:
+    """Messages to blocks: which of their documents head a class."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": rows["block"][:1], "bucket": -1, "kind": HEADS, "data": [rows["node"].to_numpy(np.int64).tobytes()]})
+
+    return heads.select(F.shiftright("node", 15).alias("block"), "node").groupBy("block").applyInPandas(run, MESSAGE)
+
+
 def rare_prefixes(packed: DataFrame, messages: DataFrame, buckets: int) -> DataFrame:
-    """Documents that can link: the shared shingles of their prefix, and all their shared ones."""
+    """Heads that can link with others: the shared shingles of their prefix, and all their shared ones."""
 
     def run(key: tuple, block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         names, counts = [], []
-        for bucket, data in zip(told["bucket"], told["data"], strict=True):
+        for kind, bucket, data in zip(told["kind"], told["bucket"], told["data"], strict=True):
+            if kind == HEADS:
+                continue
             values = np.frombuffer(data, dtype=np.uint32)
             names.append(values[: len(values) // 2].astype(np.uint64) | (np.uint64(bucket) << np.uint64(32)))
             counts.append(values[len(values) // 2 :])
         out = []
+        heads = set(np.frombuffer(b"".join(told.loc[told["kind"] == HEADS, "data"]), np.int64).tolist())
         if names:
             names, counts = np.concatenate(names), np.concatenate(counts)
             order = np.argsort(names)
             names, counts = names[order], counts[order]
             for lens, data in zip(block["lens"], block["data"], strict=True):
                 for i, s in enumerate(block_sets(np.asarray(lens), data)):
-                    if not len(s):
+                    if node_of(key[0], i) not in heads:
                         continue
                     wanted = _names(s, buckets)
                     at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
@@ -223,7 +236,7 @@ def groups(heavy: DataFrame, most: int) -> DataFrame:
 def star_edges(members: DataFrame, heavy: DataFrame) -> DataFrame:
     """Links between the largest set of a group and its members."""
     held = heavy.select("node", "n", "held")
-    tops = held.select(F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("held").alias("top"))
+    tops = held.join(members.select(F.col("pivot").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("held").alias("top"))
     rows = members.where("pivot <> node").join(held, "node").where("n > 0").join(tops, "pivot").where(F.col("n") * 4 >= F.col("m") * 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +333,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     # Classes of equal sets, each held by its smallest (doc, node).
     classes = ws.save(sets.where("n > 0").groupBy("sig").agg(F.min(F.struct("doc", "node")).alias("head")).select("sig", F.col("head.doc").alias("doc"), F.col("head.node").alias("node")), "classes", "none")
     heads = classes.select("node", "doc")
-    heavy = ws.save(rare_prefixes(packed, messages, buckets).join(heads.select("node"), "node", "left_semi"), "heavy", "none")
+    heavy = ws.save(rare_prefixes(packed, messages.unionByName(head_messages(heads)), buckets), "heavy", "none")
     ws.drop("messages")
     ws.drop("packed")
     ws.release()
