@@ -34,9 +34,13 @@ class Workspace:
     def drop(self, name: str) -> None:
         """Delete a table that no later plan reads."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def clear(self) -> None:
+        """Delete all tables, once nothing reads them any more."""
+        self.drop("")
+
     def release(self) -> None:
         """Let the driver's cleaner remove shuffle files of plans that are no longer referenced."""
         import gc

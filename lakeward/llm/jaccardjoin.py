@@ -320,10 +320,10 @@ def scan_edges(members: DataFrame, heavy: DataFrame, labels: DataFrame, ws: Work
     return tasks.groupBy("pivot", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def join_components(docs: DataFrame) -> DataFrame:
+def join_components(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
-    ws = Workspace(spark, "jaccard")
+    ws = ws or Workspace(spark, "jaccard")
     packed = ws.save(pack(docs), "packed", "none")
     total = packed.agg(F.coalesce(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("n")).first()["n"]
     buckets = max(2, total // BUCKET_BYTES)
@@ -355,8 +355,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows with equal doc_id and text count once; a component without any doc_id keeps one row of each text.
     """
-    ws = Workspace(docs.sparkSession, "distinct")
-    found = ws.save(join_components(docs), "components").where("doc_id <=> component_id")
+    inner = Workspace(docs.sparkSession, "jaccard")
+    found = Workspace(docs.sparkSession, "distinct").save(join_components(docs, inner), "components").where("doc_id <=> component_id")
+    inner.clear()
     heads = found.groupBy(F.col("doc_id").alias("head")).agg(F.count("*").alias("rows"))
     kept = docs.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("head")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]) if heads.where("rows > 1").limit(1).count() else kept
