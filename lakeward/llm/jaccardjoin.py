@@ -20,7 +20,8 @@ ASCII white space, A-Z lower-cased); two link when 100 * |intersection| >=
   scanning: both costs come from the histogram of sizes.
 
 Counts of shingles, inverted lists and classes are over all documents; 64-bit
-fingerprints stand for shingles (128-bit ones for whole sets).
+fingerprints stand for shingles (128-bit ones for whole sets; sets that are
+compared carry 48 bits a shingle).
 
 Defined cases: null or empty texts, and texts of white space, have no set and
 link with nothing; a text of fewer than five words has one shingle, all its
@@ -83,6 +84,17 @@ def _names(sets: np.ndarray, buckets: int) -> np.ndarray:
     return ((((sets >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)) << np.uint64(32)) | (sets & np.uint64(0xFFFFFFFF))
 
 
+def to_held(ordered: np.ndarray) -> bytes:
+    """The high six bytes of ordered fingerprints, which keep their order."""
+    return np.ascontiguousarray((ordered >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def from_held(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(np.uint64)
+
+
 def node_of(block: int, i: int) -> int:
     return block << 15 | i
 
@@ -179,7 +191,7 @@ def rare_prefixes(packed: DataFrame, messages: DataFrame, buckets: int) -> DataF
                     first = np.lexsort((s, df))[: prefix_length(len(s))]
                     first = first[df[first] > 1]
                     if len(first):
-                        out.append((node_of(key[0], i), len(s), s[first].view(np.int64), s[df > 1].tobytes()))
+                        out.append((node_of(key[0], i), len(s), s[first].view(np.int64), to_held(s[df > 1])))
         return pd.DataFrame(out, columns=["node", "n", "prefix", "held"])
 
     return packed.select("block", "lens", "data").groupBy("block").cogroup(messages.groupBy("block")).applyInPandas(run, HEAVY)
@@ -208,7 +220,7 @@ def light_edges(heavy: DataFrame, most: int) -> DataFrame:
         for batch in batches:
             out = []
             for node, n, held in zip(batch["node"], batch["n"], batch["held"], strict=True):
-                mine = [held[i : i + 8] for i in range(0, len(held), 8)]
+                mine = [held[i : i + 6] for i in range(0, len(held), 6)]
                 for t in range(-(-3 * n // 4), min(most, 4 * n // 3) + 1):
                     c = needed(n, t)
                     if c <= min(n, t, len(mine)):
@@ -226,24 +238,23 @@ def light_edges(heavy: DataFrame, most: int) -> DataFrame:
 
 
 def groups(heavy: DataFrame, most: int) -> DataFrame:
-    """Members (pivot, node) of the groups that the inverted lists of heavy pairs make."""
+    """Members (pivot, node, n, held) of the groups that the inverted lists of heavy pairs make."""
     least = -(-3 * (most + 1) // 4)
     entries = heavy.where(F.col("n") >= least).select("node", "n", F.explode("prefix").alias("t"))
     lists = entries.groupBy("t").agg(F.max(F.struct("n", "node")).alias("top"), F.count("*").alias("m")).where("m > 1").select("t", F.col("top.node").alias("pivot"))
-    return entries.join(lists, "t").select("pivot", "node").distinct()
+    return entries.join(lists, "t").select("pivot", "node").distinct().join(heavy.select("node", "n", "held"), "node").select("pivot", "node", "n", "held")
 
 
-def star_edges(members: DataFrame, heavy: DataFrame) -> DataFrame:
+def star_edges(members: DataFrame) -> DataFrame:
     """Links between the largest set of a group and its members."""
-    held = heavy.select("node", "n", "held")
-    tops = held.join(members.select(F.col("pivot").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("held").alias("top"))
-    rows = members.where("pivot <> node").join(held, "node").where("n > 0").join(tops, "pivot").where(F.col("n") * 4 >= F.col("m") * 3)
+    tops = members.where("pivot = node").select("pivot", F.col("n").alias("m"), F.col("held").alias("top"))
+    rows = members.where("pivot <> node").join(tops, "pivot").where(F.col("n") * 4 >= F.col("m") * 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for a, b, n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                common = len(np.intersect1d(from_held(x), from_held(y), assume_unique=True))
                 if linked(common, n, m):
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
@@ -272,21 +283,21 @@ def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame, ws: Work
     return labels.select("node", "label").unionByName(rest)
 
 
-def scan_edges(members: DataFrame, heavy: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame:
+def scan_edges(members: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame:
     """Links found by members outside their group's main component, each scanning the lists of all other members."""
     mark = labels.select("node", F.col("label.node").alias("comp"))
     tops = mark.select(F.col("node").alias("pivot"), F.col("comp").alias("main"))
-    rows = ws.save(members.join(mark, "node").join(tops, "pivot").withColumn("out", F.col("comp") != F.col("main")), "members")
+    rows = ws.save(members.select("pivot", "node").join(mark, "node").join(tops, "pivot").withColumn("out", F.col("comp") != F.col("main")), "members")
     sizes = rows.groupBy("pivot").agg(F.count("*").alias("g"), F.sum(F.col("out").cast("long")).alias("u")).where("u > 0")
     sizes = sizes.select("pivot", F.ceil(F.col("g") / CHUNK).cast("int").alias("gs"), F.ceil(F.col("u") / CHUNK).cast("int").alias("us"))
     split = rows.join(sizes, "pivot").withColumn("h", F.xxhash64("node"))
     asks = split.where("out").select("pivot", "node", "comp", F.lit(True).alias("asks"), F.pmod("h", "us").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("gs") - 1)).alias("j"))
     answers = split.select("pivot", "node", "comp", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("us") - 1)).alias("i"), F.pmod("h", "gs").cast("int").alias("j"))
-    tasks = asks.unionByName(answers).join(heavy.select("node", "n", "held"), "node")
+    tasks = asks.unionByName(answers).join(members, ["pivot", "node"])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         those = rows[~rows["asks"]].reset_index(drop=True)
-        sets = [np.frombuffer(h, np.uint64) for h in those["held"]]
+        sets = [from_held(h) for h in those["held"]]
         tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         order = np.argsort(tokens, kind="stable")
@@ -303,7 +314,7 @@ def scan_edges(members: DataFrame, heavy: DataFrame, labels: DataFrame, ws: Work
 
         asking = rows[rows["asks"]]
         for node, comp, size, held in zip(asking["node"], asking["comp"], asking["n"], asking["held"], strict=True):
-            mine = np.frombuffer(held, np.uint64)
+            mine = from_held(held)
             lo, hi = np.searchsorted(tokens, mine), np.searchsorted(tokens, mine, side="right")
             width = hi - lo
             at = np.repeat(lo - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
@@ -338,11 +349,11 @@ def join_components(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
     ws.drop("packed")
     ws.release()
     most = boundary(heavy)
-    members = ws.save(groups(heavy, most), "groups")
-    edges = ws.save(light_edges(heavy, most).unionByName(star_edges(members, heavy)), "edges")
+    members = ws.save(groups(heavy, most), "groups", "none")
+    edges = ws.save(light_edges(heavy, most).unionByName(star_edges(members)), "edges")
     active = ws.save(heavy.select("node").join(heads, "node"), "active")
     labels = components(spark, active, edges, ws, "first")
-    found = ws.save(scan_edges(members, heavy, labels, ws), "found")
+    found = ws.save(scan_edges(members, labels, ws), "found")
     labels = components(spark, active, edges.unionByName(found), ws, "last")
     smallest = classes.join(labels, "node", "left").select("sig", F.coalesce("label.doc", "doc").alias("smallest"))
     out = sets.withColumn("sig", F.when(F.col("n") > 0, F.col("sig"))).join(smallest, "sig", "left")
