@@ -1,7 +1,7 @@
 """Token-id files: byte-level BPE ids in patched frame-of-reference blocks.
 
 Documents are ordered by doc_id (range partitions, each sorted).  A segment
-holds the ids of about four megabytes of text; its frames of 1,024 ids store
+holds the ids of about a megabyte of text; its frames of 1,024 ids store
 their minimum, the differences packed at the width that `PERCENT` of them fit,
 and the rest as exceptions (place and high bits), with an index of where each
 frame's words and exceptions start.  Segments are the rows of a Parquet table,
@@ -15,10 +15,11 @@ are ignored; a text longer than a segment makes a segment of its own.
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,9 @@ from .cluster import Workspace, table
 
 FRAME = 1024
 PERCENT = 95
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 20
 END_ID = 0
-CACHE = 700_000
+CACHE = 1_000_000
 HEAD = struct.Struct("<4sIQ")
 MAGIC = b"LPF1"
 
@@ -42,7 +43,6 @@ _MARK = np.zeros(256, dtype=bool)
 _MARK[list(b".,;:!?")] = True
 #: White space beyond ASCII, and strings of special tokens: such texts are encoded as they are.
 _ODD = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"<|", b"\x00", b"\x1c", b"\x1d", b"\x1e", b"\x1f"]
-_PLAIN = re.compile(r" ?[A-Za-z]+\Z")
 
 
 class Encoder:
@@ -51,17 +51,15 @@ class Encoder:
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already; threads would each keep memory
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.flat = np.zeros(0, np.int64)
+        self.known = np.zeros(0, np.uint64)  # fingerprints in order, and the place of each one's ids
+        self.place = np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.int32)
         self.offset = np.zeros(1, np.int64)
 
     def whole(self, text: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=np.int64)
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=np.int32)
 
     @staticmethod
     def boundaries(data: np.ndarray, gap: np.ndarray) -> np.ndarray:
@@ -81,22 +79,34 @@ class Encoder:
         cut[:1] = True
         return np.flatnonzero(cut)
 
-    def _learn(self, new: list[tuple[int, bytes]]) -> None:
-        plain, others = [], []
-        for h, piece in new:
-            text = piece.decode("utf-8", "replace")
-            (plain if _PLAIN.match(text) else others).append((h, text))
-        tokenize = self.tokenizer.model.tokenize
-        for h, text in plain:  # one pre-token of letters: its byte symbols are the letters themselves
-            self.known[h] = len(self.ids)
-            self.ids.append(np.array([t.id for t in tokenize(text.replace(" ", "Ġ"))], dtype=np.int64))
-        for (h, _), e in zip(others, self.tokenizer.encode_batch([t for _, t in others], add_special_tokens=False), strict=True):
-            self.known[h] = len(self.ids)
-            self.ids.append(np.array(e.ids, dtype=np.int64))
+    def _find(self, prints: np.ndarray) -> np.ndarray:
+        """Places of the ids of ordered fingerprints, -1 for those not known."""
+        if not len(self.known):
+            return np.full(len(prints), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.known, prints), len(self.known) - 1)
+        return np.where(self.known[at] == prints, self.place[at], -1).astype(np.int64)
+
+    def _learn(self, prints: np.ndarray, pieces: list[bytes]) -> np.ndarray:
+        """Encode new pieces (with fingerprints in order); returns their places."""
+        texts, found = [p.decode("utf-8", "replace") for p in pieces], []
+        for i in range(0, len(texts), 2048):
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 2048], add_special_tokens=False)]
         have = len(self.offset) - 1
-        lens = np.fromiter(map(len, self.ids[have:]), np.int64)
-        self.flat = np.concatenate([self.flat, *self.ids[have:]])
-        self.offset = np.concatenate([self.offset, self.offset[-1] + np.cumsum(lens)])
+        ends = self.offset[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1] - self.offset[-1]))])
+        self.offset = np.concatenate([self.offset, ends])
+        places = np.arange(have, have + len(prints))
+        self.known = np.concatenate([self.known, prints])
+        order = np.argsort(self.known, kind="stable")
+        self.known, self.place = self.known[order], np.concatenate([self.place, places.astype(np.int32)])[order]
+        return places
+
+    def _limit(self) -> None:
+        """Keep the pieces met first, which are the frequent ones, once there are more than `CACHE`."""
+        if len(self.known) > CACHE:
+            old = self.place < CACHE
+            self.known, self.place = self.known[old], self.place[old]
+            self.flat, self.offset = self.flat[: self.offset[CACHE]], self.offset[: CACHE + 1]
 
     def many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id behind each text, and each text's number of ids."""
@@ -107,16 +117,11 @@ class Encoder:
         end = np.append(start[1:], len(data))
         prints = span_table(data, start, end)
         unique, first, inverse = np.unique(prints, return_index=True, return_inverse=True)
-        if len(self.known) + len(unique) > CACHE:
-            self.forget()
-        place = np.fromiter((self.known.get(h, -1) for h in unique.tolist()), np.int64, len(unique))
-        if (missing := np.flatnonzero(place < 0)).size:
-            whole = data.tobytes()
-            at = first[missing]
-            self._learn([(int(unique[m]), whole[start[a] : end[a]]) for m, a in zip(missing, at, strict=True) if not gap[start[a]]])
-            if 0 not in self.known:
-                self.known[0] = -2
-            place = np.fromiter((self.known.get(h, -2) for h in unique.tolist()), np.int64, len(unique))
+        own = ~gap[start[first]]
+        place = self._find(unique)
+        if (missing := np.flatnonzero((place < 0) & own)).size:
+            raw = data.tobytes()
+            place[missing] = self._learn(unique[missing], [raw[a:b] for a, b in zip(start[first[missing]].tolist(), end[first[missing]].tolist(), strict=True)])
         piece = place[inverse]
         is_gap = gap[start]
         piece[is_gap] = -2
@@ -124,10 +129,11 @@ class Encoder:
         real = piece >= 0
         count[real] = self.offset[piece[real] + 1] - self.offset[piece[real]]
         out_at = np.concatenate([[0], np.cumsum(count)])
-        ids = np.full(out_at[-1], END_ID, dtype=np.int64)
+        ids = np.full(out_at[-1], END_ID, dtype=np.int32)
         source = np.repeat(self.offset[np.where(real, piece, 0)] - out_at[:-1], count) + np.arange(out_at[-1])
         filled = np.repeat(real, count)
         ids[filled] = self.flat[source[filled]]
+        self._limit()
         ends = out_at[1:][is_gap]
         lens = np.diff(ends, prepend=0)
         if odd:
@@ -136,7 +142,7 @@ class Encoder:
                 own = ids[at : at + n]
                 at += n
                 if i in odd:
-                    own = np.append(self.whole(texts[i]), END_ID)
+                    own = np.append(self.whole(texts[i]), np.int32(END_ID))
                     lens[i] = len(own)
                 parts.append(own)
             ids = np.concatenate(parts)
@@ -158,7 +164,7 @@ def pack_frames(ids: np.ndarray) -> bytes:
     at = FRAME * PERCENT // 100 - 1
     limit = np.partition(flat, at, axis=1)[:, at] if frames else np.zeros(0, np.uint32)
     width = np.ceil(np.log2(limit.astype(np.float64) + 1)).astype(np.uint8)
-    words, over, starts, over_starts = [], [], np.zeros(frames, np.uint32), np.zeros(frames + 1, np.uint32)
+    starts, over_starts = np.zeros(frames, np.uint32), np.zeros(frames + 1, np.uint32)
     starts[:] = np.concatenate([[0], np.cumsum(width.astype(np.int64) * 32)[:-1]]) if frames else 0
     body = np.zeros(int(width.astype(np.int64).sum()) * 32, dtype=np.uint32)
     for w in np.unique(width):
@@ -176,7 +182,6 @@ def pack_frames(ids: np.ndarray) -> bytes:
     high = flat >> width[:, None].astype(np.uint32)
     f, p = np.nonzero(high)
     over_starts[1:] = np.cumsum(np.bincount(f, minlength=frames))
-    del words, over
     return b"".join([HEAD.pack(MAGIC, frames, n), low.tobytes(), width.tobytes(), starts.tobytes(), over_starts.tobytes(), body.tobytes(), p.astype(np.uint16).tobytes(), high[f, p].astype(np.uint32).tobytes()])
 
 
