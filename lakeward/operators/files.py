@@ -9,7 +9,7 @@ MIB = 1 << 20
 DATA, POSITION_DELETES, EQUALITY_DELETES = 0, 1, 2
 #: Upper ends of the size classes, in order.
 SIZE_CLASSES = ((1_048_576, "< 1 MB"), (10_485_760, "1-10 MB"), (67_108_864, "10-64 MB"), (134_217_728, "64-128 MB"), (268_435_456, "128-256 MB"), (None, "> 256 MB"))
-INTERNAL = r"(^_janitor|_janitor/)"
+INTERNAL = r"(^_lakeward|_lakeward/)"
 
 
 def partition_key(values: Column) -> Column:

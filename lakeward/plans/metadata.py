@@ -129,10 +129,10 @@ def flt_substring(spark, d):
     return data_files(spark, d).where(F.concat(F.lit("part="), F.col("part").cast("string")).contains("=1")).groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query("select p, p like '\\_janitor%' escape '\\' or contains(p, '_janitor/') as internal from (select case event_id % 3 when 0 then '_janitor/state/' when 1 then 'db/t/_janitor/' else 'db/janitor/' end || cast(event_id as varchar) as p from events) q")
+@query("select p, p like '\\_lakeward%' escape '\\' or contains(p, '_lakeward/') as internal from (select case event_id % 3 when 0 then '_lakeward/state/' when 1 then 'db/t/_lakeward/' else 'db/lakeward/' end || cast(event_id as varchar) as p from events) q")
 def flt_recursion_guard(spark, d):
     e = F.col("event_id")
-    p = F.concat(F.when(e % 3 == 0, "_janitor/state/").when(e % 3 == 1, "db/t/_janitor/").otherwise("db/janitor/"), e.cast("string"))
+    p = F.concat(F.when(e % 3 == 0, "_lakeward/state/").when(e % 3 == 1, "db/t/_lakeward/").otherwise("db/lakeward/"), e.cast("string"))
     return read(spark, d, "events").select(p.alias("p")).withColumn("internal", fl.is_internal(F.col("p")))
 
 

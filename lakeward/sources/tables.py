@@ -130,7 +130,7 @@ class Warehouse:
                 if versions:
                     v, n = max(versions)
                     return [(prefix, f"{child}/{n}", v)]
-            if name not in ("_janitor", "_state", "metadata", "data"):
+            if name not in ("_lakeward", "_state", "metadata", "data"):
                 folders.append(child)
         for child in folders:
             found += self.discover(child)
