@@ -4,7 +4,8 @@ Shingles are runs of five words (A-Z lower-cased; an item of fewer words is
 one shingle), weighted by log(1 + items / items that hold them) within the part
 of the benchmark; a shingle that no item holds weighs log(1 + items).  Windows of a document have the
 number of words of an item; only windows that hold a shingle of an item of
-that size are fingerprinted, as all others have no similarity at all.
+that size are fingerprinted, as all others have no similarity at all.  Items
+with more words than the document are compared with one window, its whole text.
 
 A 64-bit SimHash adds the weights of a window's shingles by the bits of their
 fingerprints.  Items are indexed by each of `PARTS` bytes: fingerprints within
@@ -110,19 +111,22 @@ def leaks_of(words: np.ndarray, items: Items) -> list[tuple[int, int, int, int,
         at = np.minimum(np.searchsorted(items.shingles, shingles), len(items.shingles) - 1)
         hit = np.flatnonzero(items.shingles[at] == shingles)
         wanted: dict[int, list[np.ndarray]] = {}
+        longer = False  # whether an item of more words than the text holds one of its shingles
         for place, k in zip(hit.tolist(), at[hit].tolist(), strict=True):
             for size in items.holders[k].tolist():
+                longer |= size > len(words)
                 if size <= len(words) and (size >= WORDS or size == width) and (width == WORDS or size == width):
                     span = size - width + 1  # shingles of a window
                     wanted.setdefault(size, []).append(np.arange(max(0, place - span + 1), min(place, len(shingles) - span) + 1))
         for size, starts in wanted.items():
-            _windows(np.unique(np.concatenate(starts)), size, size - width + 1, shingles, items, best)
+            _windows(np.unique(np.concatenate(starts)), size, size - width + 1, shingles, items, np.flatnonzero(items.sizes == size), best)
+        if longer and width == WORDS:
+            _windows(np.zeros(1, dtype=np.int64), len(words), len(shingles), shingles, items, np.flatnonzero(items.sizes > len(words)), best)
     return [best[i] for i in sorted(best)]
 
 
-def _windows(starts: np.ndarray, size: int, span: int, shingles: np.ndarray, items: Items, best: dict) -> None:
-    """Match windows of `span` shingles against the items of `size` words."""
-    mine = np.flatnonzero(items.sizes == size)
+def _windows(starts: np.ndarray, size: int, span: int, shingles: np.ndarray, items: Items, mine: np.ndarray, best: dict) -> None:
+    """Match windows of `size` words, `span` shingles, against the items at `mine`."""
     for a in range(0, len(starts), 4096):
         some = starts[a : a + 4096]
         # Sums of bits by runs of nearby windows, so that long texts stay in small arrays.
