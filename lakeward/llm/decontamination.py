@@ -1,9 +1,9 @@
 """Benchmark decontamination: SimHash over item-sized windows, then exact similarity.
 
 Shingles are runs of five words (A-Z lower-cased; an item of fewer words is
-one shingle), weighted by log(1 + items / items that hold them) within the part
-of the benchmark; a shingle that no item holds weighs log(1 + items).  Windows of a document have the
-number of words of an item; only windows that hold a shingle of an item of
+one shingle), weighted by log(1 + items / items that hold them) over the whole
+benchmark; a shingle that no item holds weighs log(1 + items), as does one that
+a single item holds.  Windows of a document have the number of words of an item; only windows that hold a shingle of an item of
 that size are fingerprinted, as all others have no similarity at all.  Items
 with more words than the document are compared with one window, its whole text.
 
@@ -15,7 +15,9 @@ item are verified: weight of common over weight of all distinct shingles, at
 least `SIMILAR`.
 
 The index of items is broadcast in parts of `PART_ITEMS` items, whatever the
-size of the benchmark.
+size of the benchmark.  Weights are counted by Spark before that; those of
+shingles that several items hold are broadcast once, 16 bytes each, and grow
+with the benchmark.
 
 Defined cases: items and texts that are null or have no words match nothing;
 an item of fewer than five words matches windows of exactly its words; items
@@ -26,8 +28,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +61,21 @@ def simhash(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1)
 
 
+@dataclass
+class Weights:
+    """Weights of shingles over the whole benchmark."""
+
+    shingles: np.ndarray  # those that several items hold, in order
+    weights: np.ndarray
+    rare: float  # of all others
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.shingles):
+            return np.full(len(shingles), self.rare)
+        at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
+        return np.where(self.shingles[at] == shingles, self.weights[at], self.rare)
+
+
 @dataclass
 class Items:
     """An index of benchmark items."""
@@ -67,36 +84,49 @@ class Items:
     sizes: np.ndarray  # words of each item
     sets: list[np.ndarray]
     shingles: np.ndarray  # all items' shingles in order, each with the smallest and largest size of an item that holds it
-    weights: np.ndarray
     holders: list[np.ndarray]  # per shingle, sizes of the items that hold it
     prints: np.ndarray
-    rare: float
+    weights: Weights | None  # broadcast apart from the index
+
+
+def item_shingles(text: str | None) -> tuple[int, np.ndarray]:
+    """Number of words and distinct shingles of an item."""
+    words, _ = batch_words([(text or "").encode()])
+    return len(words), np.unique(shingle_fingerprints(words, WORDS))
 
-    def weight(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.shingles):
-            return np.full(len(shingles), self.rare)
-        at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
-        return np.where(self.shingles[at] == shingles, self.weights[at], self.rare)
 
+def benchmark_weights(benchmark: DataFrame) -> Weights:
+    """Weights of all shingles, from the number of the benchmark's items that hold each."""
+    texts = benchmark.select(F.col("text").cast("string").alias("text")).where("text is not null")
 
-def index_items(rows: list[tuple[int, str | None]], n_items: int) -> Items:
-    """Index of a part's (item_id, text); weights count the part's items that hold a shingle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [item_shingles(t)[1] for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(own) if own else np.zeros(0, np.uint64)).view(np.int64))], names=["shingle"])
+
+    held = texts.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    shingles, n = held.column("shingle").to_numpy().view(np.uint64), held.column("n").to_numpy()
+    order, n_items = np.argsort(shingles), texts.count()
+    return Weights(shingles[order], np.log1p(n_items / n[order]), float(np.log1p(n_items)))
+
+
+def index_items(rows: list[tuple[int, str | None]], weights: Weights) -> Items:
+    """Index of a part's (item_id, text), with the weights of the whole benchmark."""
     found = []
     for item, text in rows:
-        words, _ = batch_words([(text or "").encode()])
-        if len(words):
-            found.append((item, len(words), np.unique(shingle_fingerprints(words, WORDS))))
-    shingles, counts = np.unique(np.concatenate([f[2] for f in found]) if found else np.zeros(0, np.uint64), return_counts=True)
-    weights = np.log1p(n_items / np.maximum(counts, 1))
+        size, own = item_shingles(text)
+        if size:
+            found.append((item, size, own))
+    shingles = np.unique(np.concatenate([f[2] for f in found]) if found else np.zeros(0, np.uint64))
     holders: list[set[int]] = [set() for _ in shingles]
     for _, size, own in found:
         for k in np.searchsorted(shingles, own).tolist():
             holders[k].add(size)
-    sums = [weighted_bits(own, weights[np.searchsorted(shingles, own)]).sum(axis=0) for _, _, own in found]
+    sums = [weighted_bits(own, weights.of(own)).sum(axis=0) for _, _, own in found]
     return Items(
         np.array([f[0] for f in found], dtype=np.int64), np.array([f[1] for f in found], dtype=np.int64), [f[2] for f in found],
-        shingles, weights, [np.array(sorted(h), dtype=np.int64) for h in holders],
-        simhash(np.array(sums)) if sums else np.zeros((0, 8), np.uint8), float(np.log1p(n_items)),
+        shingles, [np.array(sorted(h), dtype=np.int64) for h in holders],
+        simhash(np.array(sums)) if sums else np.zeros((0, 8), np.uint8), weights,
     )
 
 
@@ -135,12 +165,12 @@ def _windows(starts: np.ndarray, size: int, span: int, shingles: np.ndarray, ite
             lo, hi = int(run[0]), int(run[-1]) + span
             part = shingles[lo:hi]
             again = _repeats(part, span)
-            sums = np.vstack([np.zeros(64), np.cumsum(weighted_bits(part, items.weight(part)), axis=0)])
+            sums = np.vstack([np.zeros(64), np.cumsum(weighted_bits(part, items.weights.of(part)), axis=0)])
             at = run - lo
             total = sums[at + span] - sums[at]
             for i in np.flatnonzero(again[at]):  # a window's shingles count once
                 own = np.unique(part[at[i] : at[i] + span])
-                total[i] = weighted_bits(own, items.weight(own)).sum(axis=0)
+                total[i] = weighted_bits(own, items.weights.of(own)).sum(axis=0)
             prints = simhash(total)
             near = np.zeros((len(run), len(mine)), dtype=bool)
             for p in range(PARTS):
@@ -152,8 +182,8 @@ def _windows(starts: np.ndarray, size: int, span: int, shingles: np.ndarray, ite
                 common = np.intersect1d(own, items.sets[y], assume_unique=True)
                 if not len(common):
                     continue
-                shared = items.weight(common).sum()
-                likeness = float(shared / (items.weight(own).sum() + items.weight(items.sets[y]).sum() - shared))
+                shared = items.weights.of(common).sum()
+                likeness = float(shared / (items.weights.of(own).sum() + items.weights.of(items.sets[y]).sum() - shared))
                 start, item = int(run[x]), int(items.ids[y])
                 if likeness >= SIMILAR and (item not in best or (-likeness, start) < (-best[item][4], best[item][1])):
                     best[item] = item, start, size, int(d), likeness
@@ -170,15 +200,23 @@ def _repeats(part: np.ndarray, span: int) -> np.ndarray:
     return nearest < np.arange(len(part)) + span
 
 
-def item_parts(benchmark: DataFrame, part_items: int = PART_ITEMS) -> Iterator[tuple[list[tuple[int, str]], int]]:
-    """Parts of the benchmark, each with at most `part_items` items."""
+def item_parts(benchmark: DataFrame, part_items: int = PART_ITEMS) -> Iterator[list[tuple[int, str]]]:
+    """Parts of the benchmark, each with about `part_items` items."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     n = rows.count()
     parts = max(1, -(-n // part_items))
     numbered = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
     for p in range(parts):
-        mine = sorted((r["item_id"], r["text"]) for r in numbered.where(F.col("part") == p).toLocalIterator())
-        yield mine, max(len(mine), -(-n // parts))
+        yield sorted((r["item_id"], r["text"]) for r in numbered.where(F.col("part") == p).toLocalIterator())
+
+
+def item_indexes(spark: SparkSession, benchmark: DataFrame) -> Iterator[Callable[[], Items]]:
+    """For each part of the benchmark, what gives its index on an executor."""
+    weights = benchmark_weights(benchmark)
+    everywhere = spark.sparkContext.broadcast(weights)
+    for rows in item_parts(benchmark):
+        part = spark.sparkContext.broadcast(replace(index_items(rows, weights), weights=None))
+        yield lambda part=part: replace(part.value, weights=everywhere.value)
 
 
 def _leaky(texts: list[bytes], items: Items) -> Iterator[tuple[int, list[tuple[int, int, int, int, float]]]]:
@@ -200,14 +238,14 @@ def _leaky(texts: list[bytes], items: Items) -> Iterator[tuple[int, list[tuple[i
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row per document and item that it holds: where, how many words, Hamming distance and similarity."""
     out = None
-    for rows, n in item_parts(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index_items(rows, n))
+    for index in item_indexes(docs.sparkSession, benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            items = index()
             kinds = [pa.int64()] * 4 + [pa.int32(), pa.float64()]
             for batch in batches:
                 ids = batch.column(0)
-                found = [(ids[i].as_py(), *leak) for i, leaks in _leaky(texts_of(batch.column(1)), shared.value) for leak in leaks]
+                found = [(ids[i].as_py(), *leak) for i, leaks in _leaky(texts_of(batch.column(1)), items) for leak in leaks]
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in LEAKS.split(", ")])
 
         part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, LEAKS)
@@ -228,13 +266,13 @@ def _candidates(words: np.ndarray, owner: np.ndarray, n: int, items: Items) -> l
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, that hold no benchmark item."""
     place = docs.columns.index("text")
-    for rows, n in item_parts(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index_items(rows, n))
+    for index in item_indexes(docs.sparkSession, benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            items = index()
             for batch in batches:
                 stay = np.ones(batch.num_rows, dtype=bool)
-                stay[[i for i, _ in _leaky(texts_of(batch.column(place)), shared.value)]] = False
+                stay[[i for i, _ in _leaky(texts_of(batch.column(place)), items)]] = False
                 yield batch.filter(pa.array(stay))
 
         docs = docs.mapInArrow(run, docs.schema)

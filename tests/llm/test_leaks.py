@@ -41,3 +41,18 @@ def test_documents_shorter_than_an_item(spark):
     assert {k: round(r.similarity, 9) for k, r in got.items()} == exact_leaks(rows, items)
     assert (got[1, 1].start_word, got[1, 1].n_words) == (0, 38) and (1, 1) in got and (2, 1) in got and (3, 2) in got
     assert {r.doc_id for r in decontamination.decontaminate(documents(spark, rows), bench).collect()} == {d for d, _, _ in rows} - {d for d, _ in got}
+
+
+def test_weights_count_the_whole_benchmark_in_any_number_of_parts(spark, monkeypatch):
+    common = words(12)
+    items = [(i, f"{common} {words(12, 1000 * i)}") for i in range(1, 9)] + [(9, "three word item")]
+    rows = [(i, f"{common} {words(12, 1000 * i)}".replace(f"word{i % 3} ", "other ", 1), "s") for i in range(1, 9)] + [(20, items[2][1], "s")]
+    whole, _ = found(spark, rows, items)
+    monkeypatch.setattr(decontamination.item_parts, "__defaults__", (2,))
+    got, bench = found(spark, rows, items)
+    assert len(list(decontamination.item_parts(bench))) == 5
+    like = {k: round(r.similarity, 9) for k, r in got.items()}
+    assert like == {k: round(r.similarity, 9) for k, r in whole.items()} == exact_leaks(rows, items)
+    assert {k: r.distance for k, r in got.items()} == {k: r.distance for k, r in whole.items()}
+    assert (20, 3) in got and len(got) > 1
+    assert {r.doc_id for r in decontamination.decontaminate(documents(spark, rows), bench).collect()} == {d for d, _, _ in rows} - {d for d, _ in got}
