@@ -6,8 +6,11 @@ and reject; a URL without a rule is allowed if the difference of its
 log-likelihoods, divided by its length, reaches a threshold calibrated on
 held-out URLs.
 
-Training uses a bounded sample: the `SAMPLE` URLs of either kind with the
-smallest hashes, of which every fifth only calibrates.  Defined cases: a null
+Training uses every URL that a rule decides, once however often it occurs; Spark
+counts its symbols.  URLs are held out by their hash, one in `HELD`; where that
+leaves a kind without URLs to train or to calibrate on, all its URLs do both.
+The counts are gathered on the driver and broadcast; they grow with the number
+of different contexts.  Defined cases: a null
 URL, or one without ``://``, has empty host and path and no rule, and is
 judged by the models as it is (null as the empty string); where the rules
 accept or reject no URL at all, there is no model, and URLs without a rule are
@@ -17,18 +20,22 @@ allowed; repeated rows and ties are judged alike; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import table
+from .cluster import Workspace, table
 
 #: (verdict, host, path): a rule fits its host and all subdomains if the path starts with the rule's.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 ORDER = 5
-SAMPLE = 5_000
+HELD = 5
+BATCH_BYTES = 1 << 20
 ALPHABET = 256
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,15 +74,30 @@ def contexts(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbols, before, owner
 
 
+def grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers made of order, context and symbol, in order, and how often each occurs."""
+    symbols, before, _ = contexts(urls)
+    return np.unique(np.concatenate([(k << 48) | ((before & ((1 << (8 * k)) - 1)) << 8) | symbols for k in range(ORDER + 1)]), return_counts=True)
+
+
 class MarkovModel:
     """Counts of symbols behind contexts of each order."""
 
     def __init__(self, urls: list[str]):
-        symbols, before, _ = contexts(urls)
+        self._fill(*grams(urls))
+
+    @classmethod
+    def counted(cls, keys: np.ndarray, counts: np.ndarray) -> MarkovModel:
+        """The model of what `grams` counts."""
+        model = cls.__new__(cls)
+        model._fill(keys, counts)
+        return model
+
+    def _fill(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.orders = []
         for k in range(ORDER + 1):
-            context = before & ((1 << (8 * k)) - 1)
-            pairs, count = np.unique((context << 8) | symbols, return_counts=True)
+            lo, hi = np.searchsorted(keys, [k << 48, (k + 1) << 48])
+            pairs, count = keys[lo:hi] & ((1 << 48) - 1), counts[lo:hi]
             owners, first = np.unique(pairs >> 8, return_index=True)
             types = np.diff(np.append(first, len(pairs)))
             self.orders.append((pairs, count, owners, np.add.reduceat(count, first), types))
@@ -95,34 +117,79 @@ def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndar
     return np.where(keys[at] == wanted, values[at], 0)
 
 
+def scores(models: list[MarkovModel], urls: list[str]) -> np.ndarray:
+    """Length-normalised log-likelihood differences."""
+    symbols, before, owner = contexts(urls)
+    gain = models[0].log_likelihood(symbols, before) - models[1].log_likelihood(symbols, before)
+    return np.bincount(owner, gain, len(urls)) / np.bincount(owner, minlength=len(urls))
+
+
+def scored_by(shared: Broadcast, url: Column) -> Column:
+    """Scores of URLs by broadcast models."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(scores(shared.value, batch.fillna("").tolist()) if len(batch) else [], dtype="float64")
+
+    return score(url)
+
+
+@dataclass
 class UrlClassifier:
-    """The two models and their threshold."""
-
-    def __init__(self, accepted: list[str], rejected: list[str]):
-        train = [[u for i, u in enumerate(urls) if i % 5 or len(urls) < 5] for urls in (accepted, rejected)]
-        held = [[u for i, u in enumerate(urls) if i % 5 == 0] for urls in (accepted, rejected)]
-        self.models = [MarkovModel(urls) for urls in train]
-        good, bad = (np.sort(self.scores(urls)) for urls in held)
-        cuts = np.unique(np.concatenate([good, bad]))
-        cuts = np.concatenate([cuts[:1], (cuts[1:] + cuts[:-1]) / 2])
-        right = (len(good) - np.searchsorted(good, cuts)) / len(good) + np.searchsorted(bad, cuts) / len(bad)
-        self.threshold = float(cuts[int(np.argmax(right))])
-        self.held_out_accuracy = float(right.max() / 2)
-
-    def scores(self, urls: list[str]) -> np.ndarray:
-        """Length-normalised log-likelihood differences."""
-        symbols, before, owner = contexts(urls)
-        gain = self.models[0].log_likelihood(symbols, before) - self.models[1].log_likelihood(symbols, before)
-        return np.bincount(owner, gain, len(urls)) / np.bincount(owner, minlength=len(urls))
-
-
-def train(labelled: DataFrame, sample: int = SAMPLE) -> UrlClassifier | None:
+    """The two models, as broadcast, and their threshold."""
+
+    shared: Broadcast
+    threshold: float
+    held_out_accuracy: float
+
+
+def count_grams(urls: DataFrame) -> list[MarkovModel]:
+    """The models of kinds 0 and 1 over all rows (url, kind)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: tuple[list[str], list[str]] = ([], [])
+            size = 0
+            for at, (url, kind) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), 1):
+                held[kind].append(url)
+                size += len(url)
+                if size >= BATCH_BYTES or at == batch.num_rows:
+                    for k, some in enumerate(held):
+                        if some:
+                            keys, counts = grams(some)
+                            yield pa.RecordBatch.from_arrays([pa.array(keys | (k << 52)), pa.array(counts)], names=["gram", "n"])
+                            some.clear()
+                    size = 0
+
+    found = urls.select("url", "kind").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    keys, counts = found.column("gram").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    cut = np.searchsorted(keys, 1 << 52)
+    return [MarkovModel.counted(keys[:cut], counts[:cut]), MarkovModel.counted(keys[cut:] - (1 << 52), counts[cut:])]
+
+
+def train(labelled: DataFrame) -> UrlClassifier | None:
     """A classifier from rows (url, ruled); None where either kind is missing."""
-    kinds = []
-    for kind in ("allow", "block"):
-        rows = labelled.where(F.col("ruled") == kind).select("url").orderBy(F.xxhash64("url"), "url").limit(sample).collect()
-        kinds.append([r.url for r in rows])
-    return UrlClassifier(*kinds) if all(kinds) else None
+    spark = labelled.sparkSession
+    work = Workspace(spark, "urls")
+    known = labelled.where("ruled is not null").select("url", (F.col("ruled") == "block").cast("int").alias("kind")).distinct()
+    known = work.save(known.withColumn("held", F.pmod(F.xxhash64("url"), F.lit(HELD)) == 0), "known")
+    split = {(r.kind, r.held) for r in known.groupBy("kind", "held").count().collect()}
+    if len({kind for kind, _ in split}) < 2:
+        work.clear()
+        return None
+    both = F.col("kind").isin([kind for kind in (0, 1) if not {(kind, True), (kind, False)} <= split])
+    shared = spark.sparkContext.broadcast(count_grams(known.where(~F.col("held") | both)))
+    found = known.where(F.col("held") | both).select("kind", scored_by(shared, F.col("url")).alias("score")).toArrow()
+    work.clear()
+    kind, score = found.column("kind").to_numpy(), found.column("score").to_numpy()
+    good, bad = np.sort(score[kind == 0]), np.sort(score[kind == 1])
+    cuts = np.unique(np.concatenate([good, bad]))
+    cuts = np.concatenate([cuts[:1], (cuts[1:] + cuts[:-1]) / 2])
+    right = (len(good) - np.searchsorted(good, cuts)) / len(good) + np.searchsorted(bad, cuts) / len(bad)
+    return UrlClassifier(shared, float(cuts[int(np.argmax(right))]), float(right.max() / 2))
 
 
 def judge(spark: SparkSession, pages: DataFrame, rules: tuple = RULES) -> DataFrame:
@@ -133,14 +200,7 @@ def judge(spark: SparkSession, pages: DataFrame, rules: tuple = RULES) -> DataFr
         scored = urls.withColumn("score", F.lit(None).cast("double"))
         passed = F.lit(True)
     else:
-        shared = spark.sparkContext.broadcast(classifier)
-
-        @F.pandas_udf("double")
-        def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for batch in batches:
-                yield pd.Series(shared.value.scores(batch.fillna("").tolist()) if len(batch) else [], dtype="float64")
-
-        scored = urls.withColumn("score", score("url")).withColumn("score", F.when(F.col("rule").isNull(), F.col("score")))
+        scored = urls.withColumn("score", scored_by(classifier.shared, F.col("url"))).withColumn("score", F.when(F.col("rule").isNull(), F.col("score")))
         passed = F.col("score") >= classifier.threshold
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(passed, "allow").otherwise("block")).alias("verdict"), "score")
 
