@@ -308,15 +308,24 @@ def store_payload(payload: bytes) -> bytes:
     return write_tiff([pixels[i : i + PAGE_ROWS] for i in range(0, len(pixels), PAGE_ROWS)], DEFLATE, predictor=2)
 
 
-def average_hash(page: Page) -> str:
-    """64 bits in hexadecimal: which cells of an 8 x 8 grid are lighter than the page."""
-    grey = page.pixels.mean(axis=2)
-    ys, xs = np.linspace(0, page.height, 9).astype(int)[:-1], np.linspace(0, page.width, 9).astype(int)[:-1]
+def average_hash(*pages: Page) -> str:
+    """64 bits in hexadecimal: which cells of an 8 x 8 grid over pages of one width, one below the other, are lighter than all."""
+    width, height = pages[0].width, sum(p.height for p in pages)
+    ys, xs = np.linspace(0, height, 9).astype(int)[:-1], np.linspace(0, width, 9).astype(int)[:-1]
     ends = lambda a, n: np.maximum(np.append(a[1:], n), a + 1)
-    total = np.pad(grey.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-    y2, x2 = ends(ys, page.height), ends(xs, page.width)
-    cells = (total[np.ix_(y2, x2)] - total[np.ix_(ys, x2)] - total[np.ix_(y2, xs)] + total[np.ix_(ys, xs)]) / np.outer(y2 - ys, x2 - xs)
-    return np.packbits(cells > grey.mean()).tobytes().hex()
+    y2, x2 = ends(ys, height), ends(xs, width)
+    above, at, light = np.zeros(width), 0, 0.0
+    total = {0: np.zeros(width + 1)}  # at the grid's rows, sums of all pixels above and to the left
+    for page in pages:
+        grey = page.pixels.mean(axis=2)
+        down = np.vstack([above, grey]).cumsum(0)
+        for y in {*ys.tolist(), *y2.tolist()}:
+            if at < y <= at + page.height:
+                total[y] = np.pad(down[y - at].cumsum(), (1, 0))
+        above, at, light = down[-1], at + page.height, light + grey.sum()
+    upper, lower = np.array([total[y] for y in ys.tolist()]), np.array([total[y] for y in y2.tolist()])
+    cells = (lower[:, x2] - upper[:, x2] - lower[:, xs] + upper[:, xs]) / np.outer(y2 - ys, x2 - xs)
+    return np.packbits(cells > light / (width * height)).tobytes().hex()
 
 
 PAGES = "id long, page int, width int, height int, samples int, pixels binary, feature string, error string"
@@ -355,7 +364,7 @@ def stored_digests(docs: DataFrame) -> DataFrame:
         media = store_payload(pad(text))
         pages = list(read_pages(media))
         back = b"".join(p.pixels.tobytes() for p in pages)
-        feature = f"{len(pages)}x{pages[0].width}x{sum(p.height for p in pages)}:{np.frombuffer(back, np.uint8).mean():.4f}:{average_hash(pages[0])}"
+        feature = f"{len(pages)}x{pages[0].width}x{sum(p.height for p in pages)}:{np.frombuffer(back, np.uint8).mean():.4f}:{average_hash(*pages)}"
         return doc, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

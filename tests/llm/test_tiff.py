@@ -56,3 +56,17 @@ def test_stored_digests(spark):
     assert by[3].n_bytes == 1_000_000 and by[3].payload_bytes % 192 == 0 and by[3].n_pages == 2
     assert by[4].payload_sha256 == by[None].payload_sha256
     assert tiff.stored_digests(df.limit(0)).count() == 0
+
+
+def test_feature_covers_all_pages(spark):
+    page, half = "a" * (tiff.PAGE_ROWS * tiff.ROW_BYTES), tiff.PAGE_ROWS * tiff.ROW_BYTES // 2
+    texts = [(1, page + "~" * half + "!" * half), (2, page + "!" * half + "~" * half), (3, page + "~" * half + "!" * half)]
+    by = {r.doc_id: r for r in tiff.stored_digests(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    hashes = {k: r.feature.split(":")[2] for k, r in by.items()}
+    assert by[1].n_pages == 2 and hashes[1] != hashes[2] and hashes[1] == hashes[3]
+
+
+def test_hash_of_pages_is_that_of_their_joined_rows():
+    rng = np.random.default_rng(3)
+    pages = [tiff.Page(i, 64, h, 3, rng.integers(0, 256, (h, 64, 3)).astype(np.uint8)) for i, h in enumerate((40, 1, 23))]
+    assert tiff.average_hash(*pages) == tiff.average_hash(tiff.Page(0, 64, 64, 3, np.concatenate([p.pixels for p in pages])))
