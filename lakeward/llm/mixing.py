@@ -72,18 +72,19 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
 
 
 def place(sized: DataFrame) -> DataFrame:
-    """Adds `at`, the word at which each document starts in its source's shuffled stream.
+    """Adds `at`, the word at which each document starts in its source's shuffled stream, and `tie`, its row in its lane.
 
     The shuffle order is cut into lanes, so that a large source is summed by many tasks.
     """
     lanes = sized.groupBy("source", "lane").agg(F.sum("size").alias("lane_size"))
     before = Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     lanes = lanes.select(F.col("source").alias("s"), F.col("lane").alias("l"), F.coalesce(F.sum("lane_size").over(before), F.lit(0)).alias("lane_at"))
-    within = Window.partitionBy("source", "lane").orderBy("shuffle_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = Window.partitionBy("source", "lane").orderBy("shuffle_key", "doc_id", "size")
+    within = ordered.rowsBetween(Window.unboundedPreceding, -1)
     return (
-        sized.withColumn("in_lane", F.coalesce(F.sum("size").over(within), F.lit(0)))
+        sized.withColumn("in_lane", F.coalesce(F.sum("size").over(within), F.lit(0))).withColumn("tie", F.row_number().over(ordered))
         .join(lanes, F.col("source").eqNullSafe(F.col("s")) & (F.col("lane") == F.col("l")))
-        .select("doc_id", "source", "size", (F.col("lane_at") + F.col("in_lane")).alias("at"))
+        .select("doc_id", "source", "size", (F.col("lane_at") + F.col("in_lane")).alias("at"), "tie")
     )
 
 
@@ -127,7 +128,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2,
     pieces = placed.withColumn("block", F.explode(F.sequence(first, last)))
     inside = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("at"), F.col("block") * block)
     taken = F.coalesce(F.sum(inside * F.coalesce(F.col("times"), F.lit(0))), F.lit(0)).cast("long")
-    return pieces.join(reads, ["nth", "block"], "left").groupBy("doc_id", "source", "nth", "at", "size", "source_size", "target").agg(taken.alias("taken"))
+    return pieces.join(reads, ["nth", "block"], "left").groupBy("doc_id", "source", "nth", "at", "tie", "size", "source_size", "target").agg(taken.alias("taken")).drop("tie")
 
 
 def take(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
