@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder every executor shares: ``spark.checkpoint.dir``, or a local one where it is unset and Spark runs locally (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not configured:
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lakeward-"))
         configured = spark.sparkContext.getCheckpointDir()
@@ -26,9 +28,11 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def save(self, df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+        """Write a table and read it back; `by` gives each value of a column a folder of its own."""
         path = f"{self.root}/{name}"
-        df.write.option("compression", codec).parquet(path)
+        writer = df.write.option("compression", codec)
+        (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -49,5 +53,12 @@ class Workspace:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def parts_for(df: DataFrame, each: int) -> int:
+    """Partitions for rows of `df`: the session's number, or more where its inputs have more than `each` bytes apiece."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size if size < 1 << 62 else 0  # unknown sizes are given as the largest number
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // each))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

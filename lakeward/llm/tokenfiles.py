@@ -27,43 +27,56 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import SPACE, span_table, texts_of
-from .cluster import Workspace, table
+from .cluster import Workspace, parts_for, table
 
 FRAME = 1024
 PERCENT = 95
 SEGMENT_BYTES = 1 << 20
 END_ID = 0
 CACHE = 1_000_000
+BATCH = 2048
+PART_BYTES = 64 << 20
 HEAD = struct.Struct("<4sIQ")
 MAGIC = b"LPF1"
 
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_MARK = np.zeros(256, dtype=bool)
-_MARK[list(b".,;:!?")] = True
+#: Of ASCII bytes: letters 1, digits 2, marks but the apostrophe 3.
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[33:127] = 3
+_KIND[48:58] = 2
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[39] = 0
+#: How byte-level vocabularies spell bytes: as the character of that number if it can be printed, else as one from 256 on.
+_SPELLED = np.arange(256, dtype="<u4")
+_UNPRINTED = [*range(33), *range(127, 161), 173]
+_SPELLED[_UNPRINTED] = 256 + np.arange(len(_UNPRINTED))
+_SPELLED[10] = 10  # stands between pieces
 #: White space beyond ASCII, and strings of special tokens: such texts are encoded as they are.
 _ODD = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"<|", b"\x00", b"\x1c", b"\x1d", b"\x1e", b"\x1f"]
 
 
 class Encoder:
-    """Ids of whole texts; pieces between certain pre-token boundaries are encoded once and remembered."""
+    """Ids of whole texts; pieces between certain pre-token boundaries are encoded once and remembered.
+
+    A piece of up to seven bytes is its own key; longer ones are found by a
+    fingerprint and compared byte by byte, so that no two are ever mixed up.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already; threads would each keep memory
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known = np.zeros(0, np.uint64)  # fingerprints in order, and the place of each one's ids
-        self.place = np.zeros(0, np.int32)
-        self.flat = np.zeros(0, np.int32)
-        self.offset = np.zeros(1, np.int64)
+        empty = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.known, self.recent = empty, empty  # keys in order, and the place of each one's ids
+        self.flat, self.offset = Growing(np.int32), Growing(np.int64, [0])
+        self.bytes, self.ends = Growing(np.uint8), Growing(np.int64, [0])
 
     def whole(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=np.int32)
 
     @staticmethod
-    def boundaries(data: np.ndarray, gap: np.ndarray) -> np.ndarray:
-        """Starts of pieces that are always cut there; `gap` marks the bytes between texts."""
+    def boundaries(data: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of pieces that are always cut there, and which are one pre-token; `gap` marks the bytes between texts."""
         space = SPACE[data] & ~gap
         solid = ~space & ~gap
         before = lambda x: np.concatenate([[False], x[:-1]])
@@ -73,66 +86,120 @@ class Encoder:
         joins = blank & after(word)  # a space belongs to the word behind it
         cut = gap | before(gap) | (word & ~before(blank)) | joins | (space & ~before(space))
         cut |= space & ~blank & after(word)  # the last of white space that can't join is a piece of its own
-        letter = _LETTER[data]
-        two = before(data == 0xC3) & (data >= 0x80) & (data != 0x97) & (data != 0xB7)
-        cut |= _MARK[data] & before(letter | two)
+        # Letters, digits and marks are never one token; accented letters are two bytes.
+        tail = (data >= 0x80) & (data <= 0xBF) & (data != 0x97) & (data != 0xB7)
+        pair = (data == 0xC3) & after(tail)
+        kind = np.where(pair | before(pair), np.uint8(1), _KIND[data])
+        turn = np.concatenate([[False], kind[1:] != kind[:-1]])
+        cut |= turn & (kind > 0) & np.concatenate([[False], kind[:-1] > 0])
         cut[:1] = True
-        return np.flatnonzero(cut)
-
-    def _find(self, prints: np.ndarray) -> np.ndarray:
-        """Places of the ids of ordered fingerprints, -1 for those not known."""
-        if not len(self.known):
-            return np.full(len(prints), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.known, prints), len(self.known) - 1)
-        return np.where(self.known[at] == prints, self.place[at], -1).astype(np.int64)
-
-    def _learn(self, prints: np.ndarray, pieces: list[bytes]) -> np.ndarray:
-        """Encode new pieces (with fingerprints in order); returns their places."""
-        texts, found = [p.decode("utf-8", "replace") for p in pieces], []
-        for i in range(0, len(texts), 2048):
-            found += [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 2048], add_special_tokens=False)]
-        have = len(self.offset) - 1
-        ends = self.offset[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1] - self.offset[-1]))])
-        self.offset = np.concatenate([self.offset, ends])
-        places = np.arange(have, have + len(prints))
-        self.known = np.concatenate([self.known, prints])
-        order = np.argsort(self.known, kind="stable")
-        self.known, self.place = self.known[order], np.concatenate([self.place, places.astype(np.int32)])[order]
+        start = np.flatnonzero(cut)
+        # One pre-token: letters, digits or marks alone, with at most a space before them.
+        odd, turns = (np.concatenate([[0], np.cumsum(x, dtype=np.int32)]) for x in (kind == 0, turn))
+        end, solid_from = np.append(start[1:], len(data)), start + (data[start] == 32)
+        single = solid_from < end
+        solid_from = np.minimum(solid_from, len(data) - 1)
+        return start, single & (odd[end] == odd[solid_from]) & (turns[end] == turns[solid_from + 1])
+
+    @staticmethod
+    def keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of a piece of up to seven bytes, these and their number; of a longer one, a fingerprint with the top bit set."""
+        size = end - start
+        short = size <= 7
+        eight = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8)
+        out = np.empty(len(start), np.uint64)
+        few = size[short].astype(np.uint64)
+        packed = np.ascontiguousarray(eight[start[short]]).view("<u8").ravel() & ((np.uint64(1) << (few * np.uint64(8))) - np.uint64(1))
+        out[short] = packed | (few << np.uint64(56))
+        out[~short] = span_table(data, start[~short], end[~short]) | np.uint64(1 << 63)
+        return out
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the ids of ordered keys, -1 for those not known."""
+        out = np.full(len(keys), -1, np.int64)
+        for known, place in (self.known, self.recent):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                out = np.where(known[at] == keys, place[at], out)
+        return out
+
+    def _append(self, pieces: list[bytes], single: np.ndarray) -> np.ndarray:
+        """Encode pieces, of which `single` are one pre-token, and keep their ids and bytes; returns their places."""
+        found: list[list[int]] = [[]] * len(pieces)
+        tokenize, which = self.tokenizer.model.tokenize, np.flatnonzero(single).tolist()
+        spelled = _SPELLED[np.frombuffer(b"\n".join([pieces[i] for i in which]), np.uint8)].tobytes().decode("utf-32-le")
+        for i, p in zip(which, spelled.split("\n") if which else [], strict=True):
+            found[i] = [t.id for t in tokenize(p)]
+        rest = np.flatnonzero(~single).tolist()
+        for a in range(0, len(rest), BATCH):
+            some = rest[a : a + BATCH]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8", "replace") for i in some], add_special_tokens=False), strict=True):
+                found[i] = e.ids
+        first = len(self.offset) - 1
+        self.offset.add(self.offset.last() + np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))
+        self.flat.add(np.fromiter(chain.from_iterable(found), np.int32))
+        self.ends.add(self.ends.last() + np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))))
+        self.bytes.add(np.frombuffer(b"".join(pieces), np.uint8))
+        return np.arange(first, first + len(pieces), dtype=np.int32)
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes], single: np.ndarray) -> np.ndarray:
+        """Encode new pieces (with keys in order); returns their places."""
+        places = self._append(pieces, single)
+        self.recent = _merged(self.recent, (keys, places))
+        if len(self.recent[0]) > max(1 << 15, len(self.known[0]) // 4):
+            self.known, self.recent = _merged(self.known, self.recent), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
         return places
 
     def _limit(self) -> None:
         """Keep the pieces met first, which are the frequent ones, once there are more than `CACHE`."""
-        if len(self.known) > CACHE:
-            old = self.place < CACHE
-            self.known, self.place = self.known[old], self.place[old]
-            self.flat, self.offset = self.flat[: self.offset[CACHE]], self.offset[: CACHE + 1]
+        if len(self.offset) - 1 > CACHE:
+            keys, place = _merged(self.known, self.recent)
+            old = place < CACHE
+            self.known, self.recent = (keys[old], place[old]), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+            self.flat.cut(int(self.offset.view()[CACHE]))
+            self.bytes.cut(int(self.ends.view()[CACHE]))
+            self.offset.cut(CACHE + 1)
+            self.ends.cut(CACHE + 1)
 
     def many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id behind each text, and each text's number of ids."""
-        odd = {i for i, t in enumerate(texts) if any(x in t for x in _ODD)}
-        data = np.frombuffer(b"\x00".join(b"" if i in odd else t for i, t in enumerate(texts)) + b"\x00", dtype=np.uint8)
+        raw = b"\x00".join(texts)
+        marks = [x for x in _ODD if x != b"\x00" and x in raw] + ([b"\x00"] if raw.count(b"\x00") >= len(texts) else [])
+        odd = {i for i, t in enumerate(texts) if any(x in t for x in marks)} if marks else set()
+        if odd:
+            raw = b"\x00".join(b"" if i in odd else t for i, t in enumerate(texts))
+        raw += b"\x00"
+        data = np.frombuffer(raw, dtype=np.uint8)
         gap = data == 0
-        start = self.boundaries(data, gap)
+        start, single = self.boundaries(data, gap)
         end = np.append(start[1:], len(data))
-        prints = span_table(data, start, end)
-        unique, first, inverse = np.unique(prints, return_index=True, return_inverse=True)
+        unique, first, inverse = np.unique(self.keys(data, start, end), return_index=True, return_inverse=True)
         own = ~gap[start[first]]
         place = self._find(unique)
         if (missing := np.flatnonzero((place < 0) & own)).size:
-            raw = data.tobytes()
-            place[missing] = self._learn(unique[missing], [raw[a:b] for a, b in zip(start[first[missing]].tolist(), end[first[missing]].tolist(), strict=True)])
+            place[missing] = self._learn(unique[missing], [raw[a:b] for a, b in zip(start[first[missing]].tolist(), end[first[missing]].tolist(), strict=True)], single[first[missing]])
         piece = place[inverse]
         is_gap = gap[start]
         piece[is_gap] = -2
+        offset, flat = self.offset.view(), self.flat.view()
+        long = np.flatnonzero((end - start > 7) & ~is_gap)
+        ends = self.ends.view()
+        size = (end - start)[long]
+        differs = ends[piece[long] + 1] - ends[piece[long]] != size
+        rest = long[~differs]
+        differs[~differs] = _differ(data, start[rest], self.bytes.view(), ends[piece[rest]], size[~differs])
+        if differs.any():  # another piece has its fingerprint
+            which = long[differs]
+            piece[which] = self._append([raw[a:b] for a, b in zip(start[which].tolist(), end[which].tolist(), strict=True)], single[which])
+            offset, flat = self.offset.view(), self.flat.view()
         count = np.ones(len(piece), np.int64)  # a gap is the end id
         real = piece >= 0
-        count[real] = self.offset[piece[real] + 1] - self.offset[piece[real]]
+        count[real] = offset[piece[real] + 1] - offset[piece[real]]
         out_at = np.concatenate([[0], np.cumsum(count)])
         ids = np.full(out_at[-1], END_ID, dtype=np.int32)
-        source = np.repeat(self.offset[np.where(real, piece, 0)] - out_at[:-1], count) + np.arange(out_at[-1])
+        source = np.repeat(offset[np.where(real, piece, 0)] - out_at[:-1], count) + np.arange(out_at[-1])
         filled = np.repeat(real, count)
-        ids[filled] = self.flat[source[filled]]
+        ids[filled] = flat[source[filled]]
         self._limit()
         ends = out_at[1:][is_gap]
         lens = np.diff(ends, prepend=0)
@@ -149,6 +216,50 @@ class Encoder:
         return ids, lens
 
 
+class Growing:
+    """An array that is appended to in place."""
+
+    def __init__(self, kind: type, values: list[int] | None = None):
+        self.held, self.size = np.zeros(1 << 16, kind), 0
+        self.add(np.array(values or [], kind))
+
+    def __len__(self) -> int:
+        return self.size
+
+    def add(self, values: np.ndarray) -> None:
+        if self.size + len(values) > len(self.held):
+            bigger = np.zeros(max(2 * len(self.held), self.size + len(values)), self.held.dtype)
+            bigger[: self.size] = self.view()
+            self.held = bigger
+        self.held[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+    def cut(self, size: int) -> None:
+        self.size = size
+
+    def view(self) -> np.ndarray:
+        return self.held[: self.size]
+
+    def last(self) -> int:
+        return int(self.held[self.size - 1])
+
+
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two pairs of ordered keys and their places as one."""
+    at = np.searchsorted(a[0], b[0])
+    return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
+
+
+def _differ(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes of a and b behind the two places differ."""
+    if not len(size):
+        return np.zeros(0, dtype=bool)
+    ends = np.cumsum(size)
+    step = np.arange(int(ends[-1]))
+    wrong = a[np.repeat(at_a - (ends - size), size) + step] != b[np.repeat(at_b - (ends - size), size) + step]
+    return np.logical_or.reduceat(wrong, ends - size) if wrong.any() else np.zeros(len(size), dtype=bool)
+
+
 def pack_frames(ids: np.ndarray) -> bytes:
     """Ids (each under 2**32) as patched frames of reference behind an index."""
     n = len(ids)
@@ -258,8 +369,7 @@ def encode_sorted(docs: DataFrame, vocabulary: str, segment_bytes: int = SEGMENT
 
 def write_files(docs: DataFrame, vocabulary: str, path: str) -> None:
     """Write the token-id files of `docs` in ascending doc_id order."""
-    spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts_for(docs, PART_BYTES)
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     encode_sorted(ordered, vocabulary).write.option("compression", "none").parquet(path)
 
