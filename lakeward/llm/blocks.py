@@ -15,6 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BLOCK_BYTES = 4 << 20
 PIECE = 1 << 18
@@ -100,7 +101,57 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+SLICE_BYTES = 4 << 20
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], text_col: int, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of record batches with a few megabytes of text (or one longer text) each, and their texts."""
+    for batch in batches:
+        texts = texts_of(batch.column(text_col))
+        at = 0
+        while at < len(texts):
+            stop, held = at, 0
+            while stop < len(texts) and held < most:
+                held += len(texts[stop])
+                stop += 1
+            yield batch.slice(at, stop - at), texts[at:stop]
+            at = stop
+
+
 PACKED = "block long, ids array<long>, lens array<long>, data binary"
+BLOCK_ROWS = 20_000
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], text_col: int, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, list[pa.RecordBatch], list[bytes]]]:
+    """Number, rows (in slices) and texts of blocks of whole documents."""
+    from pyspark import TaskContext
+
+    block = TaskContext.get().partitionId() << 24
+    rows: list[pa.RecordBatch] = []
+    texts: list[bytes] = []
+    held = 0
+    for batch in batches:
+        first = 0
+        for i, text in enumerate(texts_of(batch.column(text_col)), 1):
+            texts.append(text)
+            held += len(text)
+            if held >= block_bytes or len(texts) >= BLOCK_ROWS:
+                yield block, [*rows, batch.slice(first, i - first)], texts
+                block, first, rows, texts, held = block + 1, i, [], [], 0
+        if first < batch.num_rows:
+            rows.append(batch.slice(first))
+    if texts:
+        yield block, rows, texts
+
+
+def packed_row(block: int, ids: list[int | None], texts: list[bytes], rest: bytes | None = None) -> pa.RecordBatch:
+    """A row of `PACKED`, with `rest` if there is any."""
+    squeeze = zstandard.ZstdCompressor(level=3)
+    columns = [pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) for x in texts]], pa.list_(pa.int64())), pa.array([squeeze.compress(b"".join(texts))], pa.binary())]
+    names = ["block", "ids", "lens", "data"]
+    if rest is not None:
+        columns, names = [*columns, pa.array([rest], pa.binary())], [*names, "rest"]
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -111,39 +162,49 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        block = TaskContext.get().partitionId() << 24
-        squeeze = zstandard.ZstdCompressor(level=3)
-        ids: list[int] = []
-        texts: list[bytes] = []
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block], pa.int64()),
-                    pa.array([ids], pa.list_(pa.int64())),
-                    pa.array([[len(x) for x in texts]], pa.list_(pa.int64())),
-                    pa.array([squeeze.compress(b"".join(texts))], pa.binary()),
-                ],
-                names=["block", "ids", "lens", "data"],
-            )
-
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                ids.append(doc)
-                texts.append(text)
-                held += len(text)
-                if held >= block_bytes or len(ids) >= 20_000:
-                    yield flush()
-                    block, ids, texts, held = block + 1, [], [], 0
-        if ids:
-            yield flush()
+        for block, rows, texts in blocks_of(batches, 1, block_bytes):
+            yield packed_row(block, [i for r in rows for i in r.column(0).to_pylist()], texts)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PACKED)
 
 
+def pack_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Like `pack`, with all other columns, and which texts are null, in the column `rest`; columns may have any names."""
+    at, n = docs.columns.index(text_col), len(docs.columns)
+    numbered = docs.toDF(*[f"c{i}" for i in range(n)])
+    rows = numbered.select(F.col(f"c{docs.columns.index(id_col)}").cast("long").alias("id"), F.col(f"c{at}").cast("string").alias("text"), *[f"c{i}" for i in range(n) if i != at])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, held, texts in blocks_of(batches, 1):
+            whole = pa.Table.from_batches(held)
+            rest = whole.drop_columns(["id", "text"]).append_column("null", whole.column("text").is_null())
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rest.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rest)
+            yield packed_row(block, whole.column("id").to_pylist(), texts, sink.getvalue().to_pybytes())
+
+    return rows.mapInArrow(run, PACKED + ", rest binary")
+
+
+def unpack_rows(packed: DataFrame, schema: StructType, text_col: str = "text") -> DataFrame:
+    """The rows that `pack_rows` packed, without those at the places `gone`; `packed` has lens, data, rest and gone."""
+    at = schema.names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lens, data, rest, gone in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                raw, ends = unpack(data.as_py()).tobytes(), np.cumsum(np.array(lens, np.int64))
+                own = pa.ipc.open_stream(rest.as_py()).read_all().combine_chunks()
+                null = own.column("null").to_pylist()
+                texts = pa.array([None if no else raw[e - n : e].decode() for no, e, n in zip(null, ends.tolist(), lens, strict=True)], pa.string())
+                columns = own.drop_columns(["null"]).columns
+                stay = np.ones(len(lens), dtype=bool)
+                stay[gone or []] = False
+                yield from pa.Table.from_arrays([*columns[:at], texts, *columns[at:]], names=schema.names).filter(pa.array(stay)).to_batches()
+
+    return packed.mapInArrow(run, schema)
+
+
 def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8) if data else np.zeros(0, np.uint8)
 

@@ -20,8 +20,7 @@ ASCII white space, A-Z lower-cased); two link when 100 * |intersection| >=
   scanning: both costs come from the histogram of sizes.
 
 Counts of shingles, inverted lists and classes are over all documents; 64-bit
-fingerprints stand for shingles (128-bit ones for whole sets; sets that are
-compared carry 48 bits a shingle).
+fingerprints stand for shingles, 128-bit ones for whole sets.
 
 Defined cases: null or empty texts, and texts of white space, have no set and
 link with nothing; a text of fewer than five words has one shingle, all its
@@ -35,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import pack, shingle_fingerprints, unpack, word_fingerprints
+from .blocks import pack, pack_rows, shingle_fingerprints, unpack, unpack_rows, word_fingerprints
 from .cluster import Workspace, table
 
 SHARE = 3, 4  # the similarity 0.75
@@ -85,14 +85,11 @@ def _names(sets: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def to_held(ordered: np.ndarray) -> bytes:
-    """The high six bytes of ordered fingerprints, which keep their order."""
-    return np.ascontiguousarray((ordered >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    return ordered.tobytes()
 
 
 def from_held(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view(np.uint64)
+    return np.frombuffer(data, dtype=np.uint64)
 
 
 def node_of(block: int, i: int) -> int:
@@ -220,7 +217,7 @@ def light_edges(heavy: DataFrame, most: int) -> DataFrame:
         for batch in batches:
             out = []
             for node, n, held in zip(batch["node"], batch["n"], batch["held"], strict=True):
-                mine = [held[i : i + 6] for i in range(0, len(held), 6)]
+                mine = [held[i : i + 8] for i in range(0, len(held), 8)]
                 for t in range(-(-3 * n // 4), min(most, 4 * n // 3) + 1):
                     c = needed(n, t)
                     if c <= min(n, t, len(mine)):
@@ -276,6 +273,8 @@ def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame, ws: Work
         jumps = labels.select(F.col("node").alias("j"), F.col("label").alias("far"))
         moved = stepped.join(jumps, F.col("next.node") == F.col("j"), "left").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("moved"))
         labels = ws.save(moved, f"{name}-{turn}")
+        if turn > 1:
+            ws.drop(f"{name}-{turn - 2}")
         if not labels.where("moved").limit(1).count():
             break
         labels = labels.select("node", "label")
@@ -331,11 +330,17 @@ def scan_edges(members: DataFrame, labels: DataFrame, ws: Workspace) -> DataFram
     return tasks.groupBy("pivot", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def join_components(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text)."""
-    spark = docs.sparkSession
-    ws = ws or Workspace(spark, "jaccard")
-    packed = ws.save(pack(docs), "packed", "none")
+@dataclass
+class Joined:
+    """What the join finds: node, doc, n and sig of each row, and sig, smallest doc and node of its component."""
+
+    sets: DataFrame
+    smallest: DataFrame
+
+
+def join_nodes(packed: DataFrame, ws: Workspace) -> Joined:
+    """Components of the texts of `packed`, which stays as it is."""
+    spark = packed.sparkSession
     total = packed.agg(F.coalesce(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("n")).first()["n"]
     buckets = max(2, total // BUCKET_BYTES)
     sets = ws.save(shingle_sets(packed), "sets", "none")
@@ -346,32 +351,59 @@ def join_components(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
     heads = classes.select("node", "doc")
     heavy = ws.save(rare_prefixes(packed, messages.unionByName(head_messages(heads)), buckets), "heavy", "none")
     ws.drop("messages")
-    ws.drop("packed")
     ws.release()
     most = boundary(heavy)
     members = ws.save(groups(heavy, most), "groups", "none")
     edges = ws.save(light_edges(heavy, most).unionByName(star_edges(members)), "edges")
     active = ws.save(heavy.select("node").join(heads, "node"), "active")
+    ws.drop("heavy")
+    ws.release()
     labels = components(spark, active, edges, ws, "first")
     found = ws.save(scan_edges(members, labels, ws), "found")
+    ws.drop("groups")
     labels = components(spark, active, edges.unionByName(found), ws, "last")
-    smallest = classes.join(labels, "node", "left").select("sig", F.coalesce("label.doc", "doc").alias("smallest"))
-    out = sets.withColumn("sig", F.when(F.col("n") > 0, F.col("sig"))).join(smallest, "sig", "left")
+    own = F.struct("doc", classes["node"])
+    return Joined(sets, classes.join(labels.withColumnRenamed("node", "at"), classes["node"] == F.col("at"), "left").select("sig", F.coalesce("label", own).alias("smallest")))
+
+
+def join_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text)."""
+    ws = Workspace(docs.sparkSession, "jaccard")
+    packed = ws.save(pack(docs), "packed", "none")
+    joined = join_nodes(packed, ws)
+    out = joined.sets.withColumn("sig", F.when(F.col("n") > 0, F.col("sig"))).join(joined.smallest, "sig", "left")
     real = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    return out.select(real("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(real("smallest"), real("doc")).alias("component_id"))
+    out = out.select(real("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(real("smallest.doc"), real("doc")).alias("component_id"))
+    out = Workspace(docs.sparkSession, "components").save(out, "rows")
+    ws.clear()
+    ws.release()
+    return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The row of the smallest doc_id of each component, with all columns.
-
-    Rows with equal doc_id and text count once; a component without any doc_id keeps one row of each text.
+    """One row of each component, the first by doc_id (nulls last), with all columns and whatever their names.
+
+    A row whose text has no words links with nothing and stays, as do repeated
+    ones of that kind; null texts stay null; of equal rows one stays; an empty
+    table gives none.  Rows are packed once, in blocks of a few megabytes, and
+    told by a list of places for each block which of them go; that list has
+    two bytes a row at most, so while it is small no text is shuffled, and
+    where it is not, blocks are shuffled compressed.
     """
-    inner = Workspace(docs.sparkSession, "jaccard")
-    found = Workspace(docs.sparkSession, "distinct").save(join_components(docs, inner), "components").where("doc_id <=> component_id")
-    inner.clear()
-    heads = found.groupBy(F.col("doc_id").alias("head")).agg(F.count("*").alias("rows"))
-    kept = docs.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("head")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]) if heads.where("rows > 1").limit(1).count() else kept
+    ws = Workspace(docs.sparkSession, "jaccard")
+    packed = ws.save(pack_rows(docs), "packed", "none")
+    joined = join_nodes(packed.select("block", "ids", "lens", "data"), ws)
+    gone = joined.sets.where("n > 0").join(joined.smallest, "sig").where("node <> smallest.node")
+    place = F.col("node").bitwiseAND(F.lit((1 << 15) - 1)).cast("short")
+    lists = gone.groupBy(F.shiftright("node", 15).alias("block")).agg(F.collect_list(place).alias("gone"))  # at most a block's rows
+    kept = Workspace(docs.sparkSession, "kept")
+    lists = kept.save(lists, "gone", "none")
+    told = packed.join(lists, "block", "left").select("lens", "data", "rest", "gone")
+    out = kept.save(unpack_rows(told, docs.schema), "rows")
+    ws.clear()
+    kept.drop("gone")
+    ws.release()
+    return out
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

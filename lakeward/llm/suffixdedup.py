@@ -1,32 +1,36 @@
-"""Repeated passages by blockwise suffix sorting with a difference cover.
+"""Repeated passages by blockwise suffix sorting with difference covers.
 
 Two suffixes repeat if their first `LENGTH` bytes agree.  A suffix counts as
 repeated where an earlier one (smaller doc_id, then smaller start) agrees.
 Documents are packed into blocks in doc_id order.
 
-1. The cover: residues `COVER` modulo `PERIOD` hit every difference, so any two
-   suffixes i, j have an offset d < PERIOD at which both i + d and j + d are
-   sampled.  Sampled suffixes are named by their first LENGTH - PERIOD + 1
-   bytes; equal names meet in one name bucket, which says which names repeat.
-2. A suffix without a repeated name among the samples of its first PERIOD bytes
-   differs from all others before LENGTH: its place is settled.  Only the
-   others, the long ties, are sorted: a few suffix buckets at a time, each by
-   one task, by the fingerprint of the LENGTH bytes; of equal ones, the block
-   with the smallest number holds the earliest.
-3. Blocks get a bit for each suffix they sent, and blank out what is covered.
-
-The order of suffixes is that of 64-bit fingerprints and not of bytes, as only
-equality matters here; different strings agree for about one pair in 2**64.
-Names and suffixes are sent once per block and string, so a passage that many
-documents share costs at most one entry a block.  A bucket is bounded by the
-text it is made for (`BUCKET_BYTES`), and only `ROUNDS`-th of the suffixes are
-held at once.
+1. Candidates.  Residues `COVER` modulo `PERIOD` hit every difference, so any
+   two suffixes i, j have an offset d < PERIOD at which both i + d and j + d are
+   sampled.  If no sampled string of `NAME` bytes among a suffix's first PERIOD
+   offsets occurs twice, the suffix is alone.  Strings meet by their
+   fingerprints, which may only keep a suffix too many.
+2. Ranks.  A second, denser cover (`RESIDUES` modulo `STEP`) samples the
+   candidates.  A sample's first LENGTH - STEP + 1 bytes are a chain of pieces,
+   at places that are samples, too; the pieces are sorted by their bytes, one
+   bucket at a time, and get the ranks of this order.
+3. Suffixes.  A suffix compares with another by its first d < STEP bytes, by
+   the ranks of the chain at offset d, where both are sampled, and by the few
+   bytes behind it up to LENGTH; this is exact.  Samples are sorted one bucket
+   at a time by their ranks, with STEP - 1 bytes to either side, and for each d
+   the earliest block of each group of equal suffixes is found.
+4. Blocks get a bit for each sample and offset, and blank out what is covered.
+
+Nothing rests on fingerprints agreeing: where these order rows, neighbours are
+compared byte by byte.  Pieces and samples are sent once per block and string,
+so a passage that many documents share costs at most one entry a block.  A
+bucket is bounded by the text it is made for (`BUCKET_BYTES`), and only a
+`ROUNDS`-th of the buckets is shuffled at once.
 
 Defined cases: null text is empty; texts under LENGTH bytes stay as they are;
 copies of a whole text are removed but for the first; rows with equal doc_id
 are ordered by the MD5 of their text, and of equal rows one counts as first; a
 null doc_id comes before all others; texts of any length are one piece; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,25 +42,35 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, PACKED, PIECE, prefix_sums, span_fingerprints, texts_of, unpack
-from .cluster import Workspace, table
+from .blocks import BLOCK_BYTES, PACKED, PIECE, mix, packed_row, prefix_sums, span_fingerprints, texts_of, unpack
+from .cluster import Workspace, parts_for, table
 
 LENGTH = 100
 PERIOD = 57
 #: A perfect difference set modulo 57.
 COVER = (0, 1, 6, 15, 22, 26, 45, 55)
 NAME = LENGTH - PERIOD + 1
+STEP = 13
+#: A perfect difference set modulo 13.
+RESIDUES = (0, 1, 3, 9)
+SIDE = STEP - 1
+LINKS = 6
+PIECE_BYTES = LENGTH - SIDE - STEP * (LINKS - 1)
 BUCKET_BYTES = 16 << 20
 ROUNDS = 3
+PART_BYTES = 64 << 20
+SALTS = 64
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 FIRST = -(1 << 63)
 MESSAGE = "block long, bucket int, kind int, data binary"
 
 assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
+assert {(a - b) % STEP for a in RESIDUES for b in RESIDUES} == set(range(STEP))
 _SAMPLED = np.isin(np.arange(PERIOD), COVER)
+_RANKED = np.isin(np.arange(STEP), RESIDUES)
 
 
 def fingerprints(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -108,33 +122,144 @@ class Block:
         np.add.at(whole, (self.start + self.lens - LENGTH + 1)[has], -1)
         return np.flatnonzero((np.cumsum(near)[:-1] > 0) & (np.cumsum(whole)[:-1] > 0))
 
-    def suffixes(self, buckets: int, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the ties: places, unique fingerprints in order, place of each one's first, and index from ties to them."""
-        at = self.ties(buckets, repeated)
-        unique, first, inverse = np.unique(fingerprints(self.data, at, LENGTH), return_index=True, return_inverse=True)
-        return at, unique, first, inverse
 
 
-def _isin(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(values), dtype=bool)
-    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+def grouped(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal rows of the columns (uint64) lie side by side, and where each group starts.
+
+    Rows are ordered by a fingerprint, and by their values if different rows share one.
+    """
+    n = len(columns[0])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    prints = mixed(columns)
+    order = np.argsort(prints)
+    differ = np.zeros(n - 1, dtype=bool)
+    for c in columns:
+        ranked = c[order]
+        differ |= ranked[1:] != ranked[:-1]
+    if (differ & (prints[order[1:]] == prints[order[:-1]])).any():
+        order = np.lexsort(columns[::-1])
+        differ = np.zeros(n - 1, dtype=bool)
+        for c in columns:
+            ranked = c[order]
+            differ |= ranked[1:] != ranked[:-1]
+    return order, np.flatnonzero(np.concatenate([[True], differ]))
+
+
+def mixed(columns: list[np.ndarray]) -> np.ndarray:
+    """A fingerprint of each row of the columns."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        out = mix((out ^ c) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    return out
 
 
-def _split(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Bounds of each bucket in ascending fingerprints."""
-    return np.searchsorted(_buckets(keys, buckets), np.arange(buckets + 1, dtype=np.uint64))
+def numbers(order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Number of each row's group."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+    return out
 
 
-def _short(keys: np.ndarray) -> bytes:
-    """The low seven bytes of each key; its bucket says the rest."""
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+def as_words(rows: np.ndarray) -> list[np.ndarray]:
+    """Columns of uint64 that order like the rows' bytes (n x k uint8)."""
+    n, k = rows.shape
+    padded = np.zeros((n, -(-k // 8) * 8), np.uint8)
+    padded[:, :k] = rows
+    return list(np.ascontiguousarray(padded).view(">u8").astype(np.uint64).T)
+
+
+class Samples:
+    """The ranked cover's samples of a block's candidates, and the pieces of their chains."""
+
+    def __init__(self, block: Block, tied: np.ndarray, buckets: int):
+        data, self.buckets = block.data, buckets
+        inside = np.arange(len(data)) - np.repeat(block.start, block.lens)
+        before = np.concatenate([np.zeros(STEP, np.int32), np.cumsum(tied, dtype=np.int32)])
+        self.at = np.flatnonzero((before[STEP:] > before[:-STEP]) & _RANKED[inside % STEP])
+        # Offsets at which a sample stands for a suffix within its text, `low` to `high`.
+        left = np.repeat(block.start + block.lens, block.lens)[self.at] - self.at
+        self.low, self.high = np.maximum(0, LENGTH - left), np.minimum(SIDE, inside[self.at])
+        asked = np.zeros(len(data) + STEP * LINKS, dtype=bool)
+        for t in range(LINKS):
+            asked[self.at + STEP * t] = True
+        self.pieces = np.flatnonzero(asked)
+        windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(LENGTH, np.uint8)]), PIECE_BYTES)
+        rows = windows[self.pieces]
+        words = as_words(rows)
+        order, starts = grouped(words)
+        first = order[starts]
+        bucket = _buckets(mixed([w[first] for w in words]), buckets)
+        turn = np.argsort(bucket, kind="stable")
+        place = np.empty(len(turn), np.int64)
+        place[turn] = np.arange(len(turn))
+        self.unique, self.number = rows[first[turn]], place[numbers(order, starts)]
+        self.cut = np.searchsorted(bucket[turn], np.arange(buckets + 1, dtype=np.uint64))
+        wide = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(LENGTH, np.uint8)])
+        sides = np.lib.stride_tricks.sliding_window_view(wide, LENGTH - SIDE + 2 * SIDE)[self.at]
+        self.sides = np.concatenate([sides[:, :SIDE], sides[:, -SIDE:]], axis=1)
+
+    def piece_messages(self) -> list[tuple[int, bytes]]:
+        return [(b, self.unique[self.cut[b] : self.cut[b + 1]].tobytes()) for b in range(self.buckets) if self.cut[b] < self.cut[b + 1]]
+
+    def rank(self, told: list[tuple[int, bytes]], wide: bool) -> None:
+        """Take the pieces' ranks; samples with the same chain, sides and offsets are one record from now on."""
+        ranks = np.zeros(len(self.unique), np.uint64)
+        for b, data in told:
+            ranks[self.cut[b] : self.cut[b + 1]] = np.frombuffer(data, np.uint32).astype(np.uint64) * np.uint64(self.buckets) + np.uint64(b)
+        found = np.full(self.pieces[-1] + 1 if len(self.pieces) else 0, -1, np.int64)
+        found[self.pieces] = self.number
+        kind = np.uint64 if wide else np.uint32
+        if len(ranks) and ranks.max() > np.iinfo(kind).max:
+            raise OverflowError("ranks need wider numbers")
+        chain = np.column_stack([ranks[found[self.at + STEP * t]].astype(kind) for t in range(LINKS)]) if len(self.at) else np.zeros((0, LINKS), kind)
+        rows = np.concatenate([chain.view(np.uint8).reshape(len(self.at), -1), self.sides, np.column_stack([self.low, self.high]).astype(np.uint8)], axis=1)
+        order, starts = grouped(as_words(rows))
+        lead = np.minimum.reduceat(order, starts) if len(order) else order  # samples lie in the order of their places
+        self.width = rows.shape[1]
+        bucket = _buckets(mixed(as_words(rows[lead][:, : -2 * SIDE - 2])), self.buckets)
+        turn = np.argsort(bucket, kind="stable")
+        place = np.empty(len(turn), np.int64)
+        place[turn] = np.arange(len(turn))
+        self.records, self.record, self.first = rows[lead[turn]], place[numbers(order, starts)], self.at[lead[turn]]
+        self.record_cut = np.searchsorted(bucket[turn], np.arange(self.buckets + 1, dtype=np.uint64))
+
+    def record_messages(self) -> list[tuple[int, bytes]]:
+        return [(b, self.records[self.record_cut[b] : self.record_cut[b + 1]].tobytes()) for b in range(self.buckets) if self.record_cut[b] < self.record_cut[b + 1]]
+
+    def repeated(self, told: list[tuple[int, bytes]]) -> np.ndarray:
+        """Places of suffixes that an earlier one equals, in this block or (as told) in one before it."""
+        earlier = np.zeros(len(self.records), np.uint16)
+        for b, data in told:
+            earlier[self.record_cut[b] : self.record_cut[b + 1]] = np.frombuffer(data, np.uint16)
+        out = []
+        for d, rows, order, starts in equal_suffixes(self.records):
+            least = np.empty(len(self.records), np.int64)
+            least[rows[order]] = np.repeat(np.minimum.reduceat(self.first[rows[order]], starts), np.diff(np.append(starts, len(order))))
+            mine = np.flatnonzero((self.low <= d) & (d <= self.high))
+            own = self.record[mine]
+            out.append(self.at[mine][(self.at[mine] > least[own]) | ((earlier[own] >> np.uint16(d)) & np.uint16(1) > 0)] - d)
+        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
-def _long(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 7, 8), dtype=np.uint8)
-    out[:, :7] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 7)
-    return out.reshape(-1).view(np.uint64)
+def equal_suffixes(records: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each offset, the records that stand for a suffix there, an order of them by suffix, and where each group starts.
+
+    A suffix is a record's chain with `SIDE` bytes around it, of which so many stand before.
+    """
+    chain = numbers(*grouped(as_words(records[:, : -2 * SIDE - 2]))).astype(np.uint64)
+    sides, low, high = records[:, -2 * SIDE - 2 : -2], records[:, -2], records[:, -1]
+    for d in range(STEP):
+        rows = np.flatnonzero((low <= d) & (d <= high))
+        if len(rows):
+            yield d, rows, *grouped([chain[rows], *as_words(sides[rows, SIDE - d : 2 * SIDE - d])])
+
+
+def _isin(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), dtype=bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
 def _rows(block: int, parts: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -145,13 +270,22 @@ def _rows(block: int, parts: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def text_keys(docs: DataFrame) -> DataFrame:
-    """One row per doc_id and text: its copies, bytes, MD5, whether an earlier row has the text, hash of short texts."""
+    """One row per doc_id and text: its copies, bytes, MD5, whether an earlier row has the text, hash of short texts.
+
+    Rows of one text are numbered within salted groups, and only each group's
+    first meets the others': no task has all copies of a text.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     length = F.octet_length(text)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc_id"), F.md5(text).alias("md5"), length.cast("long").alias("n_bytes"), F.when(length < LENGTH, F.sha2(text, 256)).alias("sha"))
-    keys = rows.groupBy("doc_id", "md5", "n_bytes", "sha").agg(F.count("*").alias("copies"))
-    firsts = keys.where(F.col("n_bytes") >= LENGTH).groupBy("md5", "n_bytes").agg(F.min("doc_id").alias("first"))
-    return keys.join(firsts, ["md5", "n_bytes"], "left").withColumn("repeats", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
+    keys = rows.groupBy("doc_id", "md5", "n_bytes", "sha").agg(F.count("*").alias("copies")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    salted = Window.partitionBy("md5", "n_bytes", "salt")
+    keys = keys.withColumn("group_first", F.min("doc_id").over(salted))
+    leads = keys.where(F.col("doc_id") == F.col("group_first")).select("md5", "n_bytes", "salt", F.col("doc_id").alias("lead"))  # at most SALTS a text
+    firsts = leads.withColumn("first", F.min("lead").over(Window.partitionBy("md5", "n_bytes"))).where("lead > first").select("md5", "n_bytes", "salt", F.lit(True).alias("later"))
+    joined = keys.join(firsts, ["md5", "n_bytes", "salt"], "left")
+    repeats = (F.col("n_bytes") >= LENGTH) & ((F.col("doc_id") > F.col("group_first")) | F.coalesce("later", F.lit(False)))
+    return joined.select("md5", "n_bytes", "doc_id", "sha", "copies", repeats.alias("repeats"))
 
 
 def pack_firsts(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -159,23 +293,16 @@ def pack_firsts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc_id"), F.md5(text).alias("md5"), F.lit(1).alias("kind"), text.alias("text")).where(F.octet_length("text") >= LENGTH)
     marks = keys.where("repeats").select("doc_id", "md5", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("text"))
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts_for(docs, PART_BYTES)
     ordered = rows.unionByName(marks).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "md5", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, squeeze, last = TaskContext.get().partitionId() << 24, zstandard.ZstdCompressor(level=3), None
+        block, last = TaskContext.get().partitionId() << 24, None
         ids: list[int] = []
         texts: list[bytes] = []
         held = 0
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([squeeze.compress(b"".join(texts))], pa.binary())],
-                names=["block", "ids", "lens", "data"],
-            )
-
         for batch in batches:
             for doc, md5, kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts_of(batch.column(3)), strict=True):
                 if (doc, md5) != last and kind:
@@ -183,11 +310,11 @@ def pack_firsts(docs: DataFrame, keys: DataFrame) -> DataFrame:
                     texts.append(text)
                     held += len(text)
                     if held >= BLOCK_BYTES:
-                        yield flush()
+                        yield packed_row(block, ids, texts)
                         block, ids, texts, held = block + 1, [], [], 0
                 last = doc, md5
         if ids:
-            yield flush()
+            yield packed_row(block, ids, texts)
 
     return ordered.mapInArrow(run, PACKED)
 
@@ -222,59 +349,120 @@ def repeated_names(packed: DataFrame, buckets: int) -> DataFrame:
 
 
 def _repeated(messages: pd.DataFrame) -> np.ndarray:
-    mine = messages[messages["kind"] == 0]
-    parts = [np.frombuffer(d, dtype=np.uint32).astype(np.uint64) | (np.uint64(b) << np.uint64(32)) for b, d in zip(mine["bucket"], mine["data"], strict=True)]
+    parts = [np.frombuffer(d, dtype=np.uint32).astype(np.uint64) | (np.uint64(b) << np.uint64(32)) for b, d in zip(messages["bucket"], messages["data"], strict=True)]
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def sort_round(packed: DataFrame, names: DataFrame, buckets: int, number: int, rounds: int) -> DataFrame:
-    """Messages to blocks: of the suffixes they sent to this round's buckets, which have an equal one in an earlier block."""
+TIES = "block long, lens array<long>, data binary, tied binary"
 
-    def send(key: tuple, block: pd.DataFrame, messages: pd.DataFrame) -> pd.DataFrame:
+
+def candidates(packed: DataFrame, names: DataFrame, buckets: int) -> DataFrame:
+    """Blocks that have candidates, with a bit a byte that says which suffixes are."""
+
+    def run(key: tuple, block: pd.DataFrame, messages: pd.DataFrame) -> pd.DataFrame:
         out = []
         for lens, data in zip(block["lens"], block["data"], strict=True):
-            unique = Block(lens, data).suffixes(buckets, _repeated(messages))[1]
-            cut = _split(unique, buckets)
-            out += [(key[0], b, 1, _short(unique[cut[b] : cut[b + 1]])) for b in range(number, buckets, rounds) if cut[b] < cut[b + 1]]
+            b = Block(lens, data)
+            tied = np.zeros(len(b.data), dtype=bool)
+            tied[b.ties(buckets, _repeated(messages))] = True
+            if tied.any():
+                out.append((key[0], lens, data, zstandard.ZstdCompressor(level=1).compress(np.packbits(tied).tobytes())))
+        return pd.DataFrame(out, columns=["block", "lens", "data", "tied"])
+
+    return packed.select("block", "lens", "data").groupBy("block").cogroup(names.groupBy("block")).applyInPandas(run, TIES)
+
+
+def _samples(lens: np.ndarray, data: bytes, tied: bytes, buckets: int) -> Samples:
+    block = Block(lens, data)
+    bits = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(tied), np.uint8), count=len(block.data)).astype(bool)
+    return Samples(block, bits, buckets)
+
+
+def _told(messages: pd.DataFrame, kind: int) -> list[tuple[int, bytes]]:
+    mine = messages[messages["kind"] == kind]
+    return list(zip(mine["bucket"], mine["data"], strict=True))
+
+
+PIECES, RECORDS = 1, 2
+
+
+def ranked_pieces(ties: DataFrame, buckets: int) -> DataFrame:
+    """Messages to blocks: the ranks of the pieces they sent, in their order."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, lens, data, tied in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if parts := [(b, PIECES, m) for b, m in _samples(lens, data, tied, buckets).piece_messages()]:
+                    yield _rows(block, parts)
+
+    def rank(rows: pd.DataFrame) -> pd.DataFrame:
+        held = [np.frombuffer(d, np.uint8).reshape(-1, PIECE_BYTES) for d in rows["data"]]
+        words = as_words(np.concatenate(held))
+        order = np.lexsort(words[::-1])  # by bytes
+        new = np.zeros(len(order), dtype=bool)
+        for w in words:
+            ranked = w[order]
+            new[1:] |= ranked[1:] != ranked[:-1]
+        ranks = np.empty(len(order), np.uint32)
+        ranks[order] = np.cumsum(new)
+        ends = np.cumsum([len(h) for h in held])
+        rows["data"] = [ranks[e - len(h) : e].tobytes() for h, e in zip(held, ends, strict=True)]
+        return rows
+
+    return ties.mapInArrow(send, MESSAGE).groupBy("bucket").applyInPandas(rank, MESSAGE)
+
+
+def sent_records(ties: DataFrame, ranks: DataFrame, buckets: int, wide: bool) -> DataFrame:
+    """Messages to buckets: the records of each block."""
+
+    def send(key: tuple, block: pd.DataFrame, messages: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for lens, data, tied in zip(block["lens"], block["data"], block["tied"], strict=True):
+            samples = _samples(lens, data, tied, buckets)
+            samples.rank(_told(messages, PIECES), wide)
+            out += [(key[0], b, RECORDS, m) for b, m in samples.record_messages()]
         return pd.DataFrame(out, columns=["block", "bucket", "kind", "data"])
 
+    return ties.groupBy("block").cogroup(ranks.groupBy("block")).applyInPandas(send, MESSAGE)
+
+
+def settled(records: DataFrame, width: int) -> DataFrame:
+    """Messages to blocks: of the records they sent, a bit for each offset whose suffix a block before has."""
+
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        held = [_long(d) for d in rows["data"]]
-        keys = np.concatenate(held)
+        held = [np.frombuffer(d, np.uint8).reshape(-1, width) for d in rows["data"]]
         owner = np.repeat(rows["block"].to_numpy(), [len(h) for h in held])
-        order = np.lexsort((owner, keys))
-        ranked = keys[order]
-        later = np.empty(len(keys), dtype=bool)
-        later[order] = np.concatenate([[False], ranked[1:] == ranked[:-1]])
+        every = np.concatenate(held)
+        bits = np.zeros(len(every), np.uint16)
+        for d, mine, order, starts in equal_suffixes(every):
+            mine = mine[order]
+            first = np.repeat(np.minimum.reduceat(owner[mine], starts), np.diff(np.append(starts, len(order))))
+            bits[mine] |= (owner[mine] > first).astype(np.uint16) << np.uint16(d)
         ends = np.cumsum([len(h) for h in held])
-        rows["data"] = [np.packbits(later[e - len(h) : e]).tobytes() for h, e in zip(held, ends, strict=True)]
+        rows["data"] = [bits[e - len(h) : e].tobytes() for h, e in zip(held, ends, strict=True)]
         return rows
 
-    sent = packed.select("block", "lens", "data").groupBy("block").cogroup(names.groupBy("block")).applyInPandas(send, MESSAGE)
-    return sent.groupBy("bucket").applyInPandas(settle, MESSAGE)
+    return records.groupBy("bucket").applyInPandas(settle, MESSAGE)
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def keep(packed: DataFrame, messages: DataFrame, buckets: int, with_text: bool = False) -> DataFrame:
+def keep(packed: DataFrame, ties: DataFrame, messages: DataFrame, buckets: int, wide: bool, with_text: bool = False) -> DataFrame:
     """Per packed document: what is removed, and the hash (or also the bytes) of what stays."""
+    told_ties = ties.select("block", F.lit(0).alias("bucket"), F.lit(0).alias("kind"), F.col("tied").alias("data"))
 
     def apply(key: tuple, block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         out = []
         for ids, lens, data in zip(block["ids"], block["lens"], block["data"], strict=True):
             b = Block(lens, data)
-            at, unique, first, inverse = b.suffixes(buckets, _repeated(told))
-            later = np.zeros(len(unique), dtype=bool)
-            cut = _split(unique, buckets)
-            bits = told[told["kind"] == 1]
-            for bucket, mask in zip(bits["bucket"], bits["data"], strict=True):
-                n = cut[bucket + 1] - cut[bucket]
-                later[cut[bucket] : cut[bucket + 1]] = np.unpackbits(np.frombuffer(mask, dtype=np.uint8), count=n).astype(bool)
-            again = later[inverse] | (first[inverse] != np.arange(len(at)))
             edge = np.zeros(len(b.data) + 1, dtype=np.int32)
-            np.add.at(edge, at[again], 1)
-            np.add.at(edge, at[again] + LENGTH, -1)
+            for _, tied in _told(told, 0):
+                samples = _samples(lens, data, tied, buckets)
+                samples.rank(_told(told, PIECES), wide)
+                again = samples.repeated(_told(told, RECORDS))
+                np.add.at(edge, again, 1)
+                np.add.at(edge, again + LENGTH, -1)
             gone = np.cumsum(edge)[:-1] > 0
             for doc, s, n in zip(ids, b.start.tolist(), b.lens.tolist(), strict=True):
                 mine = gone[s : s + n]
@@ -283,7 +471,7 @@ def keep(packed: DataFrame, messages: DataFrame, buckets: int, with_text: bool =
                 out.append((doc, n, int(mine.sum()), spans, hashlib.sha256(left).hexdigest(), *([left] if with_text else [])))
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
 
-    return packed.groupBy("block").cogroup(messages.groupBy("block")).applyInPandas(apply, KEPT + ", kept binary" * with_text)
+    return packed.groupBy("block").cogroup(messages.unionByName(told_ties).groupBy("block")).applyInPandas(apply, KEPT + ", kept binary" * with_text)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -297,16 +485,29 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ws.release()
     names = ws.save(repeated_names(packed, buckets), "names", "none")
     ws.release()
-    messages = names
+    ties = ws.save(candidates(packed, names, buckets), "ties", "none")
+    ws.drop("names")
+    ws.release()
+    ranks = ws.save(ranked_pieces(ties, buckets), "ranks")
+    ws.release()
+    wide = total >= 1 << 32  # a rank's number is below the number of samples, which is a third of the bytes
+    records = ws.save(sent_records(ties, ranks, buckets, wide).withColumn("round", F.col("bucket") % ROUNDS), "records", by="round")
+    ws.release()
+    width = LINKS * (8 if wide else 4) + 2 * SIDE + 2
+    messages = ranks
     for r in range(ROUNDS):
-        messages = messages.unionByName(ws.save(sort_round(packed, names, buckets, r, ROUNDS), f"round{r}"))
+        messages = messages.unionByName(ws.save(settled(records.where(F.col("round") == r).drop("round"), width), f"round{r}"))
         ws.release()
+    ws.drop("records")
     plain = keys.where("sha is not null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), "copies")
     copies = F.when(F.col("repeats"), F.col("copies")).otherwise(F.col("copies") - 1)
     whole = keys.where("sha is null").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(EMPTY_SHA).alias("kept_sha256"), copies.alias("copies")).where("copies > 0")
     rows = plain.unionByName(whole).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy", "copies")
-    rows = rows.unionByName(keep(packed, messages, buckets))
-    return rows.withColumn("doc_id", F.when(F.col("doc_id") != FIRST, F.col("doc_id")))
+    rows = rows.unionByName(keep(packed, ties, messages, buckets, wide))
+    out = Workspace(spark, "repeats").save(rows.withColumn("doc_id", F.when(F.col("doc_id") != FIRST, F.col("doc_id"))), "rows")
+    ws.clear()
+    ws.release()
+    return out
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

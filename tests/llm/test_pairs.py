@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
+import zstandard
 
 from lakeward.llm import jaccardjoin, suffixdedup
 
@@ -79,6 +81,19 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 3, 4, 7, 9, 10, 20]
 
 
+def test_keep_one_with_any_columns(spark):
+    rows = [*EDGE, (20, "lone text here", "d"), (20, "lone text here", "d")]
+    odd = documents(spark, rows).selectExpr("node as head", "text", "map('a', array(1.5D, null)) as gone", "current_date() as `block`", "struct(kind, label) as rest", "doc_id", "node as `null`", "node as id")
+    kept = jaccardjoin.keep_one(odd)
+    assert [(f.name, f.dataType.simpleString()) for f in kept.schema] == [(f.name, f.dataType.simpleString()) for f in odd.schema]
+    got = kept.collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [1, 2, 3, 4, 7, 9, 10, 20]
+    assert {r.doc_id: r.text for r in got} == {d: t for d, t, _ in rows if d in (1, 2, 3, 4, 7, 9, 10, 20)}
+    assert got[0].gone == {"a": [1.5, None]} and got[0].rest.label == "x"
+    empties = documents(spark, [(1, "", "a"), (1, "", "a"), (2, None, "a")])
+    assert jaccardjoin.keep_one(empties).count() == 3 and jaccardjoin.keep_one(empties.limit(0)).count() == 0
+
+
 def brute_repeats(rows):
     first = -(1 << 63)
     order = sorted(rows, key=lambda r: (first if r[0] is None else r[0], hashlib.md5((r[1] or "").encode()).hexdigest()))
@@ -110,5 +125,54 @@ def test_repeats_match_brute_force(spark, rows):
     assert got == brute_repeats(rows)
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def hard_texts():
+    rng = random.Random(7)
+    t = thue_morse(4096)
+    near = "".join(rng.choices("xyz ", k=700))
+    rows = [(i, near[:350] + str(i) + near[350:], "s") for i in range(130)]  # a large group of near copies
+    rows += [(200, t, "s"), (201, t[57:1000] + "c" + t[1000:], "s"), (202, t[::-1], "s"), (203, t[300:399], "s"), (204, t[300:400], "s"), (205, "q" + t[3:103] + "q", "s")]
+    rows += [(210 + k, "".join(rng.choices("ab", k=k)) * 30, "s") for k in (1, 2, 7, 12, 13, 14, 56, 57, 58, 100)]  # periods
+    rows += [(230 + i, "z" * n, "s") for i, n in enumerate((99, 100, 101, 5000, 5000))]
+    rows += [(240 + i, "w" * 88 + "e" * i + "k" * 30, "s") for i in range(14)]  # ends and starts around the chain
+    return rows
+
+
+@pytest.mark.parametrize("bytes_", [suffixdedup.BUCKET_BYTES, 2000])
+def test_repeats_of_hard_texts(spark, monkeypatch, bytes_):
+    monkeypatch.setattr(suffixdedup, "BUCKET_BYTES", bytes_)
+    monkeypatch.setattr(suffixdedup, "BLOCK_BYTES", 30_000)
+    rows = hard_texts()
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.remove_repeats(documents(spark, rows)).collect()), key=str)
+    assert got == brute_repeats(rows)
+
+
+def test_equal_fingerprints_do_not_matter(monkeypatch):
+    texts = [t.encode() for _, t, _ in hard_texts()[120:150]]
+    lens, data = np.array([len(t) for t in texts]), zstandard.ZstdCompressor().compress(b"".join(texts))
+
+    def removed():
+        block = suffixdedup.Block(lens, data)
+        samples = suffixdedup.Samples(block, np.concatenate([np.r_[np.ones(max(0, n - 99), bool), np.zeros(min(n, 99), bool)] for n in lens]), 3)
+        ranks = [(b, np.unique(np.frombuffer(m, f"V{suffixdedup.PIECE_BYTES}"), return_inverse=True)[1].astype(np.uint32).tobytes()) for b, m in samples.piece_messages()]
+        samples.rank(ranks, False)
+        return samples.repeated([]).tolist()
+
+    want = removed()
+    monkeypatch.setattr(suffixdedup, "mixed", lambda columns: np.zeros(len(columns[0]), np.uint64) + (columns[0] & np.uint64(1)))
+    assert removed() == want and len(want) > 100
+    whole, seen, brute, at = b"".join(texts), set(), [], 0
+    for n in lens.tolist():
+        for p in range(at, at + n - 99):
+            if whole[p : p + 100] in seen:
+                brute.append(p)
+            seen.add(whole[p : p + 100])
+        at += n
+    assert want == brute
+
+
 def test_no_documents_no_repeats(spark):
     assert suffixdedup.remove_repeats(documents(spark, EDGE).limit(0)).count() == 0
