@@ -1,15 +1,18 @@
 """TIFF media columns: walk image directories, decode strips and tiles, one row per page.
 
 Both byte orders, classic and 64-bit offsets; no compression, PackBits, LZW
-and deflate; horizontal predictor; 8- and 16-bit samples, chunky or in planes.
-The writer stores 8-bit samples as strips or tiles in any of those
-compressions.
-
-Defined cases: null media has no pages; media that isn't a TIFF, or is cut
-short, gives one row without a page whose `error` says why; a payload is
-padded to full rows, so an empty text is one row of blanks; equal payloads
-give equal files; repeated rows stay; texts of any length are stored whole,
-on as many pages as they need; other columns are ignored.
+and deflate; horizontal and floating-point predictors; samples of 1, 2, 4, 8,
+16 and 32 bits and 32-bit floats, chunky or in planes.  The writer stores
+8-bit samples as strips or tiles, chunky or in planes, in any of those
+compressions and both byte orders.
+
+Defined cases: null media has no pages; media that isn't a TIFF, is cut short,
+has directories, tags or sizes that make no sense, or a page of more than
+`PAGE_BYTES` decoded bytes gives the pages before the fault and one row without
+a page whose `error` says why; a payload is padded to full rows, so an empty
+text is one row of blanks; equal payloads give equal files; repeated rows
+stay; texts of any length are stored whole, on as many pages as they need;
+other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from .cluster import table
 
 #: Fixed values of the format: tags, field types (struct code) and compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
+SAMPLE_FORMAT = 339
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
 TYPES = {1: "B", 2: "B", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
@@ -37,6 +41,8 @@ NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 ROW_BYTES = 192
 PAGE_ROWS = 4096
 STRIP_ROWS = 512
+PAGE_BYTES = 1 << 30
+DIRECTORIES = 1 << 16
 
 
 class TiffError(ValueError):
@@ -67,20 +73,27 @@ def packbits_decode(data: bytes, size: int) -> bytes:
 
 
 def packbits_encode(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run > 2:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        a = i
-        while i < n and i - a < 128 and not (i + 2 < n and data[i] == data[i + 1] == data[i + 2]):
-            i += 1
-        out.append(i - a - 1)
-        out += data[a:i]
+    """Runs of three or more equal bytes are repeats; what is between them is copied."""
+    if not data:
+        return b""
+    values = np.frombuffer(data, np.uint8)
+    start = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    size = np.diff(np.append(start, len(values)))
+    out, copied = bytearray(), 0  # where the bytes to copy begin
+
+    def copy(end: int) -> None:
+        for a in range(copied, end, 128):
+            some = data[a : min(a + 128, end)]
+            out.append(len(some) - 1)
+            out.extend(some)
+
+    for a, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        copy(a)
+        copied = a + n
+        for left in range(n, 0, -128):
+            part = min(left, 128)
+            out += bytes((257 - part, data[a])) if part > 1 else bytes((0, data[a]))
+    copy(len(data))
     return bytes(out)
 
 
@@ -159,6 +172,8 @@ ENCODERS = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda b: zlib.compress(b, 6)
 
 
 def _decode(data: bytes, compression: int, size: int) -> bytes:
+    if not size:
+        return b""
     if compression == NONE:
         out = data[:size]
     elif compression in (DEFLATE, OLD_DEFLATE):
@@ -199,90 +214,119 @@ def _tags(media: bytes, at: int, order: str, big: bool) -> tuple[dict[int, tuple
 
 
 def read_pages(media: bytes) -> Iterator[Page]:
-    """Pages in the order of their directories."""
-    order = {b"II": "<", b"MM": ">"}.get(bytes(media[:2]))
+    """Pages in the order of their directories; whatever is wrong with the file is a `TiffError`."""
     try:
-        version = struct.unpack_from((order or "<") + "H", media, 2)[0]
-        if order is None or version not in (42, 43):
-            raise TiffError("no TIFF header")
-        big = version == 43
-        at = struct.unpack_from(order + ("Q" if big else "I"), media, 8 if big else 4)[0]
-        seen: set[int] = set()
-        while at and at not in seen:
-            seen.add(at)
-            tags, following = _tags(media, at, order, big)
-            yield _page(media, tags, order, len(seen) - 1)
-            at = following
-        if at:
+        yield from _walk(media)
+    except (struct.error, IndexError, ValueError, ZeroDivisionError, OverflowError, MemoryError, TypeError) as e:
+        if isinstance(e, TiffError):
+            raise
+        raise TiffError("the file is cut short" if isinstance(e, struct.error) else f"damaged directory: {e}") from None
+
+
+def _walk(media: bytes) -> Iterator[Page]:
+    order = {b"II": "<", b"MM": ">"}.get(bytes(media[:2]))
+    version = struct.unpack_from((order or "<") + "H", media, 2)[0]
+    if order is None or version not in (42, 43):
+        raise TiffError("no TIFF header")
+    big = version == 43
+    at = struct.unpack_from(order + ("Q" if big else "I"), media, 8 if big else 4)[0]
+    seen: set[int] = set()
+    while at:
+        if at in seen or len(seen) >= DIRECTORIES:
             raise TiffError("image directories form a loop")
-    except struct.error:
-        raise TiffError("the file is cut short") from None
+        seen.add(at)
+        tags, at = _tags(media, at, order, big)
+        yield _page(media, tags, order, len(seen) - 1)
+
+
+def _unpacked(raw: bytes, kind: np.dtype, bits: int, rows: int, width: int, deep: int) -> np.ndarray:
+    """Samples of a strip or tile; narrow ones fill bytes from the highest bit on, and rows start on a byte."""
+    if bits >= 8:
+        return np.frombuffer(raw, dtype=kind).reshape(rows, width, deep)
+    each = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, -1), axis=1).reshape(rows, -1, bits)
+    values = np.packbits(each, axis=2).reshape(rows, -1) >> np.uint8(8 - bits)
+    return values[:, : width * deep].reshape(rows, width, deep)
+
+
+def _unpredicted(raw: bytes, kind: np.dtype, rows: int, width: int, deep: int) -> np.ndarray:
+    """Floats behind the floating-point predictor: rows of byte planes, highest first, each byte the difference from the one `deep` before."""
+    size = kind.itemsize
+    planes = np.frombuffer(raw, np.uint8).reshape(rows, -1, deep).cumsum(axis=1, dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(rows, size, -1).transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(rows, width, deep)
 
 
 def _page(media: bytes, tags: dict[int, tuple], order: str, number: int) -> Page:
     for tag in (WIDTH, HEIGHT):
-        if tag not in tags:
+        if not tags.get(tag):
             raise TiffError(f"tag {tag} is missing")
-    one = lambda tag, default: tags.get(tag, (default,))[0]
+    one = lambda tag, default: (tags.get(tag) or (default,))[0]
     width, height, samples, bits = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1)
-    if bits not in (8, 16) or len(set(tags.get(BITS, (bits,)))) > 1:
+    real, predictor, tiled = one(SAMPLE_FORMAT, 1) == 3, one(PREDICTOR, 1), TILE_OFFSETS in tags
+    if bits not in ((32,) if real else (1, 2, 4, 8, 16, 32)) or len(set(tags.get(BITS) or (bits,))) > 1:
         raise TiffError(f"{bits}-bit samples are not supported")
-    kind = np.dtype(np.uint8) if bits == 8 else np.dtype(order + "u2")
-    if TILE_OFFSETS in tags:
+    if min(width, height, samples) < 1:
+        raise TiffError("a page without pixels")
+    if predictor not in (1, 2, 3) or (predictor == 2 and (bits < 8 or real)) or (predictor == 3 and not real):
+        raise TiffError(f"predictor {predictor} is not supported for these samples")
+    kind = np.dtype(np.uint8) if bits <= 8 else np.dtype(f"{order}{'f' if real else 'u'}{bits // 8}")
+    if height * width * samples * kind.itemsize > PAGE_BYTES:
+        raise TiffError(f"a page of {width} x {height} pixels is too large")
+    if tiled:
         offsets, counts, box_w, box_h = tags[TILE_OFFSETS], tags.get(TILE_COUNTS, ()), one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)
     else:
         offsets, counts, box_w, box_h = tags.get(STRIP_OFFSETS, ()), tags.get(STRIP_COUNTS, ()), width, min(one(ROWS_PER_STRIP, height), height)
     planes = samples if one(PLANAR, 1) == 2 else 1
     deep = samples // planes
-    if not box_w or not box_h or len(offsets) != len(counts):
+    if min(box_w, box_h) < 1 or len(offsets) != len(counts):
         raise TiffError("no strips or tiles")
+    if box_w * box_h * deep * kind.itemsize > PAGE_BYTES:
+        raise TiffError(f"a tile of {box_w} x {box_h} pixels is too large")
     across, down = -(-width // box_w), -(-height // box_h)
     if len(offsets) < across * down * planes:
         raise TiffError("strips or tiles are missing")
     pixels = np.zeros((height, width, samples), dtype=kind.newbyteorder("="))
+    line = -(-box_w * deep * bits // 8)  # bytes of a row
     for k in range(across * down * planes):
         plane, cell = divmod(k, across * down)
         top, left = cell // across * box_h, cell % across * box_w
-        rows = box_h if TILE_OFFSETS in tags else min(box_h, height - top)
+        rows = box_h if tiled else min(box_h, height - top)
         if offsets[k] + counts[k] > len(media):
             raise TiffError("a strip or tile lies outside the file")
-        raw = _decode(media[offsets[k] : offsets[k] + counts[k]], one(COMPRESSION, NONE), rows * box_w * deep * kind.itemsize)
-        box = np.frombuffer(raw, dtype=kind).reshape(rows, box_w, deep)
-        predictor = one(PREDICTOR, 1)
+        raw = _decode(media[offsets[k] : offsets[k] + counts[k]], one(COMPRESSION, NONE), rows * line)
+        box = _unpredicted(raw, kind, rows, box_w, deep) if predictor == 3 else _unpacked(raw, kind, bits, rows, box_w, deep)
         if predictor == 2:
             box = np.cumsum(box, axis=1, dtype=pixels.dtype)
-        elif predictor != 1:
-            raise TiffError(f"predictor {predictor} is not supported")
         part = box[: height - top, : width - left]
         pixels[top : top + part.shape[0], left : left + part.shape[1], plane * deep : (plane + 1) * deep] = part
     return Page(number, width, height, samples, pixels)
 
 
-def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, tile: int = 0, order: str = "<", strip_rows: int = STRIP_ROWS) -> bytes:
-    """Pages (height x width x samples, 8 bits) as a TIFF of strips, or of square tiles of a side in 16s."""
+def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, tile: int = 0, order: str = "<", strip_rows: int = STRIP_ROWS, planar: bool = False) -> bytes:
+    """Pages (height x width x samples, 8 bits) as a TIFF of strips, or of square tiles of a side in 16s; `planar` keeps samples apart."""
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
     link = 4
     for page in pages:
         height, width, samples = page.shape
         box_w, box_h = (tile, tile) if tile else (width, min(strip_rows, height))
         offsets, counts = [], []
-        for top in range(0, height, box_h):
-            for left in range(0, width, box_w):
-                box = page[top : top + box_h, left : left + box_w]
-                if tile:
-                    box = np.pad(box, ((0, box_h - box.shape[0]), (0, box_w - box.shape[1]), (0, 0)), mode="edge")
-                if predictor == 2:
-                    box = np.diff(box, axis=1, prepend=np.zeros((box.shape[0], 1, samples), np.uint8)).astype(np.uint8)
-                data = ENCODERS[compression](np.ascontiguousarray(box).tobytes())
-                offsets.append(len(out))
-                counts.append(len(data))
-                out += data
-        fields = {WIDTH: [width], HEIGHT: [height], BITS: [8] * samples, COMPRESSION: [compression], PHOTOMETRIC: [2 if samples == 3 else 1], SAMPLES: [samples], PREDICTOR: [predictor]}
+        for plane in np.split(page, samples, axis=2) if planar else [page]:
+            for top in range(0, height, box_h):
+                for left in range(0, width, box_w):
+                    box = plane[top : top + box_h, left : left + box_w]
+                    if tile:
+                        box = np.pad(box, ((0, box_h - box.shape[0]), (0, box_w - box.shape[1]), (0, 0)), mode="edge")
+                    if predictor == 2:
+                        box = np.diff(box, axis=1, prepend=np.zeros((box.shape[0], 1, box.shape[2]), np.uint8)).astype(np.uint8)
+                    data = ENCODERS[compression](np.ascontiguousarray(box).tobytes())
+                    offsets.append(len(out))
+                    counts.append(len(data))
+                    out += data
+        fields = {WIDTH: [width], HEIGHT: [height], BITS: [8] * samples, COMPRESSION: [compression], PHOTOMETRIC: [2 if samples == 3 else 1], SAMPLES: [samples], PLANAR: [2 if planar else 1], PREDICTOR: [predictor]}
         fields |= {TILE_WIDTH: [tile], TILE_HEIGHT: [tile], TILE_OFFSETS: offsets, TILE_COUNTS: counts} if tile else {STRIP_OFFSETS: offsets, ROWS_PER_STRIP: [box_h], STRIP_COUNTS: counts}
         entries = []
         for tag in sorted(fields):
             values = fields[tag]
-            code, kind = ("H", 3) if tag in (BITS, COMPRESSION, PHOTOMETRIC, SAMPLES, PREDICTOR) else ("I", 4)
+            code, kind = ("H", 3) if tag in (BITS, COMPRESSION, PHOTOMETRIC, SAMPLES, PLANAR, PREDICTOR) else ("I", 4)
             data = struct.pack(order + code * len(values), *values)
             if len(data) > 4:
                 out += b"\0" * (len(out) % 2)
@@ -302,10 +346,19 @@ def pad(text: bytes) -> bytes:
     return text + b" " * (-len(text) % ROW_BYTES if text else ROW_BYTES)
 
 
+#: How payloads are stored, dealt by their checksum: compression, predictor, side of tiles (0: strips), byte order, planes.
+LAYOUTS = (
+    (DEFLATE, 2, 0, "<", False), (DEFLATE, 1, 64, ">", False), (PACKBITS, 1, 0, "<", False), (DEFLATE, 2, 0, ">", True),
+    (NONE, 1, 0, "<", True), (LZW, 1, 0, "<", False), (DEFLATE, 2, 64, "<", True), (PACKBITS, 2, 64, ">", False),
+    (DEFLATE, 1, 0, "<", False), (LZW, 2, 64, ">", True), (NONE, 2, 64, "<", False), (DEFLATE, 2, 0, "<", False),
+)
+
+
 def store_payload(payload: bytes) -> bytes:
-    """A payload as RGB pages of 64 pixels a row, deflated in strips behind the horizontal predictor."""
+    """A payload as RGB pages of 64 pixels a row, in the layout that its checksum picks."""
     pixels = np.frombuffer(payload, dtype=np.uint8).reshape(-1, ROW_BYTES // 3, 3)
-    return write_tiff([pixels[i : i + PAGE_ROWS] for i in range(0, len(pixels), PAGE_ROWS)], DEFLATE, predictor=2)
+    compression, predictor, tile, order, planar = LAYOUTS[zlib.crc32(payload) % len(LAYOUTS)]
+    return write_tiff([pixels[i : i + PAGE_ROWS] for i in range(0, len(pixels), PAGE_ROWS)], compression, predictor, tile, order, planar=planar)
 
 
 def average_hash(*pages: Page) -> str:
