@@ -124,13 +124,24 @@ def scores(models: list[MarkovModel], urls: list[str]) -> np.ndarray:
     return np.bincount(owner, gain, len(urls)) / np.bincount(owner, minlength=len(urls))
 
 
+def _few(urls: pd.Series) -> Iterator[np.ndarray]:
+    """Places of URLs that aren't null, about `BATCH_BYTES` characters of them (or one longer) at a time."""
+    known = np.flatnonzero(urls.notna())
+    if len(known):
+        turn = np.cumsum([len(u) for u in urls.iloc[known]]) // BATCH_BYTES
+        yield from np.split(known, np.flatnonzero(np.diff(turn)) + 1)
+
+
 def scored_by(shared: Broadcast, url: Column) -> Column:
-    """Scores of URLs by broadcast models."""
+    """Scores of URLs by broadcast models, NaN for null."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(scores(shared.value, batch.fillna("").tolist()) if len(batch) else [], dtype="float64")
+            out = np.full(len(batch), np.nan)
+            for some in _few(batch):
+                out[some] = scores(shared.value, batch.iloc[some].tolist())
+            yield pd.Series(out)
 
     return score(url)
 
@@ -200,7 +211,8 @@ def judge(spark: SparkSession, pages: DataFrame, rules: tuple = RULES) -> DataFr
         scored = urls.withColumn("score", F.lit(None).cast("double"))
         passed = F.lit(True)
     else:
-        scored = urls.withColumn("score", scored_by(classifier.shared, F.col("url"))).withColumn("score", F.when(F.col("rule").isNull(), F.col("score")))
+        asked = F.when(F.col("rule").isNull(), F.coalesce("url", F.lit("")))  # what a rule decides is not scored
+        scored = urls.withColumn("score", F.nanvl(scored_by(classifier.shared, asked), F.lit(None)))
         passed = F.col("score") >= classifier.threshold
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(passed, "allow").otherwise("block")).alias("verdict"), "score")
 
