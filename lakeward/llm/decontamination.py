@@ -8,22 +8,26 @@ that size are fingerprinted, as all others have no similarity at all.  Items
 with more words than the document are compared with one window, its whole text.
 
 A 64-bit SimHash adds the weights of a window's shingles by the bits of their
-fingerprints.  Items are indexed by each of `PARTS` bytes: fingerprints within
-`RADIUS` differ by at most RADIUS // PARTS bits in some byte, so probing all
-bytes that near finds every item within the radius.  Such pairs of window and
-item are verified: weight of common over weight of all distinct shingles, at
-least `SIMILAR`.
+fingerprints.  Items of a size are in `PARTS` tables, one for each byte of the
+fingerprint, with a bucket for each value: fingerprints within `RADIUS` differ
+by at most RADIUS // PARTS bits in some byte, so probing in every table the
+buckets that near finds every item within the radius.  Such pairs of window
+and item are verified: weight of common over weight of all distinct shingles,
+at least `SIMILAR`.  Windows this similar whose fingerprints are further apart
+than the radius would be missed; on the test tables none is.
 
 The index of items is broadcast in parts of `PART_ITEMS` items, whatever the
-size of the benchmark.  Weights are counted by Spark before that; those of
+size of the benchmark, one part at a time: what a part finds is stored before
+the next is sent.  Weights are counted by Spark before that; those of
 shingles that several items hold are broadcast once, 16 bytes each, and grow
 with the benchmark.
 
 Defined cases: items and texts that are null or have no words match nothing;
 an item of fewer than five words matches windows of exactly its words; items
 with equal texts all match; repeated rows give equal rows; of several windows
-the most similar, then the first, is reported; empty tables give no rows;
-other columns are ignored.
+the most similar, then the first, is reported; texts of any length are
+searched whole; empty tables give no rows; other columns are ignored, or kept
+where rows are filtered, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,17 +41,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import batch_words, shingle_fingerprints, texts_of
-from .cluster import table
+from .cluster import Workspace, table
 
 WORDS = 5
 SIMILAR = 0.75
 PARTS = 8
 RADIUS = 23
-PART_ITEMS = 4096
+PART_ITEMS = 32_768
 BATCH_BYTES = 4 << 20
 LEAKS = "doc_id long, item_id long, start_word long, n_words long, distance int, similarity double"
 
-_NEAR = np.array([[(a ^ b).bit_count() <= RADIUS // PARTS for b in range(256)] for a in range(256)])
+#: What a byte may be changed by without leaving the distance that some byte of a near fingerprint has.
+_FLIPS = np.array([x for x in range(256) if x.bit_count() <= RADIUS // PARTS], dtype=np.int64)
 
 
 def weighted_bits(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -76,6 +81,29 @@ class Weights:
         return np.where(self.shingles[at] == shingles, self.weights[at], self.rare)
 
 
+class HammingIndex:
+    """Tables of fingerprints (rows of `PARTS` bytes) by each byte."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        self.orders = [np.argsort(prints[:, p], kind="stable") for p in range(PARTS)]
+        self.starts = [np.searchsorted(prints[o, p], np.arange(257)) for p, o in enumerate(self.orders)]
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, entry and distance of all pairs within the radius."""
+        found = []
+        for p, (order, starts) in enumerate(zip(self.orders, self.starts, strict=True)):
+            buckets = (prints[:, p].astype(np.int64)[:, None] ^ _FLIPS).ravel()
+            width = starts[buckets + 1] - starts[buckets]
+            query = np.repeat(np.repeat(np.arange(len(prints)), len(_FLIPS)), width)
+            at = np.repeat(starts[buckets] - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
+            found.append(query * len(self.prints) + order[at])
+        query, entry = np.divmod(np.unique(np.concatenate(found)), len(self.prints))
+        distance = np.bitwise_count(prints[query] ^ self.prints[entry]).sum(axis=1)
+        close = distance <= RADIUS
+        return query[close], entry[close], distance[close]
+
+
 @dataclass
 class Items:
     """An index of benchmark items."""
@@ -83,9 +111,10 @@ class Items:
     ids: np.ndarray
     sizes: np.ndarray  # words of each item
     sets: list[np.ndarray]
-    shingles: np.ndarray  # all items' shingles in order, each with the smallest and largest size of an item that holds it
-    holders: list[np.ndarray]  # per shingle, sizes of the items that hold it
-    prints: np.ndarray
+    shingles: np.ndarray  # all items' shingles in order
+    first: np.ndarray  # per shingle, where its sizes begin in `held`
+    held: np.ndarray  # sizes of the items that hold a shingle, in order
+    tables: dict[int, tuple[np.ndarray, HammingIndex]]  # by size: the items of it, and their fingerprints
     weights: Weights | None  # broadcast apart from the index
 
 
@@ -117,17 +146,17 @@ def index_items(rows: list[tuple[int, str | None]], weights: Weights) -> Items:
         size, own = item_shingles(text)
         if size:
             found.append((item, size, own))
-    shingles = np.unique(np.concatenate([f[2] for f in found]) if found else np.zeros(0, np.uint64))
-    holders: list[set[int]] = [set() for _ in shingles]
-    for _, size, own in found:
-        for k in np.searchsorted(shingles, own).tolist():
-            holders[k].add(size)
-    sums = [weighted_bits(own, weights.of(own)).sum(axis=0) for _, _, own in found]
-    return Items(
-        np.array([f[0] for f in found], dtype=np.int64), np.array([f[1] for f in found], dtype=np.int64), [f[2] for f in found],
-        shingles, [np.array(sorted(h), dtype=np.int64) for h in holders],
-        simhash(np.array(sums)) if sums else np.zeros((0, 8), np.uint8), weights,
-    )
+    nothing = np.zeros(0, np.uint64)
+    shingles = np.unique(np.concatenate([nothing, *[f[2] for f in found]]))
+    owner = np.searchsorted(shingles, np.concatenate([nothing, *[f[2] for f in found]]))
+    sizes = np.array([f[1] for f in found], dtype=np.int64)
+    pairs = np.unique(np.column_stack([owner, np.repeat(sizes, [len(f[2]) for f in found])]), axis=0).astype(np.int64)
+    prints = simhash(np.array([weighted_bits(own, weights.of(own)).sum(axis=0) for _, _, own in found])) if found else np.zeros((0, 8), np.uint8)
+    tables = {}
+    for size in np.unique(sizes).tolist():
+        mine = np.flatnonzero(sizes == size)
+        tables[size] = mine, HammingIndex(prints[mine])
+    return Items(np.array([f[0] for f in found], dtype=np.int64), sizes, [f[2] for f in found], shingles, np.searchsorted(pairs[:, 0], np.arange(len(shingles) + 1)), pairs[:, 1], tables, weights)
 
 
 def leaks_of(words: np.ndarray, items: Items) -> list[tuple[int, int, int, int, float]]:
@@ -143,20 +172,20 @@ def leaks_of(words: np.ndarray, items: Items) -> list[tuple[int, int, int, int,
         wanted: dict[int, list[np.ndarray]] = {}
         longer = False  # whether an item of more words than the text holds one of its shingles
         for place, k in zip(hit.tolist(), at[hit].tolist(), strict=True):
-            for size in items.holders[k].tolist():
+            for size in items.held[items.first[k] : items.first[k + 1]].tolist():
                 longer |= size > len(words)
                 if size <= len(words) and (size >= WORDS or size == width) and (width == WORDS or size == width):
                     span = size - width + 1  # shingles of a window
                     wanted.setdefault(size, []).append(np.arange(max(0, place - span + 1), min(place, len(shingles) - span) + 1))
         for size, starts in wanted.items():
-            _windows(np.unique(np.concatenate(starts)), size, size - width + 1, shingles, items, np.flatnonzero(items.sizes == size), best)
+            _windows(np.unique(np.concatenate(starts)), size, size - width + 1, shingles, items, [size], best)
         if longer and width == WORDS:
-            _windows(np.zeros(1, dtype=np.int64), len(words), len(shingles), shingles, items, np.flatnonzero(items.sizes > len(words)), best)
+            _windows(np.zeros(1, dtype=np.int64), len(words), len(shingles), shingles, items, [s for s in items.tables if s > len(words)], best)
     return [best[i] for i in sorted(best)]
 
 
-def _windows(starts: np.ndarray, size: int, span: int, shingles: np.ndarray, items: Items, mine: np.ndarray, best: dict) -> None:
-    """Match windows of `size` words, `span` shingles, against the items at `mine`."""
+def _windows(starts: np.ndarray, size: int, span: int, shingles: np.ndarray, items: Items, sizes: list[int], best: dict) -> None:
+    """Match windows of `size` words, `span` shingles, against the items of `sizes`."""
     for a in range(0, len(starts), 4096):
         some = starts[a : a + 4096]
         # Sums of bits by runs of nearby windows, so that long texts stay in small arrays.
@@ -172,12 +201,7 @@ def _windows(starts: np.ndarray, size: int, span: int, shingles: np.ndarray, ite
                 own = np.unique(part[at[i] : at[i] + span])
                 total[i] = weighted_bits(own, items.weights.of(own)).sum(axis=0)
             prints = simhash(total)
-            near = np.zeros((len(run), len(mine)), dtype=bool)
-            for p in range(PARTS):
-                near |= _NEAR[prints[:, p]][:, items.prints[mine, p]]
-            w, k = np.nonzero(near)
-            distance = np.bitwise_count(prints[w] ^ items.prints[mine[k]]).sum(axis=1)
-            for x, y, d in zip(w[distance <= RADIUS].tolist(), mine[k[distance <= RADIUS]].tolist(), distance[distance <= RADIUS].tolist(), strict=True):
+            for x, y, d in _pairs(prints, items, sizes):
                 own = np.unique(part[at[x] : at[x] + span])
                 common = np.intersect1d(own, items.sets[y], assume_unique=True)
                 if not len(common):
@@ -189,6 +213,14 @@ def _windows(starts: np.ndarray, size: int, span: int, shingles: np.ndarray, ite
                     best[item] = item, start, size, int(d), likeness
 
 
+def _pairs(prints: np.ndarray, items: Items, sizes: list[int]) -> Iterator[tuple[int, int, int]]:
+    """Window, item and distance of the fingerprints within the radius."""
+    for size in sizes:
+        mine, table_ = items.tables[size]
+        window, entry, distance = table_.near(prints)
+        yield from zip(window.tolist(), mine[entry].tolist(), distance.tolist(), strict=True)
+
+
 def _repeats(part: np.ndarray, span: int) -> np.ndarray:
     """For each start, whether the window of `span` shingles from there holds one twice."""
     order = np.argsort(part, kind="stable")
@@ -210,13 +242,13 @@ def item_parts(benchmark: DataFrame, part_items: int = PART_ITEMS) -> Iterator[l
         yield sorted((r["item_id"], r["text"]) for r in numbered.where(F.col("part") == p).toLocalIterator())
 
 
-def item_indexes(spark: SparkSession, benchmark: DataFrame) -> Iterator[Callable[[], Items]]:
-    """For each part of the benchmark, what gives its index on an executor."""
+def item_indexes(spark: SparkSession, benchmark: DataFrame) -> Iterator[tuple[Callable[[], Items], Callable[[], None]]]:
+    """For each part of the benchmark, what gives its index on an executor, and what removes it."""
     weights = benchmark_weights(benchmark)
     everywhere = spark.sparkContext.broadcast(weights)
     for rows in item_parts(benchmark):
         part = spark.sparkContext.broadcast(replace(index_items(rows, weights), weights=None))
-        yield lambda part=part: replace(part.value, weights=everywhere.value)
+        yield (lambda part=part: replace(part.value, weights=everywhere.value)), part.destroy
 
 
 def _leaky(texts: list[bytes], items: Items) -> Iterator[tuple[int, list[tuple[int, int, int, int, float]]]]:
@@ -237,8 +269,13 @@ def _leaky(texts: list[bytes], items: Items) -> Iterator[tuple[int, list[tuple[i
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row per document and item that it holds: where, how many words, Hamming distance and similarity."""
-    out = None
-    for index in item_indexes(docs.sparkSession, benchmark):
+    ws, kept = Workspace(docs.sparkSession, "leaks"), []
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    last = None
+    for n, (index, remove) in enumerate(item_indexes(docs.sparkSession, benchmark)):
+        if last is not None:  # store what the part before found, and let go of it
+            kept.append(ws.save(last[0], f"part{n}"))
+            last[1]()
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             items = index()
@@ -248,8 +285,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 found = [(ids[i].as_py(), *leak) for i, leaks in _leaky(texts_of(batch.column(1)), items) for leak in leaks]
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in LEAKS.split(", ")])
 
-        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, LEAKS)
-        out = part if out is None else out.unionByName(part)
+        last = texts.mapInArrow(run, LEAKS), remove
+    out = last[0]
+    for part in kept:
+        out = out.unionByName(part)
     return out
 
 
@@ -265,8 +304,13 @@ def _candidates(words: np.ndarray, owner: np.ndarray, n: int, items: Items) -> l
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, that hold no benchmark item."""
-    place = docs.columns.index("text")
-    for index in item_indexes(docs.sparkSession, benchmark):
+    place, schema = docs.columns.index("text"), docs.schema
+    ws = Workspace(docs.sparkSession, "clean")
+    last = None
+    for n, (index, remove) in enumerate(item_indexes(docs.sparkSession, benchmark)):
+        if last is not None:
+            docs = ws.save(docs, f"part{n}")
+            last()
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             items = index()
@@ -275,7 +319,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 stay[[i for i, _ in _leaky(texts_of(batch.column(place)), items)]] = False
                 yield batch.filter(pa.array(stay))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs, last = docs.mapInArrow(run, schema), remove
     return docs
 
 

@@ -18,7 +18,10 @@ def exact_leaks(rows, items):
     out = {}
     for d, t, _ in rows:
         w = low(t)
+        held = shingles(w)
         for i, size, own in sets:
+            if size >= 5 and not own & held:
+                continue  # no window has a shingle of the item
             for a in range(max(0, len(w) - size) + 1):
                 win = shingles(w[a : a + size])
                 like = sum(weight(s) for s in own & win) / sum(weight(s) for s in own | win)
@@ -56,3 +59,27 @@ def test_weights_count_the_whole_benchmark_in_any_number_of_parts(spark, monkeyp
     assert {k: r.distance for k, r in got.items()} == {k: r.distance for k, r in whole.items()}
     assert (20, 3) in got and len(got) > 1
     assert {r.doc_id for r in decontamination.decontaminate(documents(spark, rows), bench).collect()} == {d for d, _, _ in rows} - {d for d, _ in got}
+
+
+def test_multi_index_finds_all_within_the_radius():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, (300, 8)).astype(np.uint8)
+    asked = base[:200].copy()
+    for i, row in enumerate(asked):  # i % 33 bits away
+        for bit in rng.choice(64, i % 33, replace=False):
+            row[bit // 8] ^= np.uint8(1 << (bit % 8))
+    index = decontamination.HammingIndex(base)
+    got = set(zip(*(x.tolist() for x in index.near(asked)), strict=True))
+    distance = np.bitwise_count(asked[:, None, :] ^ base[None, :, :]).sum(axis=2)
+    want = {(i, j, int(distance[i, j])) for i, j in zip(*np.nonzero(distance <= decontamination.RADIUS), strict=True)}
+    assert got == want and len(want) > 100
+    assert all(len(x) == 0 for x in decontamination.HammingIndex(base[:0]).near(asked[:0]))
+
+
+def test_recall_over_all_windows_of_larger_tables(spark):
+    """Against every window by exact similarity, on documents of sf0.01."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    rows, items = [(r.doc_id, r.text, "") for r in docs.where("length(text) < 4000").collect()], [(r.item_id, r.text) for r in bench.collect()]
+    want = set(exact_leaks(rows, items))
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(documents(spark, rows), bench).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and want
