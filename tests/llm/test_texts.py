@@ -1,6 +1,8 @@
 """Operators on single texts and on the mix, against brute force, exact round trips and held-out accuracy."""
 
+import functools
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -25,8 +27,8 @@ def test_frames_are_lossless(ids, outliers):
     assert (tokenfiles.unpack_frames(tokenfiles.pack_frames(v)) == v).all()
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.lists(st.sampled_from([*" \n\t.,!?'sabcéñ×÷12—\u00a0\u3000日<|", "<|endoftext|>", "'ll ", "  ", "\x1c", "words", " and"]), max_size=30).map("".join), max_size=6))
+@settings(max_examples=250, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*" \n\t.,!?'sabcéñ×÷12—\u00a0\u3000日<|", "<|endoftext|>", "'ll ", "  ", "\x1c", "words", " and", "'s", "3.14", "$(x)", "***", '"', "_", "É", "\xc3\xb7", "longerpiece", " accentué"]), max_size=30).map("".join), max_size=6))
 def test_pieces_encode_like_whole_texts(texts):
     e = _encoder()
     data = [t.encode() for t in texts]
@@ -79,6 +81,62 @@ def test_guess_costs():
     assert spans('pwd = "x8#q2!mZ"') == ["guess"] and spans('pwd = "password123"') == [] and spans("no context x8#q2!mZ91pQ") == []
 
 
+def brute_cost(value, words):
+    """The cheapest of all segmentations, tried one by one."""
+    s, low = secretscan, value.lower()
+
+    def costs(a, e):
+        piece, n = low[a:e], e - a
+        steps = {ord(y) - ord(x) for x, y in zip(piece, piece[1:])}
+        if (c := words.cost(value[a:e], piece, "".join(s.LEET.get(x, x) for x in piece))) is not None and n >= 3:
+            yield c
+        if s._DATE.fullmatch(value[a:e]):
+            yield math.log10(365.0 * 120) + (0.6 if not value[a:e].isdigit() else 0.0)
+        if n >= 3 and steps == {0}:
+            yield s._repeat(n)
+        if n >= 3 and steps in ({1}, {-1}):
+            yield s._sequence(n)
+        if n >= 3 and all(x in s._PLACE and y in s._PLACE and s._beside(x, y) for x, y in zip(piece, piece[1:])):
+            yield s._walk(n)
+
+    @functools.cache
+    def best(a, first, after_brute):
+        if a == len(value):
+            return 0.0
+        pen = 0.0 if first else s._PENALTY
+        found = [1.0 + (0.0 if after_brute else pen) + best(a + 1, False, True)]
+        found += [c + pen + best(e, False, False) for e in range(a + 3, len(value) + 1) for c in costs(a, e)]
+        return min(found)
+
+    return best(0, True, False)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["password", "pass", "Word", "p@ss", "aaa", "aaaaaaa", "d" * 9, "abc", "cba", "qwe", "rty", "asas", "1234", "0", "2024", "2024-01-15", "1/2/99", "x", "Z", "9", "%", "é", "fgh", "zebra", "xxxx"]), max_size=7).map("".join))
+def test_guess_costs_are_minimal(value):
+    words = secretscan.Dictionary(["zebra", "rtyaaa", "aaaa", "dd9"])
+    cost, pieces = secretscan.guess_cost(value, words)
+    assert abs(cost - brute_cost(value, words)) < 1e-9
+    assert "".join(value[a:e] for _, a, e in pieces) == value
+
+
+def test_long_runs_cost_little_and_long_values_end():
+    assert secretscan.guess_cost("password" + "d" * 60)[0] < 4
+    assert secretscan.guess_cost("as" * 5000)[0] > secretscan.STRONG and secretscan.guess_cost("k" * 100_000)[0] < secretscan.STRONG
+
+
+def test_corpus_words_spare_ordinary_values(spark):
+    plain = ["authentication", "environment", "management", "undefined", "disabled-service"]
+    secret = ["x8Fq2LmZ91pQ", "Gk3vTz0wQb7R", "q9#Lr!2xVtPs", "zQ4mW8yN1kJd"]
+    prose = "authentication environment management undefined disabled service of the daily work"
+    rows = [(i, prose + f" number {i}", "s") for i in range(20)] + [(100 + i, f"{prose} token: {v} end", "s") for i, v in enumerate(plain + secret)] + [(300 + i, "password = hunterxyzzyqq", "s") for i in range(9)]
+    words = secretscan.corpus_words(documents(spark, rows))
+    assert "environment" in words and "hunterxyzzyqq" not in words and words == secretscan.corpus_words(documents(spark, rows[::-1]))
+    flagged = {r.doc_id - 100 for r in secretscan.scan(documents(spark, rows), words).collect() if 100 <= r.doc_id < 300 and any(s.kind == "guess" for s in r.spans)}
+    assert flagged == set(range(len(plain), len(plain) + len(secret)))
+    assert secretscan.corpus_words(documents(spark, rows), 2) == words[:2] and secretscan.corpus_words(documents(spark, []).limit(0)) == []
+
+
 def test_url_rules(spark):
     urls = ["http://www.example.com/en/1", "https://a.Example.COM/en/2?q", "http://x.com/fr/", "http://x.net/es/1", "http://y.net/en/1", "ftp://h", None, "no scheme", "http://com.org/es/#f", "http://notexample.com/en/", "x://"]
     df = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)], "page_id long, url string, html string, rule string")
@@ -134,6 +192,39 @@ def test_resampling(spark):
     assert resampling.resample(empty, empty).count() == 0 and resampling.resample(docs, empty).where("log_weight <> 0").count() == 0
 
 
+def test_weights_are_log_ratios(spark):
+    rows = [*EDGE, (11, words(30), "s"), (11, words(30), "s")]
+    target = [(1, words(25), "s"), (2, "one two three", "s")]
+
+    def grams(text):
+        w = [hash_of(x) for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        pairs = blocks.shingle_fingerprints(np.array(w, np.uint64), 2).tolist() if len(w) > 1 else []
+        return [int(x) % resampling.BUCKETS for x in [*w, *pairs]]
+
+    def hash_of(word):
+        return int(blocks.word_fingerprints(np.frombuffer(word.encode(), np.uint8))[2][0])
+
+    count = lambda some: np.bincount(np.array([g for _, t, _ in some for g in grams(t)], np.int64), minlength=resampling.BUCKETS)
+    raw, good = count(rows), count(target)
+    ratio = np.log((good + 1) / (good.sum() + resampling.BUCKETS)) - np.log((raw + 1) / (raw.sum() + resampling.BUCKETS))
+    got = resampling.resample(documents(spark, rows), documents(spark, target)).collect()
+    want = sorted(((d, round(float(sum(ratio[g] for g in grams(t))), 6)) for d, t, _ in rows), key=str)
+    assert sorted(((r.doc_id, round(r.log_weight, 6)) for r in got), key=str) == want
+
+
+def test_top_k_of_outliers_and_ties(spark):
+    rng = np.random.default_rng(5)
+    keys = [*rng.normal(size=500), 1e300, -1e300, 5e-324, *[0.25] * 300, float("inf")][:-1]
+    rows = [(None if i % 7 == 0 else i % 50, float(k), i) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "doc_id long, gumbel_key double, row long")
+    order = sorted(rows, key=lambda r: (-r[1], resampling.LAST if r[0] is None else r[0], r[2]))
+    for k in (1, 2, 250, 400, 500, len(rows)):
+        got = {r.row for r in resampling.top_k(df, k).where("selected").collect()}
+        assert got == {r[2] for r in order[:k]}, k
+    same = spark.createDataFrame([(None, 1.5, i) for i in range(20)], df.schema)
+    assert {r.row for r in resampling.top_k(same, 6).where("selected").collect()} == set(range(6))
+
+
 def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     known, rest = labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 3 = 0")
@@ -170,8 +261,9 @@ def brute_leaks(rows, items):
     for d, t, _ in rows:
         w = low(t)
         for i, (size, own) in sets.items():
-            for a in range(len(w) - size + 1):
-                win = {tuple(w[a + k : a + k + min(5, size)]) for k in range(max(1, size - 4))}
+            for a in range(max(0, len(w) - size) + 1):  # an item longer than the text is compared with all of it
+                part = w[a : a + size]
+                win = {tuple(part[k : k + 5]) for k in range(max(1, len(part) - 4))}
                 common = sum(weight(s) for s in own & win)
                 if common and common / sum(weight(s) for s in own | win) >= decontamination.SIMILAR:
                     out.add((d, i))
@@ -217,3 +309,86 @@ def test_pipeline(spark):
         stage = run(spark, stage, SF)
         assert stage.columns == docs.columns, name
     assert out == {r.doc_id for r in stage.select("doc_id").where(F.col("doc_id").isNotNull()).collect()}
+
+
+def test_pipeline_on_edge_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    bench = spark.createDataFrame([(1, words(12, 9000))], "item_id long, text string")
+    rows = [*EDGE, (50, "horrid thing " + words(12, 9000), "a")]
+    for name, docs, labels in (("edge", documents(spark, rows), [(1, 1, 0), (None, None, None)]), ("empty", documents(spark, rows).limit(0), []), ("clash", documents(spark, rows).selectExpr("*", "1 as gone", "2 as taken_id", "3 as head", "4 as rest", "5 as c0", "6 as t", "7 as id"), [])):
+        d = str(tmp_path / name)
+        docs.coalesce(1).write.parquet(f"{d}/documents.parquet")
+        bench.coalesce(1).write.parquet(f"{d}/benchmark.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{d}/labels.parquet")
+        stage = spark.read.parquet(f"{d}/documents.parquet")
+        for stage_name, run in corpus_pipeline.STAGES[:-1]:
+            stage = run(spark, stage, d)
+            assert stage.columns == docs.columns, stage_name
+        out = [r.doc_id for r in corpus_pipeline.run(spark, d).collect()]
+        assert sorted(map(str, out)) == sorted(str(r.doc_id) for r in stage.select("doc_id").collect())
+        assert 50 not in out and (name == "empty") == (not out)
+
+
+def brute_pipeline(docs, bench, rejected):
+    """The pipeline's rows by plain Python, given the documents that the chain rejects."""
+    rows = [r for r in docs if r[0] not in rejected]
+    low = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    sets = []
+    for _, t, _ in rows:
+        w = low(t)
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    up = list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    for j in {(a, b) for h in holders.values() for k, b in enumerate(h) for a in h[:k]}:
+        a, b = j
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            up[max(top(a), top(b), key=lambda i: rows[i][0])] = min(top(a), top(b), key=lambda i: rows[i][0])
+    kept = [r for i, r in enumerate(rows) if top(i) == i]
+    leaked = {d for d, _ in brute_leaks(kept, bench)}
+    kept = [r for r in kept if r[0] not in leaked]
+    size = {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in kept}
+    names = sorted({r[2] for r in kept if r[2] is not None}) + ([None] if any(r[2] is None for r in kept) else [])
+    per = {s: sum(size[r[0]] for r in kept if r[2] == s) for s in names}
+    weight, target, open_, left = {s: i % 3 + 1 for i, s in enumerate(names)}, {}, set(names), sum(per.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > 3 * per[s]}
+        target |= {s: 3 * per[s] for s in over} or {s: level * weight[s] for s in open_}
+        open_ = open_ - over if over else set()
+        left -= sum(3 * per[s] for s in over)
+    e, at, out = _encoder(), 0, []
+    copies = {}
+    for s in names:
+        words_, pos = math.floor(target[s] + 0.5), 0
+        passes = words_ // per[s] if per[s] else 0
+        for r in sorted((r for r in kept if r[2] == s), key=lambda r: hashlib.md5(f"{r[0]}|{r[1] or ''}".encode()).hexdigest()):
+            n = size[r[0]]
+            taken = passes * n + max(0, min(pos + n, words_ - passes * per[s]) - pos)
+            pos += n
+            copies[r[0]] = math.floor(taken / max(n, 1) + 0.5)
+    for d, t, _ in sorted(kept):
+        for _ in range(copies[d]):
+            ids = [*e.whole((t or "").encode()).tolist(), 0]
+            out.append((d, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+            at += len(ids)
+    return out
+
+
+def test_pipeline_matches_brute_force(spark):
+    import corpus_pipeline
+
+    docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rejected = {r.doc_id for r in toxicity.score(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")).where("rejected").collect()}
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect())
+    assert got == sorted(brute_pipeline(docs, bench, rejected))
