@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -60,7 +61,7 @@ SIDE = STEP - 1
 LINKS = 6
 PIECE_BYTES = LENGTH - SIDE - STEP * (LINKS - 1)
 BUCKET_BYTES = 16 << 20
-ROUNDS = 3
+ROUNDS = 6
 PART_BYTES = 64 << 20
 SALTS = 64
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -173,74 +174,97 @@ def as_words(rows: np.ndarray) -> list[np.ndarray]:
 class Samples:
     """The ranked cover's samples of a block's candidates, and the pieces of their chains."""
 
-    def __init__(self, block: Block, tied: np.ndarray, buckets: int):
-        data, self.buckets = block.data, buckets
-        inside = np.arange(len(data)) - np.repeat(block.start, block.lens)
+    def __init__(self, block: Block, tied: np.ndarray):
+        self.block = block
+        inside = np.arange(len(block.data)) - np.repeat(block.start, block.lens)
         before = np.concatenate([np.zeros(STEP, np.int32), np.cumsum(tied, dtype=np.int32)])
         self.at = np.flatnonzero((before[STEP:] > before[:-STEP]) & _RANKED[inside % STEP])
         # Offsets at which a sample stands for a suffix within its text, `low` to `high`.
         left = np.repeat(block.start + block.lens, block.lens)[self.at] - self.at
         self.low, self.high = np.maximum(0, LENGTH - left), np.minimum(SIDE, inside[self.at])
-        asked = np.zeros(len(data) + STEP * LINKS, dtype=bool)
+        asked = np.zeros(len(block.data) + STEP * LINKS, dtype=bool)
         for t in range(LINKS):
             asked[self.at + STEP * t] = True
         self.pieces = np.flatnonzero(asked)
-        windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(LENGTH, np.uint8)]), PIECE_BYTES)
-        rows = windows[self.pieces]
+
+    def cut_pieces(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Different pieces by bucket, where each bucket begins, and the number of the piece at each place."""
+        rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([self.block.data, np.zeros(LENGTH, np.uint8)]), PIECE_BYTES)[self.pieces]
         words = as_words(rows)
         order, starts = grouped(words)
         first = order[starts]
-        bucket = _buckets(mixed([w[first] for w in words]), buckets)
-        turn = np.argsort(bucket, kind="stable")
-        place = np.empty(len(turn), np.int64)
-        place[turn] = np.arange(len(turn))
-        self.unique, self.number = rows[first[turn]], place[numbers(order, starts)]
-        self.cut = np.searchsorted(bucket[turn], np.arange(buckets + 1, dtype=np.uint64))
-        wide = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(LENGTH, np.uint8)])
-        sides = np.lib.stride_tricks.sliding_window_view(wide, LENGTH - SIDE + 2 * SIDE)[self.at]
-        self.sides = np.concatenate([sides[:, :SIDE], sides[:, -SIDE:]], axis=1)
-
-    def piece_messages(self) -> list[tuple[int, bytes]]:
-        return [(b, self.unique[self.cut[b] : self.cut[b + 1]].tobytes()) for b in range(self.buckets) if self.cut[b] < self.cut[b + 1]]
-
-    def rank(self, told: list[tuple[int, bytes]], wide: bool) -> None:
-        """Take the pieces' ranks; samples with the same chain, sides and offsets are one record from now on."""
-        ranks = np.zeros(len(self.unique), np.uint64)
+        unique, turn, cut = _dealt(_buckets(mixed([w[first] for w in words]), buckets), buckets)
+        return rows[first[unique]], cut, turn[numbers(order, starts)]
+
+    def piece_messages(self, buckets: int) -> list[tuple[int, bytes]]:
+        unique, cut, _ = self.cut_pieces(buckets)
+        return [(b, unique[cut[b] : cut[b + 1]].tobytes()) for b in range(buckets) if cut[b] < cut[b + 1]]
+
+    def ranks(self, buckets: int, told: list[tuple[int, bytes]], kind: type) -> np.ndarray:
+        """The rank of the piece at each of its places, as one number with its bucket."""
+        unique, cut, number = self.cut_pieces(buckets)
+        ranks = np.zeros(len(unique), np.uint64)
         for b, data in told:
-            ranks[self.cut[b] : self.cut[b + 1]] = np.frombuffer(data, np.uint32).astype(np.uint64) * np.uint64(self.buckets) + np.uint64(b)
-        found = np.full(self.pieces[-1] + 1 if len(self.pieces) else 0, -1, np.int64)
-        found[self.pieces] = self.number
-        kind = np.uint64 if wide else np.uint32
+            ranks[cut[b] : cut[b + 1]] = np.frombuffer(data, np.uint32).astype(np.uint64) * np.uint64(buckets) + np.uint64(b)
         if len(ranks) and ranks.max() > np.iinfo(kind).max:
             raise OverflowError("ranks need wider numbers")
-        chain = np.column_stack([ranks[found[self.at + STEP * t]].astype(kind) for t in range(LINKS)]) if len(self.at) else np.zeros((0, LINKS), kind)
-        rows = np.concatenate([chain.view(np.uint8).reshape(len(self.at), -1), self.sides, np.column_stack([self.low, self.high]).astype(np.uint8)], axis=1)
+        return ranks[number].astype(kind)
+
+    def records(self, ranks: np.ndarray, buckets: int, turn: tuple[int, int] = (0, 1)) -> Records:
+        """Different samples by bucket, of the buckets that are `turn[0]` modulo `turn[1]`."""
+        place = np.zeros(int(self.pieces[-1]) + 1 if len(self.pieces) else 0, np.int64)
+        place[self.pieces] = np.arange(len(self.pieces))
+        link = lambda some, t: ranks[place[self.at[some] + STEP * t]]
+        every = slice(None)
+        bucket = _buckets(mixed([link(every, t).astype(np.uint64) for t in (0, LINKS - 1)]), buckets)  # equal chains have equal ends
+        mine = np.flatnonzero(bucket % np.uint64(turn[1]) == turn[0])
+        chain = np.column_stack([link(mine, t) for t in range(LINKS)])
+        wide = np.concatenate([np.zeros(SIDE, np.uint8), self.block.data, np.zeros(LENGTH, np.uint8)])
+        around = np.lib.stride_tricks.sliding_window_view(wide, SIDE)
+        sides = [around[self.at[mine]], around[self.at[mine] + LENGTH]]
+        rows = np.concatenate([np.ascontiguousarray(chain).view(np.uint8).reshape(len(mine), LINKS * ranks.itemsize), *sides, np.column_stack([self.low[mine], self.high[mine]]).astype(np.uint8)], axis=1)
         order, starts = grouped(as_words(rows))
         lead = np.minimum.reduceat(order, starts) if len(order) else order  # samples lie in the order of their places
-        self.width = rows.shape[1]
-        bucket = _buckets(mixed(as_words(rows[lead][:, : -2 * SIDE - 2])), self.buckets)
-        turn = np.argsort(bucket, kind="stable")
-        place = np.empty(len(turn), np.int64)
-        place[turn] = np.arange(len(turn))
-        self.records, self.record, self.first = rows[lead[turn]], place[numbers(order, starts)], self.at[lead[turn]]
-        self.record_cut = np.searchsorted(bucket[turn], np.arange(self.buckets + 1, dtype=np.uint64))
+        unique, turned, cut = _dealt(bucket[mine][lead], buckets)
+        return Records(self.at[mine], self.low[mine], self.high[mine], rows[lead[unique]], turned[numbers(order, starts)], self.at[mine][lead[unique]], cut)
+
+
+def _dealt(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by bucket, each row's place in it, and where each bucket begins."""
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return order, place, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+
 
-    def record_messages(self) -> list[tuple[int, bytes]]:
-        return [(b, self.records[self.record_cut[b] : self.record_cut[b + 1]].tobytes()) for b in range(self.buckets) if self.record_cut[b] < self.record_cut[b + 1]]
+@dataclass
+class Records:
+    """Samples of a block, with those of the same chain, sides and offsets as one record."""
+
+    at: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    rows: np.ndarray
+    number: np.ndarray  # each sample's record
+    first: np.ndarray  # each record's first sample
+    cut: np.ndarray  # where each bucket's records begin
+
+    def messages(self) -> list[tuple[int, bytes]]:
+        return [(b, self.rows[self.cut[b] : self.cut[b + 1]].tobytes()) for b in range(len(self.cut) - 1) if self.cut[b] < self.cut[b + 1]]
 
     def repeated(self, told: list[tuple[int, bytes]]) -> np.ndarray:
         """Places of suffixes that an earlier one equals, in this block or (as told) in one before it."""
-        earlier = np.zeros(len(self.records), np.uint16)
+        earlier = np.zeros(len(self.rows), np.uint16)
         for b, data in told:
-            earlier[self.record_cut[b] : self.record_cut[b + 1]] = np.frombuffer(data, np.uint16)
-        out = []
-        for d, rows, order, starts in equal_suffixes(self.records):
-            least = np.empty(len(self.records), np.int64)
+            earlier[self.cut[b] : self.cut[b + 1]] = np.frombuffer(data, np.uint16)
+        out = [np.zeros(0, np.int64)]
+        for d, rows, order, starts in equal_suffixes(self.rows):
+            least = np.empty(len(self.rows), np.int64)
             least[rows[order]] = np.repeat(np.minimum.reduceat(self.first[rows[order]], starts), np.diff(np.append(starts, len(order))))
             mine = np.flatnonzero((self.low <= d) & (d <= self.high))
-            own = self.record[mine]
+            own = self.number[mine]
             out.append(self.at[mine][(self.at[mine] > least[own]) | ((earlier[own] >> np.uint16(d)) & np.uint16(1) > 0)] - d)
-        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+        return np.concatenate(out)
 
 
 def equal_suffixes(records: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -353,37 +377,32 @@ def _repeated(messages: pd.DataFrame) -> np.ndarray:
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-TIES = "block long, lens array<long>, data binary, tied binary"
+TIED = PACKED + ", tied binary"
+RANKED = TIED + ", ranks binary"
 
 
 def candidates(packed: DataFrame, names: DataFrame, buckets: int) -> DataFrame:
-    """Blocks that have candidates, with a bit a byte that says which suffixes are."""
+    """Blocks, with a bit a byte that says which suffixes are candidates."""
 
     def run(key: tuple, block: pd.DataFrame, messages: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for lens, data in zip(block["lens"], block["data"], strict=True):
+        for ids, lens, data in zip(block["ids"], block["lens"], block["data"], strict=True):
             b = Block(lens, data)
             tied = np.zeros(len(b.data), dtype=bool)
             tied[b.ties(buckets, _repeated(messages))] = True
-            if tied.any():
-                out.append((key[0], lens, data, zstandard.ZstdCompressor(level=1).compress(np.packbits(tied).tobytes())))
-        return pd.DataFrame(out, columns=["block", "lens", "data", "tied"])
+            out.append((key[0], ids, lens, data, zstandard.ZstdCompressor(level=1).compress(np.packbits(tied).tobytes())))
+        return pd.DataFrame(out, columns=["block", "ids", "lens", "data", "tied"])
 
-    return packed.select("block", "lens", "data").groupBy("block").cogroup(names.groupBy("block")).applyInPandas(run, TIES)
+    return packed.groupBy("block").cogroup(names.groupBy("block")).applyInPandas(run, TIED)
 
 
-def _samples(lens: np.ndarray, data: bytes, tied: bytes, buckets: int) -> Samples:
+def _samples(lens: np.ndarray, data: bytes, tied: bytes) -> Samples:
     block = Block(lens, data)
-    bits = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(tied), np.uint8), count=len(block.data)).astype(bool)
-    return Samples(block, bits, buckets)
-
+    return Samples(block, np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(tied), np.uint8), count=len(block.data)).astype(bool))
 
-def _told(messages: pd.DataFrame, kind: int) -> list[tuple[int, bytes]]:
-    mine = messages[messages["kind"] == kind]
-    return list(zip(mine["bucket"], mine["data"], strict=True))
 
-
-PIECES, RECORDS = 1, 2
+def _told(messages: pd.DataFrame) -> list[tuple[int, bytes]]:
+    return list(zip(messages["bucket"], messages["data"], strict=True))
 
 
 def ranked_pieces(ties: DataFrame, buckets: int) -> DataFrame:
@@ -392,7 +411,7 @@ def ranked_pieces(ties: DataFrame, buckets: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, lens, data, tied in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if parts := [(b, PIECES, m) for b, m in _samples(lens, data, tied, buckets).piece_messages()]:
+                if parts := [(b, 0, m) for b, m in _samples(lens, data, tied).piece_messages(buckets)]:
                     yield _rows(block, parts)
 
     def rank(rows: pd.DataFrame) -> pd.DataFrame:
@@ -409,25 +428,33 @@ def ranked_pieces(ties: DataFrame, buckets: int) -> DataFrame:
         rows["data"] = [ranks[e - len(h) : e].tobytes() for h, e in zip(held, ends, strict=True)]
         return rows
 
-    return ties.mapInArrow(send, MESSAGE).groupBy("bucket").applyInPandas(rank, MESSAGE)
+    return ties.select("block", "lens", "data", "tied").mapInArrow(send, MESSAGE).groupBy("bucket").applyInPandas(rank, MESSAGE)
 
 
-def sent_records(ties: DataFrame, ranks: DataFrame, buckets: int, wide: bool) -> DataFrame:
-    """Messages to buckets: the records of each block."""
+def with_ranks(ties: DataFrame, ranks: DataFrame, buckets: int, kind: type) -> DataFrame:
+    """Blocks, with the rank of the piece at each place of one."""
+
+    def run(key: tuple, block: pd.DataFrame, messages: pd.DataFrame) -> pd.DataFrame:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        block["ranks"] = [squeeze.compress(_samples(lens, data, tied).ranks(buckets, _told(messages), kind).tobytes()) for lens, data, tied in zip(block["lens"], block["data"], block["tied"], strict=True)]
+        return block
+
+    return ties.groupBy("block").cogroup(ranks.groupBy("block")).applyInPandas(run, RANKED)
 
-    def send(key: tuple, block: pd.DataFrame, messages: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for lens, data, tied in zip(block["lens"], block["data"], block["tied"], strict=True):
-            samples = _samples(lens, data, tied, buckets)
-            samples.rank(_told(messages, PIECES), wide)
-            out += [(key[0], b, RECORDS, m) for b, m in samples.record_messages()]
-        return pd.DataFrame(out, columns=["block", "bucket", "kind", "data"])
 
-    return ties.groupBy("block").cogroup(ranks.groupBy("block")).applyInPandas(send, MESSAGE)
+def _records(lens: np.ndarray, data: bytes, tied: bytes, ranks: bytes, buckets: int, kind: type, turn: tuple[int, int]) -> Records:
+    return _samples(lens, data, tied).records(np.frombuffer(zstandard.ZstdDecompressor().decompress(ranks), kind), buckets, turn)
 
 
-def settled(records: DataFrame, width: int) -> DataFrame:
-    """Messages to blocks: of the records they sent, a bit for each offset whose suffix a block before has."""
+def settled(ranked: DataFrame, buckets: int, kind: type, turn: tuple[int, int]) -> DataFrame:
+    """Messages to blocks: of the records they sent to the buckets of a turn, a bit for each offset whose suffix a block before has."""
+    width = LINKS * np.dtype(kind).itemsize + 2 * SIDE + 2
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, lens, data, tied, ranks in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if parts := [(b, 0, m) for b, m in _records(lens, data, tied, ranks, buckets, kind, turn).messages()]:
+                    yield _rows(block, parts)
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         held = [np.frombuffer(d, np.uint8).reshape(-1, width) for d in rows["data"]]
@@ -442,25 +469,23 @@ def settled(records: DataFrame, width: int) -> DataFrame:
         rows["data"] = [bits[e - len(h) : e].tobytes() for h, e in zip(held, ends, strict=True)]
         return rows
 
-    return records.groupBy("bucket").applyInPandas(settle, MESSAGE)
+    return ranked.select("block", "lens", "data", "tied", "ranks").mapInArrow(send, MESSAGE).groupBy("bucket").applyInPandas(settle, MESSAGE)
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def keep(packed: DataFrame, ties: DataFrame, messages: DataFrame, buckets: int, wide: bool, with_text: bool = False) -> DataFrame:
+def keep(ranked: DataFrame, messages: DataFrame, buckets: int, kind: type, with_text: bool = False) -> DataFrame:
     """Per packed document: what is removed, and the hash (or also the bytes) of what stays."""
-    told_ties = ties.select("block", F.lit(0).alias("bucket"), F.lit(0).alias("kind"), F.col("tied").alias("data"))
 
     def apply(key: tuple, block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for ids, lens, data in zip(block["ids"], block["lens"], block["data"], strict=True):
+        for ids, lens, data, tied, ranks in zip(*(block[c] for c in ("ids", "lens", "data", "tied", "ranks")), strict=True):
             b = Block(lens, data)
             edge = np.zeros(len(b.data) + 1, dtype=np.int32)
-            for _, tied in _told(told, 0):
-                samples = _samples(lens, data, tied, buckets)
-                samples.rank(_told(told, PIECES), wide)
-                again = samples.repeated(_told(told, RECORDS))
+            for r in range(ROUNDS):
+                mine = told[told["bucket"] % ROUNDS == r]
+                again = np.unique(_records(lens, data, tied, ranks, buckets, kind, (r, ROUNDS)).repeated(_told(mine)))
                 np.add.at(edge, again, 1)
                 np.add.at(edge, again + LENGTH, -1)
             gone = np.cumsum(edge)[:-1] > 0
@@ -471,7 +496,7 @@ def keep(packed: DataFrame, ties: DataFrame, messages: DataFrame, buckets: int,
                 out.append((doc, n, int(mine.sum()), spans, hashlib.sha256(left).hexdigest(), *([left] if with_text else [])))
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
 
-    return packed.groupBy("block").cogroup(messages.unionByName(told_ties).groupBy("block")).applyInPandas(apply, KEPT + ", kept binary" * with_text)
+    return ranked.groupBy("block").cogroup(messages.groupBy("block")).applyInPandas(apply, KEPT + ", kept binary" * with_text)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -486,24 +511,26 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     names = ws.save(repeated_names(packed, buckets), "names", "none")
     ws.release()
     ties = ws.save(candidates(packed, names, buckets), "ties", "none")
-    ws.drop("names")
+    for name in ("names", "packed"):
+        ws.drop(name)
     ws.release()
     ranks = ws.save(ranked_pieces(ties, buckets), "ranks")
     ws.release()
-    wide = total >= 1 << 32  # a rank's number is below the number of samples, which is a third of the bytes
-    records = ws.save(sent_records(ties, ranks, buckets, wide).withColumn("round", F.col("bucket") % ROUNDS), "records", by="round")
+    kind = np.uint64 if total >= 1 << 32 else np.uint32  # a rank's number is below the number of samples, a third of the bytes
+    ranked = ws.save(with_ranks(ties, ranks, buckets, kind), "ranked", "none")
+    for name in ("ties", "ranks"):
+        ws.drop(name)
     ws.release()
-    width = LINKS * (8 if wide else 4) + 2 * SIDE + 2
-    messages = ranks
+    messages = None
     for r in range(ROUNDS):
-        messages = messages.unionByName(ws.save(settled(records.where(F.col("round") == r).drop("round"), width), f"round{r}"))
+        told = ws.save(settled(ranked, buckets, kind, (r, ROUNDS)), f"round{r}")
+        messages = told if messages is None else messages.unionByName(told)
         ws.release()
-    ws.drop("records")
     plain = keys.where("sha is not null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), "copies")
     copies = F.when(F.col("repeats"), F.col("copies")).otherwise(F.col("copies") - 1)
     whole = keys.where("sha is null").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(EMPTY_SHA).alias("kept_sha256"), copies.alias("copies")).where("copies > 0")
     rows = plain.unionByName(whole).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy", "copies")
-    rows = rows.unionByName(keep(packed, ties, messages, buckets, wide))
+    rows = rows.unionByName(keep(ranked, messages, buckets, kind))
     out = Workspace(spark, "repeats").save(rows.withColumn("doc_id", F.when(F.col("doc_id") != FIRST, F.col("doc_id"))), "rows")
     ws.clear()
     ws.release()

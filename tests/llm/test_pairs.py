@@ -156,10 +156,10 @@ def test_equal_fingerprints_do_not_matter(monkeypatch):
 
     def removed():
         block = suffixdedup.Block(lens, data)
-        samples = suffixdedup.Samples(block, np.concatenate([np.r_[np.ones(max(0, n - 99), bool), np.zeros(min(n, 99), bool)] for n in lens]), 3)
-        ranks = [(b, np.unique(np.frombuffer(m, f"V{suffixdedup.PIECE_BYTES}"), return_inverse=True)[1].astype(np.uint32).tobytes()) for b, m in samples.piece_messages()]
-        samples.rank(ranks, False)
-        return samples.repeated([]).tolist()
+        samples = suffixdedup.Samples(block, np.concatenate([np.r_[np.ones(max(0, n - 99), bool), np.zeros(min(n, 99), bool)] for n in lens]))
+        ranks = [(b, np.unique(np.frombuffer(m, f"V{suffixdedup.PIECE_BYTES}"), return_inverse=True)[1].astype(np.uint32).tobytes()) for b, m in samples.piece_messages(3)]
+        numbers = samples.ranks(3, ranks, np.uint32)
+        return sorted({i for turn in range(2) for i in samples.records(numbers, 3, (turn, 2)).repeated([]).tolist()})
 
     want = removed()
     monkeypatch.setattr(suffixdedup, "mixed", lambda columns: np.zeros(len(columns[0]), np.uint64) + (columns[0] & np.uint64(1)))
