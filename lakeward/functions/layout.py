@@ -28,8 +28,29 @@ def interleave(places: list[Column]) -> Column:
     return out
 
 
+SAMPLE = 20_000
+CUTS = 255
+
+
+def by_quantiles(value: Column, cuts: list[str]) -> Column:
+    """A string's place by the number of cuts that aren't above it, in `BITS` bits; nulls come first."""
+    below = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= value)) if cuts else F.lit(0)
+    step = ((1 << BITS) - 1) // max(1, len(cuts))
+    return F.when(value.isNotNull(), below * step).otherwise(0).cast("long")
+
+
 def z_key(rows: DataFrame, columns: list[str]) -> Column:
-    """Key of numeric, date or time columns by their ranges in `rows`; one aggregate finds the ranges."""
-    number = {c: F.unix_micros(F.col(c).cast("timestamp")) if rows.schema[c].dataType.typeName() in ("date", "timestamp", "timestamp_ntz") else F.col(c).cast("double") for c in columns}
-    v = rows.agg(*[f(x).alias(f"{n}_{c}") for c, x in number.items() for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    return interleave([spread(x, v[f"lo_{c}"], v[f"hi_{c}"]) for c, x in number.items()])
+    """Key of columns by their ranges in `rows`, found by one aggregate; strings go by quantiles of a bounded sample."""
+    kinds = {c: rows.schema[c].dataType.typeName() for c in columns}
+    texts = [c for c in columns if kinds[c] in ("string", "varchar", "char")]
+    number = {c: F.unix_micros(F.col(c).cast("timestamp")) if kinds[c] in ("date", "timestamp", "timestamp_ntz") else F.col(c).cast("double") for c in columns if c not in texts}
+    limits = [f(x).alias(f"{n}_{c}") for c, x in number.items() for n, f in (("lo", F.min), ("hi", F.max))]
+    v = rows.agg(F.count("*").alias("rows"), *limits).first()
+    places = {c: spread(x, v[f"lo_{c}"], v[f"hi_{c}"]) for c, x in number.items()}
+    if texts:
+        share = min(1.0, SAMPLE / max(1, v["rows"]))
+        seen = rows.sample(share, seed=1).select(*texts).limit(2 * SAMPLE).collect()
+        for c in texts:
+            values = sorted(r[c] for r in seen if r[c] is not None)
+            places[c] = by_quantiles(F.col(c), sorted({values[len(values) * i // (CUTS + 1)] for i in range(1, CUTS + 1)}) if values else [])
+    return interleave([places[c] for c in columns])

@@ -52,6 +52,11 @@ def schedule_priority(now: Column) -> Column:
     )
 
 
+def ranked(states: DataFrame, now: Column, most: int) -> DataFrame:
+    """The most urgent tables, by falling priority: a top-k."""
+    return states.select("tbl", F.round(schedule_priority(now), 6).alias("priority")).orderBy(F.desc("priority"), "tbl").limit(most)
+
+
 def in_window(minute: Column, start: int | None, end: int | None) -> Column:
     """Whether a minute of the day is in a maintenance window, which may cross midnight; no window is always open."""
     if start is None or end is None:
@@ -111,17 +116,26 @@ def effectiveness(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("score", F.bround(_clamp(score), 4))
 
 
-def recommendation(history: DataFrame, last: int = 6) -> DataFrame:
-    """Per table: average of the last scores, trend of their halves, and the threshold multiplier (tbl, seq, score)."""
-    newest = Window.partitionBy("tbl").orderBy(F.desc("seq"))
-    recent = history.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= last)
+def recommendation(history: DataFrame, now: Column, lookback_hours: int = 24, fallback: int = 3, last: int = 5, least: int = 3, poor: float = -0.5) -> DataFrame:
+    """Per table (tbl, ts, seq, score): average and trend of recent scores, threshold multiplier, priority factor, and whether to skip it.
+
+    Recent are the scores of the last `lookback_hours`, or the `fallback` newest
+    where there are none; the trend compares the halves of these.  The factor
+    goes by the `last` newest scores; a table with `least` recent scores that
+    are poor on average is skipped.
+    """
+    newest = Window.partitionBy("tbl").orderBy(F.desc("ts"), F.desc("seq"))
+    near = (F.col("ts") >= now - F.expr(f"interval {lookback_hours} hours")) & (F.col("ts") <= now)
+    ranked = history.withColumn("back", F.row_number().over(newest)).withColumn("near", near).withColumn("any_near", F.bool_or("near").over(Window.partitionBy("tbl")))
+    recent = ranked.where(F.when(F.col("any_near"), F.col("near")).otherwise(F.col("back") <= fallback)).withColumn("i", F.row_number().over(newest))
     n = F.count("*").over(Window.partitionBy("tbl"))
-    recent = recent.withColumn("first", F.col("back") > n - F.floor(n / 2))
+    recent = recent.withColumn("first", F.col("i") > n - F.floor(n / 2))
     g = recent.groupBy("tbl").agg(F.count("*").alias("n"), F.avg("score").alias("avg_score"), F.avg(F.when(F.col("first"), F.col("score"))).alias("early"), F.avg(F.when(~F.col("first"), F.col("score"))).alias("late"))
+    factor = ranked.where(F.col("back") <= last).groupBy("tbl").agg(_clamp(1.0 + F.avg("score") / 2, 0.3, 2.0).alias("factor"))
     trend = F.when(F.col("n") < 2, "stable").when(F.col("late") > F.col("early") + 0.1, "improving").when(F.col("late") < F.col("early") - 0.1, "degrading").otherwise("stable")
     a = F.col("avg_score")
     multiplier = F.when(a > 0.5, 0.7).when(a > 0.2, 0.85).when(a > -0.1, 1.0).when(a > -0.5, 1.5).otherwise(2.0)
-    return g.select("tbl", "n", F.round("avg_score", 6).alias("avg_score"), trend.alias("trend"), multiplier.alias("multiplier"))
+    return g.join(factor, "tbl").select("tbl", "n", F.round("avg_score", 6).alias("avg_score"), trend.alias("trend"), multiplier.alias("multiplier"), F.round("factor", 6).alias("priority_factor"), ((F.col("n") >= least) & (a < poor)).alias("skip"))
 
 
 def partition_recommendations(stats: DataFrame, least_files: int = 5, ratio: float = 0.3) -> DataFrame:
@@ -141,6 +155,7 @@ def region_costs(tables: DataFrame) -> DataFrame:
     outputs = F.greatest(F.lit(1), F.floor(F.col("data_gb") / OUT_GB))
     compact = F.bround(F.col("data_gb") * COMPUTE_GB + F.col("files") / 1000 * GET_1K + outputs / 1000 * PUT_1K, 4)
     ship = F.bround(F.col("data_gb") * SHIP_GB + outputs / 1000 * PUT_1K, 4)
+    #: The names of the two outcomes.
     out = tables.select("tbl", F.round(compact * 2, 4).alias("both_regions"), F.round(compact + ship, 4).alias("shipped"), compact.alias("one_region"))
     return out.withColumn("winner", F.when(F.col("both_regions") < F.col("shipped"), "compact both").otherwise("compact+ship"))
 

@@ -82,6 +82,25 @@ def partition_health(entries: DataFrame, commits: DataFrame, now: Column, rewrit
     return out.withColumns(flags).select("part", "file_count", "total_rows", "total_bytes", "small_count", "max_seq", "is_hot", *flags)
 
 
+def partition_totals(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("part").agg(F.count("*").alias("file_count"), F.sum("record_count").alias("total_rows"), F.sum("file_bytes").alias("total_bytes"))
+
+
+def partition_files(entries: DataFrame, small: int = 64 * MIB) -> DataFrame:
+    """Per partition: totals, latest commit, and the paths of its small and large files, in order."""
+    paths = lambda which: F.sort_array(F.collect_list(F.when(which, F.col("path"))))
+    size = F.col("file_bytes")
+    return entries.groupBy("part").agg(
+        F.count("*").alias("file_count"), F.sum("record_count").alias("total_rows"), F.sum("file_bytes").alias("total_bytes"), F.max("seq").alias("max_seq"),
+        paths(size <= small).alias("small_files"), paths(size > small).alias("large_files"),
+    )
+
+
+def orphans(listed: DataFrame, used: DataFrame, before: int) -> DataFrame:
+    """Listed files (path, modified) that were modified before a time and that no used entry names."""
+    return listed.where(F.col("modified") < before).join(used.select("path"), "path", "left_anti")
+
+
 def size_class(size: Column) -> Column:
     out = F.lit(SIZE_CLASSES[-1][1])
     for end, name in reversed(SIZE_CLASSES[:-1]):

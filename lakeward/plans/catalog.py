@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import metadata, star
+from . import metadata, physical, star
 
-QUERIES = star.QUERIES | metadata.QUERIES
-ORACLES = star.ORACLES | metadata.ORACLES
+QUERIES = star.QUERIES | metadata.QUERIES | physical.QUERIES
+ORACLES = star.ORACLES | metadata.ORACLES | physical.ORACLES

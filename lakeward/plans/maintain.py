@@ -4,28 +4,36 @@ from __future__ import annotations
 
 import math
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.layout import z_key
 from ..operators import commits as cm
 from ..operators import files as fl
 from ..operators import verify as vf
-from ..operators.files import DATA, MIB, POSITION_DELETES
+from ..operators.files import DATA, EQUALITY_DELETES, MIB, POSITION_DELETES
+from ..sources.footers import mixed_schemas, read_footers
 from ..sources.literals import parse_literal
-from ..sources.tables import Table, Warehouse
+from ..sources.tables import UNPARTITIONED, Table, Warehouse
 from .state import Breakers
 
 TARGET = 128 * MIB
+LISTED = 50
 Ident = tuple[str, str]
+Choose = Callable[[Table, DataFrame], DataFrame]
 
 
 class VerificationFailed(Exception):
     """A staged rewrite does not hold what the snapshot before it held."""
 
 
+class Unsupported(Exception):
+    """The table has features that a rewrite would lose."""
+
+
 @dataclass
 class Result:
     """What an operation did, or would do."""
@@ -39,70 +47,79 @@ class Result:
     snapshot: int | None = None
     skipped: str | None = None
     dry_run: bool = False
+    contention: bool | None = None  # of a dry run: whether another writer committed meanwhile
     notes: dict = field(default_factory=dict)
 
 
-def _plan(table: Table, partition: dict[str, str] | None = None) -> list[dict]:
-    """Entries as rows on the driver: file sets, never data; manifests outside the partition are not read."""
-    wanted = {c: parse_literal(v, table.schema[c].dataType) for c, v in (partition or {}).items()}
-    texts = {c: None if v is None else (str(v).lower() if isinstance(v, bool) else str(v)) for c, v in wanted.items()}
-    for c in texts:
+def partition_entries(table: Table, partition: dict[str, str] | None = None) -> DataFrame:
+    """File entries of a partition, or of the table, and all delete entries; manifests outside the partition are not read."""
+    wanted = {}
+    for c, v in (partition or {}).items():
         if c not in table.meta["partition"]:
             raise ValueError(f"the table is not partitioned by {c!r}")
-    typed = {c: table.schema[c].dataType for c in texts}
+        wanted[c] = parse_literal(v, table.schema[c].dataType)
+    inside = table.may_hold(wanted)
+    entries = table.entries(keep=lambda m: m["content"] != DATA or inside(m))
+    for c, v in wanted.items():
+        kind = table.schema[c].dataType
+        entries = entries.where(F.col("part_values")[c].cast(kind).eqNullSafe(F.lit(v).cast(kind)) | (F.col("content") != DATA))
+    return entries
 
-    def may_hold(m: dict) -> bool:
-        for c in texts:
-            lo, hi = m["bounds"].get(c, [None, None])
-            if lo is None or hi is None or typed[c].typeName() != "string":
-                continue  # bounds of text order say nothing about other types
-            if not lo <= texts[c] <= hi:
-                return False
-        return True
 
-    entries = table.entries(keep=may_hold)
-    for c, v in texts.items():
-        entries = entries.where(F.col("part_values")[c].cast(typed[c]).eqNullSafe(F.lit(v).cast(typed[c])) | (F.col("content") != DATA))
-    needed = entries.select("path", "content", "file_bytes", "record_count", "part", "seq", "eq_columns")
-    return sorted((r.asDict() for r in needed.toLocalIterator()), key=lambda e: e["path"])
+def guard(table: Table, entries: DataFrame) -> None:
+    """Refuse tables with features that a rewrite would lose: several partition specs, deletes kept in Puffin files."""
+    found = vf.unsupported(entries).first()
+    if found["specs"] > 1:
+        raise Unsupported(f"{'.'.join(table.ident)} has files of {found['specs']} partition specs")
+    if found["puffin"]:
+        raise Unsupported(f"{'.'.join(table.ident)} has {found['puffin']} delete vectors in Puffin files")
 
 
-def rewrite(wh: Warehouse, ident: Ident, choose, operation: str, dry_run: bool = False, target: int = TARGET, sort: list[str] | None = None, zorder: list[str] | None = None, attempts: int = 15) -> Result:
+def rewrite(wh: Warehouse, ident: Ident, choose: Choose, operation: str, dry_run: bool = False, target: int = TARGET, sort: list[str] | None = None, zorder: list[str] | None = None, attempts: int = 15, where: Column | str | None = None, row_group_bytes: int | None = None, breakers: Breakers | None = None, force: bool = False) -> Result:
     """Replace the data files that `choose(table, entries)` picks by few sorted ones, without the rows that deletes remove.
 
     One commit for all partitions.  Deletes that were applied everywhere go
     with it.  If a commit in between added deletes or took away an input, the
-    rewrite starts again.
+    rewrite starts again.  `where` keeps the choice to entries that fulfil it;
+    a paused table is refused unless `force` is set.
     """
     for _ in range(attempts):
         table = wh.load(ident)
-        out = _rewrite_once(wh, ident, table, choose, operation, dry_run, target, sort, zorder)
+        if not force and not dry_run:
+            (breakers or Breakers(wh.store)).preflight(table.meta["uuid"])
+        out = _rewrite_once(wh, ident, table, choose, operation, dry_run, target, sort, zorder, where, row_group_bytes)
         if out is not None:
             return out
     raise VerificationFailed(f"{operation}: inputs changed in each of {attempts} attempts")
 
 
-def _rewrite_once(wh: Warehouse, ident: Ident, table: Table, choose, operation: str, dry_run: bool, target: int, sort: list[str] | None, zorder: list[str] | None) -> Result | None:
+def _rewrite_once(wh: Warehouse, ident: Ident, table: Table, choose: Choose, operation: str, dry_run: bool, target: int, sort: list[str] | None, zorder: list[str] | None, where: Column | str | None, row_group_bytes: int | None) -> Result | None:
     if table.snapshot() is None:
         return Result(operation, skipped="no snapshot", dry_run=dry_run)
-    entries = _plan(table)
-    data, deletes = [e for e in entries if e["content"] == DATA], [e for e in entries if e["content"] != DATA]
-    picked = choose(table, data)
-    counts = Result(operation, len(data), len(data), sum(e["record_count"] for e in data), dry_run=dry_run, snapshot=table.meta["current"])
-    counts.after_rows = counts.before_rows
-    groups: dict[str, list[dict]] = {}
-    for e in picked:
-        groups.setdefault(e["part"], []).append(e)
-    groups = {p: g for p, g in groups.items() if len(g) > 1 or deletes}
-    picked = [e for g in groups.values() for e in g]
+    entries = table.entries()
+    guard(table, entries)
+    data = entries.where(F.col("content") == DATA)
+    total = data.agg(F.count("*").alias("files"), F.coalesce(F.sum("record_count"), F.lit(0)).alias("rows")).first()
+    deletes = [r.asDict() for r in entries.where(F.col("content") != DATA).select("path", "content", "part", "seq", "eq_columns", "referenced").collect()]
+    chosen = choose(table, data if where is None else data.where(where))
+    if not deletes:  # a partition with a single file has nothing to merge
+        chosen = chosen.withColumn("__n", F.count("*").over(Window.partitionBy("part"))).where("__n > 1").drop("__n")
+    picked = [r.asDict() for r in chosen.select("path", "file_bytes", "record_count", "part", "seq").orderBy("path").collect()]
+    out = Result(operation, total["files"], total["files"], total["rows"], total["rows"], dry_run=dry_run, snapshot=table.meta["current"])
     if not picked:
-        counts.skipped = "nothing to do"
-        return counts
-    files = {p: max(1, math.ceil(sum(e["file_bytes"] for e in g) / target)) for p, g in groups.items()}
+        out.skipped = "nothing to do"
+        return out
+    if mixed_schemas(read_footers(table.spark, [e["path"] for e in picked])):
+        out.skipped = "files of several schemas"
+        return out
+    sizes: dict[str, int] = {}
+    for e in picked:
+        sizes[e["part"]] = sizes.get(e["part"], 0) + e["file_bytes"]
+    files = {p: max(1, math.ceil(n / target)) for p, n in sizes.items()}
     if dry_run:
-        counts.after_files = len(data) - len(picked) + sum(files.values())
-        counts.notes["contention"] = wh.load(ident).meta["current"] != table.meta["current"]
-        return counts
+        out.after_files = total["files"] - len(picked) + sum(files.values())
+        out.contention = out.notes["contention"] = contended(wh, ident, table)
+        return out
     order = sort or [c for c, _ in table.meta["sort"]]
     ascending = dict(table.meta["sort"])
     rows = table.live_rows(picked, deletes)
@@ -113,59 +130,89 @@ def _rewrite_once(wh: Warehouse, ident: Ident, table: Table, choose, operation:
     if max(files.values()) > 1:  # large partitions are cut by range, so that each has as many files as its bytes need
         rows = rows.repartitionByRange(sum(files.values()), *[F.col(c) for c in [*parts, *order]] or [F.monotonically_increasing_id()])
     else:
-        rows = rows.repartition(max(1, len(groups)), *[F.col(c) for c in parts]) if parts else rows.coalesce(1)
+        rows = rows.repartition(max(1, len(files)), *[F.col(c) for c in parts]) if parts else rows.coalesce(1)
     rows = rows.sortWithinPartitions(*[F.col(c) for c in parts], *by) if parts or by else rows
-    paths = wh.write_data(table, rows.drop("__z"))
-    staged = table.spark.read.schema(table.schema).parquet(*paths).count() if paths else 0
+    paths = wh.write_data(table, rows.drop("__z"), row_group_bytes)
+    added = wh.staged_entries(table, paths)
+    staged = added.agg(F.sum("record_count").alias("n")).first()["n"] if added is not None else 0
     live = table.live_rows(picked, deletes).count() if deletes else sum(e["record_count"] for e in picked)
     if staged != live:
         for p in paths:
             wh.store.delete_path(p)
         raise VerificationFailed(f"{operation}: {staged} rows staged of {live}")
-    gone = {e["path"] for e in picked}
-    done = {d["path"] for d in deletes if all(e["path"] in gone or not _may_apply(d, e, wh) for e in data)}
+    gone = table.spark.createDataFrame([(e["path"],) for e in picked], "path string")
+    done = applied(table, data.join(gone, "path", "left_anti"), deletes)
+    leaving = gone.unionByName(table.spark.createDataFrame([(p,) for p in sorted(done)], "path string"))
 
     class Moved(Exception):
         pass
 
     def change(t: Table) -> dict:
-        now = [r.asDict() for r in t.entries().select("path", "content").collect()]
-        if not gone <= {e["path"] for e in now} or {e["path"] for e in now if e["content"] != DATA} - {d["path"] for d in deletes}:
-            raise Moved
-        leaving = t.spark.createDataFrame([(p,) for p in sorted(gone | done)], "path string")
-        keep = t.entries().join(leaving, "path", "left_anti")
-        added = wh.entries_of(t, paths, t.meta["last_seq"] + 1) if paths else None
-        both = keep.unionByName(added.select(*keep.columns)) if added is not None else keep
-        return wh.staged(t, [wh.write_manifest(t, both)], "replace", {"maintenance": operation}, own=True)
+        now = t.read_manifests(t.manifests())
+        if t.meta["current"] != table.meta["current"]:
+            known = t.spark.createDataFrame([(d["path"],) for d in deletes], "path string")
+            if now.join(gone, "path", "left_semi").count() != len(picked) or now.where(F.col("content") != DATA).join(known, "path", "left_anti").limit(1).count():
+                raise Moved
+        touched = {r["manifest"] for r in now.join(leaving, "path", "left_semi").select("manifest").distinct().collect()}
+        rest = now.where(F.col("manifest").isin(sorted(touched))).join(leaving, "path", "left_anti").drop("manifest")
+        new = rest if added is None else rest.unionByName(added.withColumn("seq", F.lit(t.meta["last_seq"] + 1)))
+        return wh.staged(t, [*[m for m in t.manifests() if m["path"] not in touched], *wh.write_manifests(t, new)], "replace", {"maintenance": operation}, own=True)
 
     try:
         after = wh.commit(ident, change)
     except Moved:
         for p in paths:
             wh.store.delete_path(p)
+        wh.drop_staged(added)
         return None
-    verify_replace(table, after, counts.before_rows - (sum(e["record_count"] for e in picked) - staged))
-    counts.after_files, counts.deleted_rows = len(data) - len(picked) + len(paths), sum(e["record_count"] for e in picked) - staged
-    counts.after_rows, counts.snapshot = counts.before_rows - counts.deleted_rows, after.meta["current"]
-    counts.notes |= {"bytes_read": sum(e["file_bytes"] for e in picked), "paths": sorted(gone), "partitions": sorted(groups)}
-    return counts
+    wh.drop_staged(added)
+    removed = sum(e["record_count"] for e in picked) - staged
+    out.notes["checks"] = verify_replace(table, after, total["rows"] - removed)
+    out.after_files, out.deleted_rows = total["files"] - len(picked) + len(paths), removed
+    out.after_rows, out.snapshot = total["rows"] - removed, after.meta["current"]
+    out.notes |= {"bytes_read": sum(sizes.values()), "bytes_written": sum(n for n, in after.entries().join(table.spark.createDataFrame([(p,) for p in paths], "path string"), "path", "left_semi").select("file_bytes").collect()), "paths": [e["path"] for e in picked], "partitions": sorted(files)}
+    return out
 
 
-def _may_apply(delete: dict, entry: dict, wh: Warehouse) -> bool:
-    if delete["content"] == POSITION_DELETES:
-        return True  # its rows may name any file that is still there
-    return entry["seq"] < delete["seq"] and delete["part"] in ("(unpartitioned)", entry["part"])
+def contended(wh: Warehouse, ident: Ident, table: Table) -> bool:
+    """Whether another writer committed since `table` was loaded: what a dry run can tell of a conflict."""
+    return wh.load(ident).version != table.version
+
+
+def applied(table: Table, left: DataFrame, deletes: list[dict]) -> set[str]:
+    """Delete files that no remaining data file needs any more."""
+    if not deletes:
+        return set()
+    d = table.spark.createDataFrame([(x["path"], x["content"], x["part"], x["seq"], x["referenced"]) for x in deletes], "path string, content int, part string, seq long, referenced string")
+    oldest = left.groupBy(F.col("part").alias("p")).agg(F.min("seq").alias("oldest"))  # a row a partition
+    scope = (F.col("part") == UNPARTITIONED) | (F.col("part") == F.col("p"))
+    equality = d.where(F.col("content") == EQUALITY_DELETES).join(oldest, scope & (F.col("oldest") < F.col("seq")), "left_semi")
+    position = d.where(F.col("content") == POSITION_DELETES)
+    named = position.where("referenced is not null").join(left.select(F.col("path").alias("referenced")), "referenced", "left_semi")
+    needed = {r["path"] for r in equality.select("path").unionByName(named.select("path")).collect()}
+    if left.limit(1).count():  # without the name of its data file, a position delete may be for any that is left
+        needed |= {x["path"] for x in deletes if x["content"] == POSITION_DELETES and x["referenced"] is None}
+    return {x["path"] for x in deletes} - needed
 
 
 def verify_replace(before: Table, after: Table, expected_rows: int) -> dict:
-    """Rows, schema, column counts and files of a commit; raises if they don't hold."""
-    new = after.entries().where(F.col("content") == DATA)
-    rows = new.agg(F.coalesce(F.sum("record_count"), F.lit(0)).alias("n")).first()["n"]
+    """Rows (I1), schema (I2), counts of values and nulls (I3, I4), bounds (I5) and files (I7) of a commit; raises if they don't hold.
+
+    Where deletes removed rows, counts may only have become smaller, by no more than the rows removed.
+    """
+    new, old = (t.entries().where(F.col("content") == DATA) for t in (after, before))
+    rows, had = (d.agg(F.coalesce(F.sum("record_count"), F.lit(0)).alias("n")).first()["n"] for d in (new, old))
     missing = [r["path"] for r in vf.new_files(new, before.entries()).collect() if not before.warehouse.store.fs.exists(before.warehouse.store._path(r["path"]))]
-    checks = {"i1_rows": rows == expected_rows, "i2_schema": before.meta["schema_id"] == after.meta["schema_id"] and before.meta["schema"] == after.meta["schema"], "i7_files": not missing}
-    old = before.entries().where(F.col("content") == DATA)
-    if expected_rows == (old.agg(F.sum("record_count").alias("n")).first()["n"] or 0):  # no rows were deleted: counts must be equal
-        checks["i3_i4_counts"] = not vf.compare_counts(vf.column_counts(old), vf.column_counts(new)).where(~F.col("pass")).limit(1).count()
+    counts = vf.compare_counts(vf.column_counts(old), vf.column_counts(new))
+    removed = F.lit(had - expected_rows)
+    within = F.col("pass") if had == expected_rows else (F.col("v_in") - F.col("v_out")).between(0, removed) & (F.col("n_in") - F.col("n_out")).between(0, removed)
+    checks = {
+        "i1_rows": rows == expected_rows,
+        "i2_schema": before.meta["schema_id"] == after.meta["schema_id"] and before.meta["schema"] == after.meta["schema"],
+        "i3_i4_counts": not counts.where(~within).limit(1).count(),
+        "i5_bounds": rows == 0 or not vf.bounds_presence(vf.bounds_of(old), vf.bounds_of(new)).where(F.lit(had == expected_rows) | (F.col("problem") == "spurious")).limit(1).count(),
+        "i7_files": not missing,
+    }
     if not all(checks.values()):
         raise VerificationFailed(str(checks))
     return checks
@@ -176,13 +223,11 @@ def compact(wh: Warehouse, ident: Ident, partition: dict[str, str] | None = None
     if partition and not wh.load(ident).meta["partition"]:
         raise ValueError("the table is not partitioned")
 
-    def choose(table: Table, data: list[dict]) -> list[dict]:
-        allowed = {e["path"] for e in _plan(table, partition) if e["content"] == DATA} if partition else None
-        some = [e for e in data if (allowed is None or e["path"] in allowed) and (not skip_large or target <= 0 or e["file_bytes"] < target)]
-        groups: dict[str, int] = {}
-        for e in some:
-            groups[e["part"]] = groups.get(e["part"], 0) + 1
-        return [e for e in some if groups[e["part"]] >= min_input_files or len(groups) == 0]
+    def choose(table: Table, data: DataFrame) -> DataFrame:
+        some = data.join(partition_entries(table, partition).select("path"), "path", "left_semi") if partition else data
+        if skip_large and target > 0:
+            some = some.where(F.col("file_bytes") < target)
+        return some.withColumn("__n", F.count("*").over(Window.partitionBy("part"))).where(F.col("__n") >= min_input_files).drop("__n")
 
     return rewrite(wh, ident, choose, "compact", target=max(1, target), **options)
 
@@ -204,10 +249,10 @@ def compact_hot(wh: Warehouse, ident: Ident, small: int = 64 * MIB, hot_window:
     """Merge the small files of recently written partitions, each with its anchor; one commit for all."""
     turn = rotation if rotation is not None else int(time.time() // 300)
 
-    def choose(table: Table, data: list[dict]) -> list[dict]:
-        hot = {r["part"] for r in partition_states(table, int(time.time() * 1000), small, hot_window=hot_window).where("is_hot").where(F.col("small_count") >= min_small).collect()}
-        anchor = {r["path"] for r in fl.anchors(table.entries().where(F.col("content") == DATA), small, turn).collect()}
-        return [e for e in data if e["part"] in hot and (e["file_bytes"] <= small or e["path"] in anchor)]
+    def choose(table: Table, data: DataFrame) -> DataFrame:
+        hot = partition_states(table, int(time.time() * 1000), small, hot_window=hot_window).where("is_hot").where(F.col("small_count") >= min_small).select("part")
+        anchor = fl.anchors(data, small, turn).select("path", F.lit(True).alias("anchor"))
+        return data.join(hot, "part", "left_semi").join(anchor, "path", "left").where((F.col("file_bytes") <= small) | F.col("anchor"))
 
     return rewrite(wh, ident, choose, "compact_hot", **options)
 
@@ -220,10 +265,9 @@ def compact_cold(wh: Warehouse, ident: Ident, small: int = 64 * MIB, small_trigg
     ages = wh.store.read(record) if wh.store.exists(record) else {}
     rewrites = wh.spark.createDataFrame(list(ages.items()), "part string, ms long").select("part", F.timestamp_millis("ms").alias("rewritten_at")) if ages else None
 
-    def choose(table: Table, data: list[dict]) -> list[dict]:
+    def choose(table: Table, data: DataFrame) -> DataFrame:
         states = partition_states(table, now, small, small_trigger, file_trigger, hot_window, stale_hours, rewrites)
-        due = {r["part"] for r in states.where("not is_hot and (needs_small or needs_files or needs_stale)").collect()}
-        return [e for e in data if e["part"] in due]
+        return data.join(states.where("not is_hot and (needs_small or needs_files or needs_stale)").select("part"), "part", "left_semi")
 
     out = rewrite(wh, ident, choose, "compact_cold", **options)
     if not out.dry_run and not out.skipped:
@@ -245,40 +289,57 @@ def expire(wh: Warehouse, ident: Ident, keep_last: int = 5, keep_hours: float =
     out = Result("expire", snapshot=before.meta["current"], dry_run=dry_run, notes={"removed": n - left, "remaining": left})
     if n == left or dry_run:
         out.skipped = "nothing to do" if n == left else None
+        out.contention = contended(wh, ident, before) if dry_run else None
         return out
-    after = wh.commit(ident, lambda t: t.meta | {"snapshots": remaining(t)} if len(remaining(t)) < len(t.meta["snapshots"]) else None)
+    last: list[Table] = []
+
+    def change(t: Table) -> dict | None:
+        last[:] = [t]
+        return t.meta | {"snapshots": remaining(t)} if len(remaining(t)) < len(t.meta["snapshots"]) else None
+
+    after = wh.commit(ident, change)
+    before = last[0]  # what the commit was made on
     as_rows = lambda t: wh.spark.createDataFrame([(s["id"], s["ts_ms"]) for s in t.meta["snapshots"]], "snapshot_id long, ts long")
-    if not vf.verify_expire(as_rows(before), as_rows(after)).first()["pass"]:
+    tip = lambda t: (t.schema, t.entries(before.meta["current"]).agg(F.sum("record_count")).first()[0])
+    if not vf.verify_expire(as_rows(before), as_rows(after)).first()["pass"] or tip(before) != tip(after):
         raise VerificationFailed("expire changed the current snapshot or added one")
-    if delete_files:
-        out.notes["deleted"] = len(remove_orphans(wh, ident, older_than_hours=0, now_ms=now + 1))
+    if delete_files:  # only what the dropped snapshots had: files that others have staged are not known to any
+        kept = {s["id"] for s in after.meta["snapshots"]}
+        dropped = [m for s in before.meta["snapshots"] if s["id"] not in kept for m in before.manifests(s["id"])]
+        stay = [m for s in after.meta["snapshots"] for m in after.manifests(s["id"])]
+        lost = after.read_manifests(dropped).select("path").distinct().join(after.read_manifests(stay).select("path"), "path", "left_anti")
+        paths = [r["path"] for r in lost.toLocalIterator()]
+        for p in paths:
+            wh.store.delete_path(p)
+        out.notes["deleted"] = len(paths)
     return out
 
 
 def rewrite_manifests(wh: Warehouse, ident: Ident, least: int = 4, dry_run: bool = False) -> Result:
-    """One manifest per partition for data; delete manifests pass through; the files stay the same, as a multiset."""
+    """One manifest per partition for data, all by one job; delete manifests pass through; the files stay the same, as a multiset."""
     table = wh.load(ident)
     manifests = table.manifests()
     data = [m for m in manifests if m["content"] == DATA]
-    entries = table.entries().where(F.col("content") == DATA)
-    groups = [r["part"] for r in fl.manifest_groups(entries).orderBy("spec_id", "part").collect()] if data else []
-    out = Result("rewrite_manifests", dry_run=dry_run, snapshot=table.meta["current"], notes={"before": len(manifests), "after": len(groups) + len(manifests) - len(data)})
-    if len(manifests) < least or not groups or len(groups) >= len(data):
+    groups = fl.manifest_groups(table.read_manifests(data)).count() if data else 0
+    out = Result("rewrite_manifests", dry_run=dry_run, snapshot=table.meta["current"], notes={"before": len(manifests), "after": groups + len(manifests) - len(data)})
+    if dry_run:
+        out.contention = contended(wh, ident, table)
+    if len(manifests) < least or not groups or groups >= len(data):
         out.skipped = "nothing to do"
         return out
     if dry_run:
         return out
 
+    base: list[Table] = []
+
     def change(t: Table) -> dict:
-        own = t.entries().where(F.col("content") == DATA)
-        parts = [wh.write_manifest(t, own.where(F.col("part") == p)) for p in groups]
-        others = [wh.write_manifest(t, own.where(~F.col("part").isin(groups)))] if own.where(~F.col("part").isin(groups)).limit(1).count() else []
-        deletes = t.entries().where(F.col("content") != DATA)
-        others += [wh.write_manifest(t, deletes)] if deletes.limit(1).count() else []
-        return wh.staged(t, parts + others, "replace", {"maintenance": "rewrite_manifests"}, own=True)
+        base[:] = [t]
+        own = [m for m in t.manifests() if m["content"] == DATA]
+        new = wh.write_manifests(t, t.read_manifests(own))
+        return wh.staged(t, [*new, *[m for m in t.manifests() if m["content"] != DATA]], "replace", {"maintenance": "rewrite_manifests"}, own=True)
 
     after = wh.commit(ident, change)
-    if vf.file_set_difference(table.entries(), after.entries(table.meta["current"] if after.snapshot(table.meta["current"]) else None)).limit(1).count():
+    if vf.file_set_difference(base[0].entries(), after.entries()).limit(1).count():
         raise VerificationFailed("manifest rewrite lost or added files")
     out.notes["after"], out.snapshot = len(after.manifests()), after.meta["current"]
     return out
@@ -294,19 +355,17 @@ def orphans(wh: Warehouse, ident: Ident, older_than_hours: float = 72, now_ms: i
     table = wh.load(ident)
     now = now_ms if now_ms is not None else int(time.time() * 1000)
     listed = wh.spark.createDataFrame([x for x in wh.store.walk(f"{table.key}/data") if x[0].endswith(".parquet")], "path string, bytes long, modified long")
-    used = None
-    for s in table.meta["snapshots"]:
-        e = table.entries(s["id"]).select("path")
-        used = e if used is None else used.unionByName(e)
-    old = listed.where(F.col("modified") < now - older_than_hours * 3_600_000)
-    return old.join(used.distinct(), "path", "left_anti") if used is not None else old
+    used = table.read_manifests([m for s in table.meta["snapshots"] for m in table.manifests(s["id"])])  # each manifest once
+    return fl.orphans(listed, used, now - int(older_than_hours * 3_600_000))
 
 
 def remove_orphans(wh: Warehouse, ident: Ident, older_than_hours: float = 72, now_ms: int | None = None, dry_run: bool = False) -> list[str]:
+    """Delete orphans; a dry run lists the first `LISTED` of them."""
+    if dry_run:
+        return [r["path"] for r in orphans(wh, ident, older_than_hours, now_ms).select("path").orderBy("path").limit(LISTED).collect()]
     paths = [r["path"] for r in orphans(wh, ident, older_than_hours, now_ms).select("path").orderBy("path").toLocalIterator()]
-    if not dry_run:
-        for p in paths:
-            wh.store.delete_path(p)
+    for p in paths:
+        wh.store.delete_path(p)
     return paths
 
 
@@ -328,8 +387,8 @@ def maintain(wh: Warehouse, ident: Ident, mode: str | None = None, dry_run: bool
         raise ValueError(f"unknown mode {mode!r}")
     now = now_ms or int(time.time() * 1000)
     table = wh.load(ident)
-    guard = breakers or Breakers(wh.store)
-    guard.preflight(table.meta["uuid"])
+    guard_ = breakers or Breakers(wh.store)
+    guard_.preflight(table.meta["uuid"])
     found = classify(table, now)
     plan = plan_for(found["class"]) | overrides
     mode = mode or plan["mode"]
@@ -343,11 +402,12 @@ def maintain(wh: Warehouse, ident: Ident, mode: str | None = None, dry_run: bool
     for step in (lambda: expire(wh, ident, plan["keep_last"], plan["keep_h"], now, dry_run=dry_run), lambda: rewrite_manifests(wh, ident, dry_run=dry_run), compaction, lambda: rewrite_manifests(wh, ident, dry_run=dry_run)):
         try:
             steps.append(step())
-        except (VerificationFailed, OSError) as e:
+        except (VerificationFailed, Unsupported, OSError) as e:
             error = str(e)
             break
     after = wh.load(ident)
     if not dry_run:
         done = next((s for s in steps if s.operation.startswith("compact")), None)
-        guard.record(table.meta["uuid"], ok=error is None, now_ms=now, outcome=done and done.__dict__)
+        metadata_bytes, data_bytes = after.bytes()
+        guard_.record(table.meta["uuid"], ok=error is None, now_ms=now, outcome=done and done.__dict__, metadata_bytes=metadata_bytes, data_bytes=data_bytes)
     return {"class": found["class"], "mode": mode, "steps": steps, "error": error, "metadata_version": after.version}

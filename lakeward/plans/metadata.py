@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import commits as cm
@@ -50,10 +50,11 @@ def src_snapshot_entries(spark, d):
     return fl.live_at(data_files(spark, d), 20).select("path", "seq", "record_count")
 
 
-@query("select p_partkey, p_brand, p_retailprice from part where p_retailprice > 1500")
+@query("select p_partkey, p_brand, p_retailprice from part where p_retailprice > (select avg(p_retailprice) from part)")
 def src_data_files(spark, d):
     schema = "p_partkey long, p_brand string, p_retailprice double"
-    return spark.read.schema(schema).parquet(f"{d}/part.parquet").where("p_retailprice > 1500")
+    part = spark.read.schema(schema).parquet(f"{d}/part.parquet")
+    return part.join(part.agg(F.avg("p_retailprice").alias("m"))).where("p_retailprice > m").drop("m")  # one row of an aggregate
 
 
 @query(f"with {VF} select path, '{{part=' || cast(part as varchar) || '}}' as inferred from vf")
@@ -109,19 +110,21 @@ def flt_small_predicates(spark, d):
     return files.join(F.broadcast(m)).agg(F.count_if(F.col("file_bytes") < F.col("m")).alias("table_small"), F.count_if(F.col("file_bytes") <= F.col("m")).alias("partition_small"))
 
 
-@query("select l_orderkey, l_linenumber, 'flag=' || l_returnflag || '/line=' || cast(l_linenumber as varchar) as pkey, '()' as none from lineitem where l_orderkey % 50 = 0")
+@query("select pkey, count(*) as n, sum(l_linenumber) as line_sum from (select l_linenumber, case when l_linenumber = 7 then '(unpartitioned)' when l_linenumber % 2 = 0 then 'flag=' || l_returnflag || '/line=null' else 'flag=' || l_returnflag || '/line=' || cast(l_linenumber as varchar) end as pkey from lineitem) q group by pkey")
 def flt_partition_key(spark, d):
-    values = F.create_map(F.lit("line"), F.col("l_linenumber").cast("string"), F.lit("flag"), F.col("l_returnflag"))
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    rows = read(spark, d, "lineitem").where("l_orderkey % 50 = 0")
-    return rows.select("l_orderkey", "l_linenumber", fl.partition_key(values).alias("pkey"), F.when(fl.partition_key(empty) == "(unpartitioned)", "()").alias("none"))
+    line = F.col("l_linenumber")
+    values = F.create_map(F.lit("line"), F.when(line % 2 == 1, line.cast("string")), F.lit("flag"), F.col("l_returnflag"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    rows = read(spark, d, "lineitem").withColumn("pkey", fl.partition_key(F.when(line == 7, none).otherwise(values)))
+    return rows.groupBy("pkey").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("line_sum"))
 
 
-@query(f"with {VF} select count(distinct commit_no % 1) as specs, count(*) filter (where path like '%.puffin') as puffin, count(distinct commit_no % 1) > 1 or count(*) filter (where path like '%.puffin') > 0 as refused from vf")
+@query(f"with {VF} select part % 3 as tbl, count(distinct case when part = 4 then commit_no % 2 else 0 end) as specs, count(*) filter (where part = 5 and commit_no < 3) as puffin, count(distinct case when part = 4 then commit_no % 2 else 0 end) > 1 or count(*) filter (where part = 5 and commit_no < 3) > 0 as refused from vf group by 1")
 def flt_unsupported(spark, d):
-    e = data_files(spark, d).withColumn("spec", F.col("commit_no") % 1)
-    g = e.agg(F.countDistinct("spec").alias("specs"), F.count_if(F.col("path").endswith(".puffin")).alias("puffin"))
-    return g.withColumn("refused", (F.col("specs") > 1) | (F.col("puffin") > 0))
+    """Of three tables one has two specs, one has delete vectors, and one has neither."""
+    part = F.col("part")
+    e = data_files(spark, d).select((part % 3).alias("tbl"), F.when(part == 4, F.col("commit_no") % 2).otherwise(0).alias("spec_id"), F.when((part == 5) & (F.col("commit_no") < 3), F.concat("path", F.lit(".puffin"))).otherwise(F.col("path")).alias("path"), F.when((part == 5) & (F.col("commit_no") < 3), 1).otherwise(0).alias("content"))
+    return vf.unsupported(e, ["tbl"])
 
 
 @query(f"with {VF} select part, count(*) as n from vf where contains('part=' || cast(part as varchar), '=1') group by part")
@@ -183,42 +186,68 @@ def join_override_paths(spark, d):
     return vf.missing_files(v.select(F.when(F.col("seq") % 7 == 0, F.concat("path", F.lit(".x"))).otherwise(F.col("path")).alias("path")), v)
 
 
-@query(f"with {VF}, snaps as (select distinct seq from vf) select cast(count(*) filter (where seq <= 10) as bigint) as removed, cast(0 as bigint) as added, cast(40 as bigint) as tip_before, cast(40 as bigint) as tip_after, true as pass from snaps")
+_SNAPS = "select user_id % 6 as tbl, event_id as snapshot_id, ts from events"
+
+
+@query(f"with s as ({_SNAPS}), k as (select *, row_number() over (partition by tbl order by ts desc, snapshot_id desc) as back from s) select tbl, count(*) filter (where (case tbl when 1 then back = 1 when 2 then back > 4 else back > 4 end)) as removed, cast(case when tbl = 2 then 1 else 0 end as bigint) as added, arg_max(snapshot_id, (ts, snapshot_id)) as tip_before, case when tbl = 1 then arg_max(snapshot_id, (ts, snapshot_id)) filter (where back > 1) else arg_max(snapshot_id, (ts, snapshot_id)) end as tip_after, tbl not in (1, 2) as pass from k group by tbl")
 def mnt_verify_expire(spark, d):
-    s = data_files(spark, d).select(F.col("seq").alias("snapshot_id"), F.col("seq").alias("ts")).distinct()
-    return vf.verify_expire(s, s.where("snapshot_id > 10")).select("removed", "added", "tip_before", "tip_after", "pass")
+    """Six tables: one loses its newest snapshot, one gets an old snapshot that it never had, the rest expire rightly."""
+    newest = Window.partitionBy("tbl").orderBy(F.desc("ts"), F.desc("snapshot_id"))
+    s = read(spark, d, "events").select((F.col("user_id") % 6).alias("tbl"), F.col("event_id").alias("snapshot_id"), "ts")
+    ranked = s.withColumn("back", F.row_number().over(newest))
+    after = ranked.where(F.when(F.col("tbl") == 1, F.col("back") > 1).otherwise(F.col("back") <= 4)).drop("back")
+    never = spark.createDataFrame([(2, -1, "1999-01-01 00:00:00")], "tbl long, snapshot_id long, t string").select("tbl", "snapshot_id", F.col("t").cast(s.schema["ts"].dataType).alias("ts"))
+    return vf.verify_expire(s, after.unionByName(never), ["tbl"]).select("tbl", "removed", "added", "tip_before", "tip_after", "pass")
 
 
 @query(f"with {VF} select path as path from vf where part >= 5 and seq <= 20")
 def join_orphans(spark, d):
     """Listed files that no retained snapshot references and that are older than the margin."""
-    listed = data_files(spark, d)
-    return listed.join(listed.where("part < 5").select("path"), "path", "left_anti").where(F.col("seq") <= 20).select("path")
+    listed = data_files(spark, d).withColumn("modified", F.col("seq"))
+    return fl.orphans(listed, listed.where("part < 5"), 21).select("path")
 
 
-_COUNTS = "select l_orderkey % 40 as f, count(*) as v, count(*) - count(l_returnflag) as n1, count(*) - count(l_tax) as n2 from lineitem group by 1"
+_LOST = "l_orderkey % 40 = 7 and l_linenumber = 2"
 
 
-@query("select col, cast(v as bigint) as v_in, cast(v as bigint) as v_out, cast(n as bigint) as n_in, cast(n as bigint) as n_out, true as pass from (select 'l_returnflag' as col, count(*) as v, count(*) - count(l_returnflag) as n from lineitem union all select 'l_tax', count(*), count(*) - count(l_tax) from lineitem) q")
+@query(f"select col, v_in, v_out, n_in, n_out, v_in = v_out and n_in = n_out as pass from (select 'l_returnflag' as col, count(*) as v_in, count(*) as v_out, count(*) filter (where l_returnflag = 'N') as n_in, count(*) filter (where l_returnflag = 'N' or ({_LOST})) as n_out from lineitem union all select 'l_tax', count(*), count(*), count(*) - count(l_tax), count(*) - count(l_tax) from lineitem union all select 'l_quantity', count(*), count(*) filter (where not ({_LOST})), 0, 0 from lineitem union all select 'added', 0, count(*), 0, 0 from lineitem) q")
 def mnt_verify_counts(spark, d):
-    def footers(groups: int) -> DataFrame:
-        n = lambda c: F.count_if(F.col(c).isNull())
-        g = read(spark, d, "lineitem").groupBy((F.col("l_orderkey") % groups).alias("f")).agg(F.count("*").alias("v"), n("l_returnflag").alias("n1"), n("l_tax").alias("n2"))
-        return g.select(F.create_map(F.lit("l_returnflag"), "v", F.lit("l_tax"), "v").alias("value_counts"), F.create_map(F.lit("l_returnflag"), "n1", F.lit("l_tax"), "n2").alias("null_counts"))
+    """A rewrite that made nulls of some values, lost others, and has a column that wasn't there: only one column passes."""
+    lost = F.expr(_LOST)
+
+    def footers(groups: int, after: bool) -> DataFrame:
+        n = lambda c: F.count_if(c)
+        r = F.col("l_returnflag") == "N"
+        g = read(spark, d, "lineitem").groupBy((F.col("l_orderkey") % groups).alias("f")).agg(
+            F.count("*").alias("v"), n(r | lost if after else r).alias("n1"), n(F.col("l_tax").isNull()).alias("n2"), n(~lost if after else F.lit(True)).alias("kept"), n(F.lit(False)).alias("none")
+        )
+        more = [F.lit("added"), "v"] if after else []
+        return g.select(F.create_map(F.lit("l_returnflag"), "v", F.lit("l_tax"), "v", F.lit("l_quantity"), "kept", *more).alias("value_counts"), F.create_map(F.lit("l_returnflag"), "n1", F.lit("l_tax"), "n2", F.lit("l_quantity"), "none").alias("null_counts"))
 
-    return vf.compare_counts(vf.column_counts(footers(40)), vf.column_counts(footers(3)))
+    return vf.compare_counts(vf.column_counts(footers(40, False)), vf.column_counts(footers(3, True)))
 
 
-@query("select * from (values ('c3', 'missing'), ('c5', 'spurious')) v(col, problem)")
+@query(f"with {VF} select 'c' || cast(part as varchar) as col, case when part % 4 = 1 then 'missing' else 'spurious' end as problem from vf where part % 4 in (1, 2) group by part having max(record_count) > 0")
 def join_bounds_presence(spark, d):
-    rows = lambda skip: spark.createDataFrame([(f"c{i}", i != 4, i not in skip) for i in range(1, 7)], "col string, has_values boolean, has_bounds boolean")
-    return vf.bounds_presence(rows({4, 5}), rows({3}))
+    """Columns 1, 5 and 9 lose their bounds, 2 and 6 get some; 3 and 7 have no values, so theirs don't count."""
+    part, name = F.col("part"), F.concat(F.lit("c"), F.col("part").cast("string"))
 
+    def footers(after: bool) -> DataFrame:
+        bounded = F.when(part % 4 == 1, not after).when(part % 4 == 2, after).when(part % 4 == 3, after).otherwise(True)
+        edge = F.create_map(name, F.when(bounded, F.col("path")))
+        nulls = F.when(part % 4 == 3, F.col("record_count")).otherwise(0)
+        return data_files(spark, d).select(F.create_map(name, "record_count").alias("value_counts"), F.create_map(name, nulls).alias("null_counts"), edge.alias("lower"), edge.alias("upper"))
 
-@query(f"with {VF} select count(*) as files_in, cast(sum(record_count) as bigint) as rows_in, cast(10 as bigint) as files_out, cast(sum(record_count) as bigint) as rows_out, true as i1_rows from vf")
+    return vf.bounds_presence(vf.bounds_of(footers(False)), vf.bounds_of(footers(True)))
+
+
+@query(f"with {VF}, a as (select part, count(*) as files_in, cast(sum(record_count) as bigint) as rows_in from vf group by part) select part, files_in, rows_in, cast(1 as bigint) as files_out, rows_in - case when part % 3 = 0 then 5 when part % 3 = 1 then 10 else 0 end as rows_out, part % 3 = 0 as i1_rows from a")
 def mnt_verify_rows(spark, d):
+    """Rewrites of ten partitions that should lose five rows each: a third does, the others lose more or none."""
     v = data_files(spark, d)
-    return vf.verify_compaction(v, v.groupBy("part").agg(F.sum("record_count").alias("record_count")))
+    lost = F.when(F.col("part") % 3 == 0, 5).when(F.col("part") % 3 == 1, 10).otherwise(0)
+    after = v.groupBy("part").agg(F.sum("record_count").alias("record_count")).withColumn("record_count", F.col("record_count") - lost)
+    return vf.verify_compaction(v, after, 5, ["part"])
 
 
 @query(f"with {VF} select path, case when seq % 5 = 0 then 'missing' else 'extra' end as side, cast(1 as bigint) as times from vf where seq % 5 = 0 or seq % 7 = 0 and seq % 5 <> 0")
@@ -228,10 +257,13 @@ def set_file_difference(spark, d):
     return vf.file_set_difference(v, after)
 
 
-@query("select tbl, list_sort(list(distinct event_type)) = list_sort(list(distinct event_type)) as same from (select user_id as tbl, event_type from events) q group by tbl")
+@query("select tbl, list_sort(list(distinct a)) = list_sort(list(distinct b)) as same from (select user_id as tbl, event_type as a, lag(event_type, 1, event_type) over (partition by user_id order by ts desc, event_id desc) as b, row_number() over (partition by user_id order by ts desc, event_id desc) as i from events) q group by tbl")
 def set_same_strings(spark, d):
-    e = read(spark, d, "events").groupBy(F.col("user_id").alias("tbl")).agg(F.collect_set("event_type").alias("a"), F.array_distinct(F.sort_array(F.collect_list("event_type"), False)).alias("b"))
-    return e.select("tbl", (F.array_sort("a") == F.array_sort("b")).alias("same"))
+    """Whether a table's kinds of events are still the same without its last one."""
+    newest = Window.partitionBy("tbl").orderBy(F.desc("ts"), F.desc("event_id"))
+    e = read(spark, d, "events").select(F.col("user_id").alias("tbl"), "event_type", "ts", "event_id").withColumn("before", F.lag("event_type", 1).over(newest)).withColumn("before", F.coalesce("before", "event_type"))
+    g = e.groupBy("tbl").agg(F.collect_set("event_type").alias("a"), F.collect_set("before").alias("b"))  # few kinds
+    return g.select("tbl", vf.same_strings(F.col("a"), F.col("b")).alias("same"))
 
 
 # Health and groups
@@ -472,12 +504,32 @@ def mnt_effectiveness(spark, d):
     return s.groupBy("tbl").agg(F.count("*").alias("n"), *[F.round(f("score"), 3).alias(f"{n}_score") for n, f in (("avg", F.avg), ("min", F.min), ("max", F.max))])
 
 
-@query(f"""with {RUNS}, s as (select tbl, run_id as seq, (run_id % 41) / 20.0 - 1.0 as score from runs), r as (select *, row_number() over (partition by tbl order by seq desc) as back from s), k as (select *, count(*) over (partition by tbl) as n from r where back <= 6), h as (select *, back > n - n // 2 as early from k),
-g as (select tbl, max(n) as n, avg(score) as a, avg(case when early then score end) as e, avg(case when not early then score end) as l from h group by tbl)
-select tbl, n, round(a, 6) as avg_score, case when n < 2 then 'stable' when l > e + 0.1 then 'improving' when l < e - 0.1 then 'degrading' else 'stable' end as trend, cast(case when a > 0.5 then 0.7 when a > 0.2 then 0.85 when a > -0.1 then 1.0 when a > -0.5 then 1.5 else 2.0 end as double) as multiplier from g""")
+@query(f"""with {RUNS}, s as (select tbl, ts, run_id as seq, (run_id % 41) / 20.0 - 1.0 as score from runs where tbl % 3 <> 0 or ts < {NOW_SQL} - interval 48 hour), r as (select *, row_number() over (partition by tbl order by ts desc, seq desc) as back, ts >= {NOW_SQL} - interval 24 hour and ts <= {NOW_SQL} as near from s),
+ k as (select *, max(case when near then 1 else 0 end) over (partition by tbl) = 1 as any_near from r), p as (select * from k where case when any_near then near else back <= 3 end), h as (select *, count(*) over (partition by tbl) as n, row_number() over (partition by tbl order by ts desc, seq desc) as i from p),
+ g as (select tbl, max(n) as n, avg(score) as a, avg(case when i > n - n // 2 then score end) as e, avg(case when i <= n - n // 2 then score end) as l from h group by tbl), z as (select tbl, avg(score) as five from r where back <= 5 group by tbl)
+select tbl, n, round(a, 6) as avg_score, case when n < 2 then 'stable' when l > e + 0.1 then 'improving' when l < e - 0.1 then 'degrading' else 'stable' end as trend, cast(case when a > 0.5 then 0.7 when a > 0.2 then 0.85 when a > -0.1 then 1.0 when a > -0.5 then 1.5 else 2.0 end as double) as multiplier, round(greatest(0.3, least(2.0, 1.0 + five / 2)), 6) as priority_factor, n >= 3 and a < -0.5 as skip from g join z using (tbl)""")
 def win_feedback_trend(spark, d):
-    s = runs(spark, d).select("tbl", F.col("run_id").alias("seq"), ((F.col("run_id") % 41) / 20.0 - 1.0).alias("score"))
-    return dc.recommendation(s)
+    s = runs(spark, d).where((F.col("tbl") % 3 != 0) | (F.col("ts") < now() - F.expr("interval 48 hours"))).select("tbl", "ts", F.col("run_id").alias("seq"), ((F.col("run_id") % 41) / 20.0 - 1.0).alias("score"))
+    return dc.recommendation(s, now())
+
+
+@query(f"with s as ({_STATE}) select tbl, round(least(small_files / 1000.0, 5.0) * 25 + least(commits_since / 100.0, 5.0) * 20 + case when last_compaction is null then 75.0 else least(date_diff('second', last_compaction, {NOW_SQL}) / 3600.0 / 24, 5.0) * 15 end + least(uncompacted_bytes / 1073741824.0, 10.0) * 10 + (1.0 - health_score) * 30 + boost, 6) as priority from s order by priority desc, tbl limit 40")
+def srt_ranked_tables(spark, d):
+    """The most urgent tables: a top-k report."""
+    return dc.ranked(_states(spark, d), now(), 40)
+
+
+@query(f"with {VF} select part, count(*) as file_count, cast(sum(record_count) as bigint) as total_rows, cast(sum(file_bytes) as bigint) as total_bytes, max(seq) as max_seq, string_agg(case when file_bytes <= 13500 then path end, ',' order by path) as small_files, string_agg(case when file_bytes > 13500 then path end, ',' order by path) as large_files from vf group by part")
+def agg_partition_files(spark, d):
+    """Small and large files of each partition, in order of their paths."""
+    out = fl.partition_files(data_files(spark, d), 13500)
+    text = lambda c: F.when(F.size(c) > 0, F.array_join(c, ",")).alias(c)
+    return out.select("part", "file_count", "total_rows", "total_bytes", "max_seq", text("small_files"), text("large_files"))
+
+
+@query(f"with {VF} select part, count(*) as file_count, cast(sum(record_count) as bigint) as total_rows, cast(sum(file_bytes) as bigint) as total_bytes from vf group by part order by total_bytes desc, part limit 6 offset 2")
+def src_list_partitions(spark, d):
+    return fl.listing(fl.partition_totals(data_files(spark, d)), [F.desc("total_bytes"), F.col("part")], 6, 2)
 
 
 @query(f"with {VF}, g as (select part, count(*) as file_count, count(*) filter (where file_bytes < 13500) as small_count, case when part = 9 then 0 else cast(sum(file_bytes) as bigint) end as total_bytes from vf group by part) select part, 'compact' as action, round(small_count / file_count * 100 + small_count, 4) as priority from g where file_count >= 5 and small_count / file_count > 0.3 union all select part, 'prune', 10.0 from g where file_count >= 5 and total_bytes = 0")

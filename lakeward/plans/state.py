@@ -22,7 +22,8 @@ class Paused(Exception):
 class Breakers:
     """Counters of a table's runs; a fatal finding writes a pause, a soft one asks to skip."""
 
-    def __init__(self, store: Store, max_failures: int = 3, max_loops: int = 3, daily_bytes: int = 0, lifetime_ratio: float = 0, min_roi: float = 0.1, ratio_pause: float = 0.5):
+    def __init__(self, store: Store, max_failures: int = 3, max_loops: int = 3, daily_bytes: int = 0, lifetime_ratio: float = 0, min_roi: float = 0.1, ratio_pause: float = 0.5, ratio_from: int = 64 << 20):
+        self.ratio_from = ratio_from  # smaller tables are mostly metadata
         self.store, self.max_failures, self.max_loops, self.daily_bytes, self.lifetime_ratio, self.min_roi, self.ratio_pause = store, max_failures, max_loops, daily_bytes, lifetime_ratio, min_roi, ratio_pause
 
     def _state(self, table: str) -> dict:
@@ -61,10 +62,10 @@ class Breakers:
         s["paths"] = paths
         if s["loops"] >= self.max_loops:
             fatal.append(f"the same {len(paths)} files were compacted {s['loops']} times in a row")
-        if data_bytes > 0 and metadata_bytes / data_bytes >= self.ratio_pause:
+        if data_bytes > self.ratio_from and metadata_bytes / data_bytes >= self.ratio_pause:
             fatal.append(f"metadata is {metadata_bytes / data_bytes:.0%} of the data")
         if paths and outcome:
-            read = notes.get("bytes_read", 0)
+            read, written = notes.get("bytes_read", 0), notes.get("bytes_written", 0)
             less = outcome["before_files"] - outcome["after_files"]
             if less <= 0:
                 soft.append("compaction did not reduce files")
@@ -72,8 +73,8 @@ class Breakers:
                 soft.append("compaction gains little for the bytes it reads")
             if s["day_from"] is None or now_ms - s["day_from"] > 86_400_000:
                 s["day_from"], s["day_bytes"] = now_ms, 0
-            s["day_bytes"] += 2 * read
-            s["lifetime"] += read
+            s["day_bytes"] += written
+            s["lifetime"] += written
             if self.daily_bytes and s["day_bytes"] > self.daily_bytes:
                 soft.append("daily bytes exceed the budget")
             if self.lifetime_ratio and data_bytes and s["lifetime"] / data_bytes > self.lifetime_ratio:

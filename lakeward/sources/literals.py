@@ -10,6 +10,7 @@ from typing import Any
 
 from pyspark.sql import types as T
 
+#: Spellings of true and false.
 TRUE, FALSE = ("true", "1", "t", "yes", "y"), ("false", "0", "f", "no", "n")
 UNITS = {"": 1, "B": 1, "KB": 1 << 10, "MB": 1 << 20, "GB": 1 << 30, "TB": 1 << 40, "KIB": 1 << 10, "MIB": 1 << 20, "GIB": 1 << 30, "TIB": 1 << 40}
 RANGES = {"byte": 7, "short": 15, "integer": 31, "long": 63}
@@ -21,8 +22,8 @@ def parse_literal(raw: str | None, kind: T.DataType | str) -> Any:
         return None
     name = kind if isinstance(kind, str) else kind.typeName()
     if name == "boolean":
-        if raw.lower() in TRUE + FALSE:
-            return raw.lower() in TRUE
+        if raw.strip().lower() in TRUE + FALSE:
+            return raw.strip().lower() in TRUE
         raise ValueError(f"not a boolean: {raw!r}")
     if name in RANGES:
         if not re.fullmatch(r"[+-]?\d+", raw) or not -(1 << RANGES[name]) <= int(raw) < 1 << RANGES[name]:

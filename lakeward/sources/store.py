@@ -102,8 +102,9 @@ class Store:
     def delete(self, key: str) -> bool:
         return self.fs.delete(self._path(self.at(key)), True)
 
-    def delete_path(self, path: str) -> bool:
-        return self.fs.delete(self._path(path), False)
+    def delete_path(self, path: str, whole: bool = False) -> bool:
+        """Delete a file, or with `whole` a folder and all that is in it."""
+        return self.fs.delete(self._path(path), whole)
 
 
 def spark_path(path: str) -> str:

@@ -15,12 +15,17 @@ from pyspark.sql.types import StructType
 
 from ..operators import deletes as dl
 from ..operators.files import DATA, EQUALITY_DELETES, POSITION_DELETES, partition_key
-from .store import Conflict, Store
+from .literals import parse_literal
+from .store import Conflict, Store, spark_path
 
 ENTRIES = (
     "path string, content int, file_bytes long, record_count long, part_values map<string,string>, part string, seq long, spec_id int, "
     "value_counts map<string,long>, null_counts map<string,long>, lower map<string,string>, upper map<string,string>, eq_columns array<string>, referenced string"
 )
+ENTRY_NAMES = re.findall(r"(\w+) (?:map<[^>]*>|array<[^>]*>|\w+)(?:, |$)", ENTRIES)
+MANIFEST = r"(m-[0-9a-f]+/__m=[^/]+)/[^/]+$"
+LOG_MS = 8 * 86_400_000
+ROW_GROUP = 128 << 20
 VERSION = re.compile(r"^v(\d+)$|^(\d+)-.+$|^(\d+)$")
 UNPARTITIONED = "(unpartitioned)"
 NULL_PART = "__HIVE_DEFAULT_PARTITION__"
@@ -70,10 +75,35 @@ class Table:
         s = self.snapshot(snapshot_id)
         return self.warehouse.store.read(f"{self.key}/metadata/{s['manifest_list']}") if s else []
 
+    def read_manifests(self, manifests: list[dict]) -> DataFrame:
+        """Entries of manifests, with the name of each one's manifest."""
+        paths = [self.warehouse.store.at(f"{self.key}/metadata/{p}") for p in sorted({m["path"] for m in manifests})]
+        if not paths:
+            return self.spark.createDataFrame([], ENTRIES + ", manifest string")
+        return self.spark.read.schema(ENTRIES).parquet(*paths).select("*", F.regexp_extract(F.col("_metadata.file_path"), MANIFEST, 1).alias("manifest"))
+
     def entries(self, snapshot_id: int | None = None, keep: Callable[[dict], bool] | None = None) -> DataFrame:
         """File entries of a snapshot; `keep` prunes manifests by their bounds before any is read."""
-        paths = [self.warehouse.store.at(f"{self.key}/metadata/{m['path']}") for m in self.manifests(snapshot_id) if keep is None or keep(m)]
-        return self.spark.read.schema(ENTRIES).parquet(*paths) if paths else self.spark.createDataFrame([], ENTRIES)
+        return self.read_manifests([m for m in self.manifests(snapshot_id) if keep is None or keep(m)]).drop("manifest")
+
+    def may_hold(self, partition: dict[str, object]) -> Callable[[dict], bool]:
+        """Whether a manifest may hold entries of a partition (typed values), by its bounds."""
+        types = {c: self.schema[c].dataType for c in partition}
+
+        def keep(m: dict) -> bool:
+            for c, v in partition.items():
+                lo, hi = (None if b is None else parse_literal(b, types[c]) for b in m["bounds"].get(c, (None, None)))
+                if v is not None and lo is not None and hi is not None and not lo <= v <= hi:
+                    return False
+            return True
+
+        return keep
+
+    def bytes(self) -> tuple[int, int]:
+        """Bytes of the current snapshot's manifests and of its files."""
+        store = self.warehouse.store
+        meta = sum(store.fs.getContentSummary(store._path(store.at(f"{self.key}/metadata/{m['path']}"))).getLength() for m in self.manifests())
+        return meta, self.entries().agg(F.coalesce(F.sum("file_bytes"), F.lit(0)).alias("n")).first()["n"]
 
     def read_files(self, paths: list[str]) -> DataFrame:
         """Rows of data files, with each row's file and position."""
@@ -190,15 +220,25 @@ class Warehouse:
             return self.load(ident)
         raise Conflict(f"{'.'.join(ident)}: no commit in {attempts} attempts")
 
-    def write_manifest(self, table: Table, entries: DataFrame) -> dict:
-        """Write entries as one manifest and describe it: counts and bounds of partition values."""
-        name = f"m-{uuid.uuid4().hex}.parquet"
-        path = self.store.at(f"{table.key}/metadata/{name}")
-        entries.select(*[f.split()[0] for f in ENTRIES.replace("map<string,string>", "m").replace("map<string,long>", "m").split(", ")]).coalesce(1).write.parquet(path)
-        own = self.spark.read.schema(ENTRIES).parquet(path)
-        v = own.agg(F.count("*").alias("files"), F.sum("record_count").alias("rows"), F.min("seq").alias("min_seq"), F.max("content").alias("content"), *[f(F.col("part_values")[c]).alias(f"{b}_{c}") for c in table.meta["partition"] for b, f in (("lo", F.min), ("hi", F.max))]).first().asDict()
-        bounds = {c: [v[f"lo_{c}"], v[f"hi_{c}"]] for c in table.meta["partition"]}
-        return {"path": name, "files": v["files"], "rows": v["rows"] or 0, "min_seq": v["min_seq"], "content": v["content"], "spec_id": 0, "bounds": bounds}
+    def write_manifests(self, table: Table, entries: DataFrame, split: bool = True) -> list[dict]:
+        """Write entries as manifests, one for each kind of content and (with `split`) partition, and describe them.
+
+        One job writes all of them and one aggregate finds their counts and the
+        bounds of partition values, in the order of the columns' own types.
+        """
+        name = f"m-{uuid.uuid4().hex}"
+        kind = F.col("content") == DATA
+        group = F.md5(F.concat_ws("|", kind.cast("string"), F.col("spec_id").cast("string"), "part")) if split else kind.cast("string")
+        keyed = entries.select(*ENTRY_NAMES, group.alias("__m"))
+        keyed.repartition("__m").write.partitionBy("__m").parquet(self.store.at(f"{table.key}/metadata/{name}"))
+        own = self.spark.read.schema(ENTRIES + ", __m string").parquet(self.store.at(f"{table.key}/metadata/{name}"))
+        typed = {c: F.col("part_values")[c].cast(table.schema[c].dataType) for c in table.meta["partition"]}
+        limits = [f(x).cast("string").alias(f"{b}_{c}") for c, x in typed.items() for b, f in (("lo", F.min), ("hi", F.max))]
+        found = own.groupBy("__m").agg(F.count("*").alias("files"), F.sum("record_count").alias("rows"), F.min("seq").alias("min_seq"), F.max("content").alias("content"), F.max("spec_id").alias("spec_id"), *limits)
+        return [
+            {"path": f"{name}/__m={v['__m']}", "files": v["files"], "rows": v["rows"] or 0, "min_seq": v["min_seq"], "content": v["content"], "spec_id": v["spec_id"], "bounds": {c: [v[f"lo_{c}"], v[f"hi_{c}"]] for c in typed}}
+            for v in found.orderBy("__m").collect()
+        ]
 
     def staged(self, table: Table, manifests: list[dict], operation: str, summary: dict | None = None, own: bool = False, at_ms: int | None = None) -> dict:
         """Metadata with a new current snapshot of these manifests."""
@@ -207,7 +247,8 @@ class Warehouse:
         self.store.create(f"{table.key}/metadata/{name}", manifests)
         notes = {"operation": operation} | (summary or {}) | ({OWN: "true"} if own else {})
         s = {"id": snapshot_id, "parent": table.meta["current"], "seq": table.meta["last_seq"] + 1, "ts_ms": now, "manifest_list": name, "schema_id": table.meta["schema_id"], "summary": notes}
-        log = [*table.meta["commit_log"], {"id": snapshot_id, "ts_ms": now, "own": own}]  # outlives expired snapshots
+        # The log outlives expired snapshots, for as long as workloads are judged by it.
+        log = [*[x for x in table.meta["commit_log"] if x["ts_ms"] >= now - LOG_MS], {"id": snapshot_id, "ts_ms": now, "own": own}]
         return table.meta | {"snapshots": [*table.meta["snapshots"], s], "current": snapshot_id, "last_seq": s["seq"], "commit_log": log}
 
     def entries_of(self, table: Table, paths: list[str], seq: int, content: int = DATA) -> DataFrame:
@@ -223,30 +264,61 @@ class Warehouse:
         out = g.join(parts, "path").withColumns({"content": F.lit(content), "seq": F.lit(seq).cast("long"), "spec_id": F.lit(0), "eq_columns": F.lit(None).cast("array<string>"), "referenced": F.lit(None).cast("string")})
         return out.withColumn("part", part_text(F.col("part_values")))
 
-    def write_data(self, table: Table, rows: DataFrame) -> list[str]:
-        """Write rows as data files, a folder per partition; partition columns stay in the files."""
+    def write_data(self, table: Table, rows: DataFrame, row_group_bytes: int | None = None) -> list[str]:
+        """Write rows as data files, a folder per partition; partition columns stay in the files.
+
+        Row groups are as large as the argument or the table asks, else 128 MiB.
+        """
         folder = f"{table.key}/data/{uuid.uuid4().hex}"
         parts = table.meta["partition"]
         writer = rows.withColumns({f"__p_{c}": F.col(c) for c in parts}).write if parts else rows.write
+        writer = writer.option("parquet.block.size", row_group_bytes or int(table.meta["properties"].get("write.parquet.row-group-size-bytes", ROW_GROUP)))
         (writer.partitionBy(*[f"__p_{c}" for c in parts]) if parts else writer).parquet(self.store.at(folder))
         return [p for p, _, _ in self.store.walk(folder) if p.endswith(".parquet")]
 
     def append(self, ident: tuple[str, str], rows: DataFrame, summary: dict | None = None, at_ms: int | None = None, sort_files: int | None = None) -> Table:
-        """Commit rows as a new snapshot; a (query, batch) already in the history is not committed again."""
-        done = {k: summary[k] for k in ("query_id", "batch_id")} if summary and "batch_id" in summary else None
+        """Commit rows as a new snapshot.
+
+        With a query_id and a batch_id (a number that grows) in `summary`, a
+        batch up to the last one of its query is not committed again.
+        """
         table = self.load(ident)
-        if done and any(all(s["summary"].get(k) == v for k, v in done.items()) for s in table.meta["snapshots"]):
+        if committed(table, summary):
             return table
         rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in table.schema])
         paths = self.write_data(table, rows.coalesce(sort_files) if sort_files else rows)
         return self.add_files(ident, paths, summary, at_ms)
 
-    def add_files(self, ident: tuple[str, str], paths: list[str], summary: dict | None = None, at_ms: int | None = None) -> Table:
-        def change(t: Table) -> dict:
-            added = [self.write_manifest(t, self.entries_of(t, paths, t.meta["last_seq"] + 1))] if paths else []
-            return self.staged(t, [*t.manifests(), *added], "append", summary, at_ms=at_ms)
+    def staged_entries(self, table: Table, paths: list[str]) -> DataFrame | None:
+        """Entries of new files, computed once and kept, for however many attempts a commit takes."""
+        if not paths:
+            return None
+        path = self.store.at(f"{table.key}/metadata/staged-{uuid.uuid4().hex}")
+        self.entries_of(table, paths, 0).select(*ENTRY_NAMES).coalesce(1 + len(paths) // 10_000).write.parquet(path)
+        return self.spark.read.schema(ENTRIES).parquet(path)
 
-        return self.commit(ident, change)
+    def drop_staged(self, entries: DataFrame | None) -> None:
+        if entries is not None:
+            for folder in {f.rsplit("/", 1)[0] for f in entries.inputFiles()}:
+                self.store.delete_path(folder, True)
+
+    def add_files(self, ident: tuple[str, str], paths: list[str], summary: dict | None = None, at_ms: int | None = None) -> Table:
+        entries = self.staged_entries(self.load(ident), paths)
+        late = []
+
+        def change(t: Table) -> dict | None:
+            if committed(t, summary):  # by another writer, since this one began
+                late.append(True)
+                return None
+            added = self.write_manifests(t, entries.withColumn("seq", F.lit(t.meta["last_seq"] + 1)), split=False) if entries is not None else []
+            meta = self.staged(t, [*t.manifests(), *added], "append", summary, at_ms=at_ms)
+            return meta | {"batches": t.meta.get("batches", {}) | {summary["query_id"]: int(summary["batch_id"])}} if summary and "batch_id" in summary else meta
+
+        table = self.commit(ident, change)
+        self.drop_staged(entries)
+        for p in paths if late else []:
+            self.store.delete_path(p)
+        return table
 
     def delete_rows(self, ident: tuple[str, str], deletes: DataFrame, eq_columns: list[str] | None = None, part_values_: dict | None = None) -> Table:
         """Commit a delete file: (file_path, pos) rows, or rows of the equality columns, of one partition or all."""
@@ -260,13 +332,15 @@ class Warehouse:
             e = self.spark.createDataFrame(rows, "path string, content int, file_bytes long, record_count long, part_values map<string,string>, seq long, eq_columns array<string>")
             empty = F.lit(None)
             e = e.withColumns({"spec_id": F.lit(0), "value_counts": empty.cast("map<string,long>"), "null_counts": empty.cast("map<string,long>"), "lower": empty.cast("map<string,string>"), "upper": empty.cast("map<string,string>"), "referenced": empty.cast("string"), "part": part_text(F.col("part_values"))})
-            return self.staged(t, [*t.manifests(), self.write_manifest(t, e)], "delete")
+            return self.staged(t, [*t.manifests(), *self.write_manifests(t, e, split=False)], "delete")
 
         return self.commit(ident, change)
 
     def import_folder(self, ident: tuple[str, str], folder: str, partition: list[str] | None = None) -> Table:
         """Register Parquet files in place; partitions come from `column=value` segments of the first path that has them."""
-        files = [p for p, _, _ in Store(self.spark, folder).walk("") if p.endswith(".parquet") and "/_" not in p]
+        source = Store(self.spark, folder)
+        hidden = lambda p: any(s[:1] in "_." and "=" not in s for s in p.split(spark_path(source.root), 1)[-1].strip("/").split("/"))
+        files = [p for p, _, _ in source.walk("") if p.endswith(".parquet") and not hidden(p)]
         if not files:
             raise ValueError("no Parquet files")
         schema = self.spark.read.parquet(files[0]).schema
@@ -275,6 +349,11 @@ class Warehouse:
         return self.add_files(ident, files, {"imported": "true"})
 
 
+def committed(table: Table, summary: dict | None) -> bool:
+    """Whether the table holds the batch that `summary` names; the table remembers the last batch of each query."""
+    return bool(summary and "batch_id" in summary and int(summary["batch_id"]) <= table.meta.get("batches", {}).get(summary["query_id"], -1))
+
+
 def part_values(path: str) -> dict[str, str | None]:
     """Partition values in a path's folders."""
     pairs = [s.split("=", 1) for s in path.split("/")[:-1] if "=" in s]

@@ -54,6 +54,7 @@ def streaming_heat(accesses: DataFrame, half_life_hours: float = 6.0) -> DataFra
     """Decayed access count per table, kept as state: (tbl, seconds, latency) rows in, the state after each batch out."""
     import math
 
+    import numpy as np
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -62,12 +63,15 @@ def streaming_heat(accesses: DataFrame, half_life_hours: float = 6.0) -> DataFra
     def fold(key: tuple, batches, state: GroupState):
         at, score, ema = state.get if state.exists else (0.0, 0.0, -1.0)
         rows = pd.concat(list(batches)).sort_values("seconds", kind="stable")
-        for seconds, latency in zip(rows["seconds"], rows["latency"], strict=True):
-            late = seconds < at  # a late event is decayed to the present instead
-            score = score + math.exp(-decay * (at - seconds)) if late else score * math.exp(-decay * (seconds - at)) + 1.0
-            at = max(at, float(seconds))
-            if latency > 0:
-                ema = float(latency) if ema < 0 else 0.9 * ema + 0.1 * float(latency)
+        seconds, latency = rows["seconds"].to_numpy(float), rows["latency"].to_numpy(float)
+        newest = max(at, float(seconds.max()))  # late events, too, are decayed to the present
+        score = score * math.exp(-decay * (newest - at)) + float(np.exp(-decay * (newest - seconds)).sum())
+        at = newest
+        found = latency[latency > 0]  # each value's weight follows from its rank
+        if len(found):
+            weights = 0.1 * 0.9 ** np.arange(len(found) - 1, -1, -1.0)
+            first = float(found[0]) if ema < 0 else 0.9 * ema + 0.1 * float(found[0])
+            ema = first * 0.9 ** (len(found) - 1) + float((weights[1:] * found[1:]).sum())
         state.update((at, score, ema))
         yield pd.DataFrame({"tbl": [key[0]], "seconds": [at], "decayed": [score], "ema": [ema]})
 

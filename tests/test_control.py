@@ -36,6 +36,17 @@ def test_z_order(wh, spark):
     assert len(boxes) > 1 and sum(b["w"] * b["h"] for b in boxes) < len(boxes) * 19 * 19 * 0.8
 
 
+def test_z_order_of_strings(spark):
+    from lakeward.functions.layout import z_key
+
+    rows = spark.range(400).select(F.concat(F.lit("k"), F.lpad((F.col("id") % 20).cast("string"), 3, "0")).alias("s"), F.floor(F.col("id") / 20).alias("y")).unionByName(spark.createDataFrame([(None, 3)], "s string, y long"))
+    z = rows.withColumn("z", z_key(rows, ["s", "y"])).orderBy("z").collect()
+    boxes = [z[i : i + 100] for i in range(0, 400, 100)]
+    wide = lambda b: len({r["s"] for r in b})
+    assert all(wide(b) <= 12 and len({r["y"] for r in b}) <= 12 for b in boxes)
+    assert len({r["z"] for r in z}) > 100
+
+
 def test_cycle_controller_and_reports(wh):
     m = control.Metrics()
     assert control.trigger_report(wh.load(T), 1_700_000_000_000).first()["by_time"]

@@ -82,7 +82,7 @@ def test_triggers_modes_and_window(spark):
     assert [r["x"] for r in m.collect()] == [True, False, True]
 
 
-@pytest.mark.parametrize(("raw", "kind", "value"), [("yes", "boolean", True), ("-7", "integer", -7), ("aGk=", "binary", b"hi"), ("aGk=", "fixed(2)", b"hi"), ("01:02:03.5", "time", 3723500000), ("1970-01-01T00:00:01.000000002Z", "timestamp_ns", 1_000_000_002), ("2024-01-01T02:00:00+02:00", "timestamp", __import__("datetime").datetime(2024, 1, 1))])
+@pytest.mark.parametrize(("raw", "kind", "value"), [("yes", "boolean", True), (" False\n", "boolean", False), ("-7", "integer", -7), ("aGk=", "binary", b"hi"), ("aGk=", "fixed(2)", b"hi"), ("01:02:03.5", "time", 3723500000), ("1970-01-01T00:00:01.000000002Z", "timestamp_ns", 1_000_000_002), ("2024-01-01T02:00:00+02:00", "timestamp", __import__("datetime").datetime(2024, 1, 1))])
 def test_literals(raw, kind, value):
     assert literals.parse_literal(raw, kind) == value
 

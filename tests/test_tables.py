@@ -148,6 +148,120 @@ def test_maintain_and_breakers(wh):
         b.record(u, True, 6, same)
 
 
+def test_expiry_spares_files_of_other_writers(wh):
+    t = fill(wh, 4)
+    staged = wh.write_data(t, t.scan().limit(3).coalesce(1))  # written, not yet committed
+    mt.compact_table(wh, T)
+    mt.expire(wh, T, 1, 0, 1_800_000_000_000 * 2, delete_files=True)
+    assert wh.load(T).scan().count() == 48 and all(wh.store.fs.exists(wh.store._path(p)) for p in staged)
+    wh.add_files(T, staged)
+    assert wh.load(T).scan().count() == 51
+    left = [p for p, _, _ in wh.store.walk(f"{t.key}/data") if p.endswith(".parquet")]
+    assert len(left) == 3 + len(staged)  # what only old snapshots had is gone
+
+
+def test_replayed_batches_after_expiry(wh):
+    t = fill(wh, 1)
+    rows = t.scan().limit(3)
+    for b in (0, 1, 2):
+        wh.append(T, rows, {"query_id": "q", "batch_id": str(b)})
+    mt.expire(wh, T, 1, 0, 1_800_000_000_000 * 2)
+    n = wh.load(T).scan().count()
+    for b in (0, 1, 2):
+        wh.append(T, rows, {"query_id": "q", "batch_id": str(b)})
+    assert wh.load(T).scan().count() == n
+    files = [p for p, _, _ in wh.store.walk(f"{t.key}/data") if p.endswith(".parquet")]
+    paths = wh.write_data(wh.load(T), rows)  # two writers of one batch: the second one's files go
+    wh.add_files(T, paths, {"query_id": "q", "batch_id": "2"})
+    assert [p for p, _, _ in wh.store.walk(f"{t.key}/data") if p.endswith(".parquet")] == files and wh.load(T).scan().count() == n
+    wh.append(T, rows, {"query_id": "q", "batch_id": "3"})
+    wh.append(T, rows, {"query_id": "other", "batch_id": "0"})
+    assert wh.load(T).scan().count() == n + 6
+
+
+def test_log_is_bounded(wh):
+    t = fill(wh, 1)
+    for day in range(12):
+        wh.append(T, t.scan().limit(1), at_ms=1_700_000_000_000 + day * 86_400_000)
+    assert len(wh.load(T).meta["commit_log"]) == 9
+
+
+def test_service_only_reads(wh):
+    df = wh.spark.range(3)
+    df.write.mode("overwrite").saveAsTable("victim")
+    try:
+        for sql in ("with t as (select 1L as id) insert overwrite table victim select * from t", "insert into victim values (9)", "select * from (select java_method('java.lang.System', 'lineSeparator'))", "create table x as select 1", "set a = b", "explain insert into victim values (1); drop table victim", "from victim insert into victim select id", "refresh table victim", "select"):
+            with pytest.raises(PermissionError):
+                service.run_query(wh.spark, sql, {})
+        assert sorted(r[0] for r in service.run_query(wh.spark, "-- insert into\n(with a as (select * from victim) select id from a union all select id from victim where id in (select max(id) from a));", {})["rows"]) == [0, 1, 2, 2]
+        assert service.run_query(wh.spark, "show tables", {})["row_count"] >= 1 and service.run_query(wh.spark, "describe victim", {})["row_count"] == 1
+        assert service.run_query(wh.spark, "select 'drop table victim; insert into t' as s", {})["rows"] == [["drop table victim; insert into t"]]
+    finally:
+        wh.spark.sql("drop table victim")
+
+
+def test_manifests_stay_unless_touched(wh):
+    t = fill(wh, 4)
+    mt.rewrite_manifests(wh, T)
+    before = {m["path"] for m in wh.load(T).manifests()}
+    mt.compact(wh, T, {"region": "r0"})
+    after = {m["path"] for m in wh.load(T).manifests()}
+    assert len(before) == 3 and len(before & after) == 2 and len(after) == 3
+    assert wh.load(T).scan().count() == t.scan().count()
+
+
+def test_typed_bounds_prune_manifests(wh):
+    schema = wh.spark.createDataFrame([], "id long, k int, d date").schema
+    wh.create(T, schema, ["k", "d"])
+    for k in (2, 9, 10, 100):
+        wh.append(T, wh.spark.createDataFrame([(1, k, None), (2, k, None)], "id long, k int, d string").selectExpr("id", "k", f"date'2024-01-0{1 + k % 9}' as d").coalesce(1))
+    t = wh.load(T)
+    assert [m["bounds"]["k"] for m in t.manifests()] == [["2", "2"], ["9", "9"], ["10", "10"], ["100", "100"]]
+    kept = [m for m in t.manifests() if t.may_hold({"k": 10})(m)]
+    assert len(kept) == 1 and mt.partition_entries(t, {"k": "10"}).count() == 1
+
+
+def test_guards(wh):
+    t = fill(wh, 2)
+    u = t.meta["uuid"]
+    Breakers(wh.store).pause(u, "by hand")
+    with pytest.raises(Paused):
+        mt.compact_table(wh, T)
+    assert mt.compact_table(wh, T, dry_run=True).after_files == 3
+    assert mt.compact(wh, T, where="part = 'region=r1'", force=True).notes["partitions"] == ["region=r1"]
+    Breakers(wh.store).resume(u)
+    entries = t.entries()
+    with pytest.raises(mt.Unsupported):
+        mt.guard(t, entries.unionByName(entries.limit(1).withColumn("spec_id", F.lit(1))))
+    with pytest.raises(mt.Unsupported):
+        mt.guard(t, entries.unionByName(entries.limit(1).withColumns({"content": F.lit(1), "path": F.lit("x.puffin")})))
+    wide = t.scan().withColumn("more", F.lit(1)).withColumn("__p_region", F.col("region")).coalesce(1)
+    folder = f"{t.key}/data/foreign"
+    wide.write.partitionBy("__p_region").parquet(wh.store.at(folder))
+    wh.add_files(T, [p for p, _, _ in wh.store.walk(folder) if p.endswith(".parquet")])
+    wh.add_files(T, wh.write_data(t, t.scan().where("region is null").coalesce(1)))
+    assert mt.rewrite(wh, T, lambda table, data: data, "all").skipped == "files of several schemas"
+
+
+def test_row_groups_follow_the_table(wh):
+    schema = wh.spark.createDataFrame([], "id long, s string").schema
+    wh.create(T, schema, properties={"write.parquet.row-group-size-bytes": str(1 << 17)})
+    rows = wh.spark.range(60_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("s"))
+    for _ in range(2):
+        wh.append(T, rows.coalesce(1))
+    assert footers.read_footers(wh.spark, [r["path"] for r in wh.load(T).entries().collect()]).agg(F.min("row_groups")).first()[0] > 4
+    mt.compact_table(wh, T, row_group_bytes=64 << 20)
+    assert [r["row_groups"] for r in footers.read_footers(wh.spark, [r["path"] for r in wh.load(T).entries().collect()]).collect()] == [1]
+
+
+def test_breakers_see_metadata_and_bytes_written(wh):
+    fill(wh, 3)
+    u = wh.load(T).meta["uuid"]
+    with pytest.raises(Paused, match="metadata"):  # tiny files: their metadata outweighs them
+        mt.maintain(wh, T, mode="full", now_ms=1_700_000_000_000 + 10**6, breakers=Breakers(wh.store, ratio_pause=0.01, ratio_from=0))
+    assert Breakers(wh.store).status(u)["day_bytes"] > 0
+
+
 def test_leases_jobs_registry(wh):
     leases = Leases(wh.store)
     held = leases.acquire("x", "a", 1000, now_ms=1)
