@@ -1,7 +1,10 @@
 """Corpus pipeline: toxic documents go, near copies keep one, benchmark leaks go, sources are mixed, ids are written.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of
-documents.
+documents, whatever further ones there are and however they are named.  Null
+and empty texts count as clean, link with nothing, hold no benchmark item, and
+leave with the mix, which takes words; null doc_ids are documents like others;
+texts of any length are judged whole; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -13,27 +16,42 @@ from lakeward.llm.cluster import Workspace, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the classifier chain rejects."""
+    """Without the documents that the classifier chain rejects.
+
+    Repeated rows are judged alike; with too few labels nothing is rejected.
+    """
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With the document of the smallest doc_id of each group of near copies."""
+    """With the document of the smallest doc_id of each group of near copies.
+
+    Of repeated rows one stays; a group without any doc_id keeps one of its documents.
+    """
     return jaccardjoin.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a benchmark item."""
+    """Without the documents that hold a benchmark item.
+
+    Repeated rows are judged alike; an empty benchmark removes nothing.
+    """
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, up to three times.
+
+    Rows with equal doc_id are taken alike; a null source is a source of its own.
+    """
     return mixing.take(spark, docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the token-id files hold of each document."""
+    """What the token-id files hold of each document, in ascending doc_id order, nulls first.
+
+    A document that was taken several times is written as often.
+    """
     return tokenfiles.token_files(spark, docs)
 
 
