@@ -303,7 +303,10 @@ def _candidates(words: np.ndarray, owner: np.ndarray, n: int, items: Items) -> l
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all their columns, that hold no benchmark item."""
+    """The rows of `docs`, with all their columns, that hold no benchmark item.
+
+    Null and empty texts and an empty benchmark: rows stay; repeated rows are judged alike.
+    """
     place, schema = docs.columns.index("text"), docs.schema
     ws = Workspace(docs.sparkSession, "clean")
     last = None

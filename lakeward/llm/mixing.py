@@ -149,7 +149,11 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2,
 
 
 def take(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
-    """The rows of `docs` as often as the mix takes their words, to the nearest whole copy (rows of equal doc_id alike)."""
+    """The rows of `docs` as often as the mix takes their words, to the nearest whole copy (rows of equal doc_id alike).
+
+    Rows without words are never taken; null doc_ids are equal to one another;
+    all columns stay, whatever their names; an empty table stays empty.
+    """
     taken = mix(spark, docs, weights, max_epochs).groupBy(F.col("doc_id").alias("taken_id")).agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
     copies = taken.select("taken_id", F.floor(F.col("t") / F.greatest(F.col("s"), F.lit(1)) + 0.5).cast("int").alias("taken_copies")).where("taken_copies > 0")
     names = docs.columns
