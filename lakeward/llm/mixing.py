@@ -29,7 +29,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 PHI = 0.6180339887498949
 PHI_2_20 = 0.7888545675668865  # fractional part of 2**20 * PHI
 BLOCK = 1024
-LANE_ROWS = 50_000
+LANE_ROWS = 5_000
 CELLS = 4096
 
 
@@ -91,8 +91,8 @@ def place(sized: DataFrame, rows: int) -> DataFrame:
     The shuffle order is cut into lanes of about `LANE_ROWS` rows, so that a
     large source is summed by many tasks; equal rows are one until the end.
     """
-    lanes = max(1, min(1 << 16, rows // LANE_ROWS))
-    lane = F.floor(F.conv(F.substring("shuffle_key", 1, 4), 16, 10).cast("long") * lanes / (1 << 16))
+    lanes = max(1, min(1 << 20, rows // LANE_ROWS))
+    lane = F.floor(F.conv(F.substring("shuffle_key", 1, 5), 16, 10).cast("long") * lanes / (1 << 20))
     sized = sized.withColumn("lane", lane).withColumn("words", F.col("size") * F.col("copies"))
     sums = sized.groupBy("source", "lane").agg(F.sum("words").alias("lane_size"))
     before = Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
