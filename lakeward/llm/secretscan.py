@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import table
+from .cluster import Workspace, table
+from .resampling import kth_largest
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -217,8 +218,17 @@ def corpus_words(docs: DataFrame, most: int = DICTIONARY) -> list[str]:
         yield _counts(found)
 
     counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counted.where(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "word").limit(most).collect()
-    return [r["word"] for r in rows]
+    ws = Workspace(docs.sparkSession, "words")
+    counted = ws.save(counted.where(F.col("n") >= LEAST_DOCUMENTS), "counted")
+    total = counted.count()
+    if total <= most:
+        rows = counted.collect()
+    else:  # the border is found by counting, so that the driver never gets more than the dictionary
+        edge, above = kth_largest(counted, "n", most)
+        rows = counted.where(F.col("n") > edge).collect()
+        rows += ws.save(counted.where(F.col("n") == edge).orderBy("word").limit(most - above), "ties").collect()
+    ws.clear()
+    return [r["word"] for r in sorted(rows, key=lambda r: (-r["n"], r["word"].encode()))]
 
 
 def _counts(found: Counter[str]) -> pa.RecordBatch:
