@@ -4,27 +4,33 @@ Two suffixes repeat if their first `LENGTH` bytes agree.  A suffix counts as
 repeated where an earlier one (smaller doc_id, then smaller start) agrees.
 Documents are packed into blocks in doc_id order.
 
-1. Candidates.  Residues `COVER` modulo `PERIOD` hit every difference, so any
-   two suffixes i, j have an offset d < PERIOD at which both i + d and j + d are
-   sampled.  If no sampled string of `NAME` bytes among a suffix's first PERIOD
-   offsets occurs twice, the suffix is alone.  Strings meet by their
-   fingerprints, which may only keep a suffix too many.
-2. Ranks.  A second, denser cover (`RESIDUES` modulo `STEP`) samples the
+1. Buckets.  A suffix is dealt by the least of the grams (`GRAM` bytes, ordered
+   by a hash) in its first LENGTH bytes, so equal suffixes meet.  Neighbours
+   mostly share it and make one stretch of text.  Blocks first send the names of
+   their grams, and then the stretches (each different one once) whose gram has
+   more than one place.  A bucket is sorted one slice at a time.
+2. Candidates.  Stretches that are whole copies of an earlier one are settled,
+   as are those that share their gram with no other one that differs.  Of the rest,
+   residues `COVER` modulo `PERIOD` hit every difference, so any two suffixes
+   i, j have an offset d < PERIOD at which both i + d and j + d are sampled.  If
+   no sampled string of `NAME` bytes among a suffix's first PERIOD offsets
+   occurs twice, the suffix is alone.
+3. Ranks.  A second, denser cover (`RESIDUES` modulo `STEP`) samples the
    candidates.  A sample's first LENGTH - STEP + 1 bytes are a chain of pieces,
-   at places that are samples, too; the pieces are sorted by their bytes, one
-   bucket at a time, and get the ranks of this order.
-3. Suffixes.  A suffix compares with another by its first d < STEP bytes, by
+   at places that are samples, too; the pieces are sorted by their bytes and get
+   the ranks of this order.
+4. Suffixes.  A suffix compares with another by its first d < STEP bytes, by
    the ranks of the chain at offset d, where both are sampled, and by the few
-   bytes behind it up to LENGTH; this is exact.  Samples are sorted one bucket
-   at a time by their ranks, with STEP - 1 bytes to either side, and for each d
-   the earliest block of each group of equal suffixes is found.
-4. Blocks get a bit for each sample and offset, and blank out what is covered.
+   bytes behind it up to LENGTH; this is exact.  For each d the earliest of each
+   group of equal suffixes is found.
+5. Blocks get a bit for each suffix they sent, and blank out what is covered.
 
-Nothing rests on fingerprints agreeing: where these order rows, neighbours are
-compared byte by byte.  Pieces and samples are sent once per block and string,
-so a passage that many documents share costs at most one entry a block.  A
-bucket is bounded by the text it is made for (`BUCKET_BYTES`), and only a
-`ROUNDS`-th of the buckets is shuffled at once.
+Nothing rests on fingerprints agreeing: hashes deal suffixes and choose
+candidates, which may only keep one too many; where they order rows, neighbours
+are compared byte by byte.  A passage that many documents share costs at most
+one entry a block inside; the suffixes at its ends, which differ, would all be
+dealt by the same few grams, so grams with very many places (`HOT`) come last
+in the order.  A bucket is bounded by the text it is made for (`BUCKET_BYTES`).
 
 Defined cases: null text is empty; texts under LENGTH bytes stay as they are;
 copies of a whole text are removed but for the first; rows with equal doc_id
@@ -60,13 +66,20 @@ RESIDUES = (0, 1, 3, 9)
 SIDE = STEP - 1
 LINKS = 6
 PIECE_BYTES = LENGTH - SIDE - STEP * (LINKS - 1)
+GRAM = 24
+SPAN = LENGTH - GRAM + 1
 BUCKET_BYTES = 16 << 20
-ROUNDS = 6
+SLICES = 16
+MIN_BUCKETS = 6
+#: Places a gram has at least, in all and in a block that tells of it, to come last.
+HOT = 4096
+HOT_IN_BLOCK = 16
 PART_BYTES = 64 << 20
 SALTS = 64
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 FIRST = -(1 << 63)
 MESSAGE = "block long, bucket int, kind int, data binary"
+NAMES, SUFFIXES = 0, 1
 
 assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
 assert {(a - b) % STEP for a in RESIDUES for b in RESIDUES} == set(range(STEP))
@@ -93,8 +106,8 @@ def _buckets(prints: np.ndarray, n: int) -> np.ndarray:
 class Block:
     """Texts of a block, and what is asked of them."""
 
-    def __init__(self, lens: np.ndarray, data: bytes):
-        self.data = unpack(data)
+    def __init__(self, lens: np.ndarray, data: bytes | np.ndarray):
+        self.data = data if isinstance(data, np.ndarray) else unpack(data)
         self.lens = np.asarray(lens, dtype=np.int64)
         self.start = np.cumsum(self.lens) - self.lens
 
@@ -117,14 +130,228 @@ class Block:
         near = np.zeros(len(self.data) + 1, dtype=np.int32)
         np.add.at(near, np.maximum(at - PERIOD + 1, 0), 1)
         np.add.at(near, at + 1, -1)
-        whole = np.zeros(len(self.data) + 1, dtype=np.int32)
+        return np.flatnonzero((np.cumsum(near)[:-1] > 0) & self.whole())
+
+    def whole(self) -> np.ndarray:
+        """Which places begin a suffix of `LENGTH` bytes."""
+        edge = np.zeros(len(self.data) + 1, dtype=np.int32)
         has = self.lens >= LENGTH
-        np.add.at(whole, self.start[has], 1)
-        np.add.at(whole, (self.start + self.lens - LENGTH + 1)[has], -1)
-        return np.flatnonzero((np.cumsum(near)[:-1] > 0) & (np.cumsum(whole)[:-1] > 0))
+        np.add.at(edge, self.start[has], 1)
+        np.add.at(edge, (self.start + self.lens - LENGTH + 1)[has], -1)
+        return np.cumsum(edge)[:-1] > 0
+
+
+CHUNK = 1 << 16
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], dtype=np.uint64)
+LAST = np.uint64(1 << 63)
+
+
+class Grams:
+    """The order of grams: by a hash, those with very many places behind all others."""
+
+    def __init__(self, hot: np.ndarray):
+        self.hot = np.sort(hot.astype(np.uint64))
+        self.size = np.uint64(1 << min(24, 16 + len(hot).bit_length()))
+        self.maybe = np.zeros(int(self.size), dtype=bool)
+        self.maybe[self.hot & (self.size - np.uint64(1))] = True
+
+    def of(self, data: np.ndarray) -> np.ndarray:
+        """The number in this order of the gram at each place that has a whole one."""
+        out = np.empty(max(0, len(data) - GRAM + 1), np.uint64)
+        for lo in range(0, len(out), CHUNK):
+            n = min(CHUNK, len(out) - lo)
+            words = np.ndarray((n + GRAM - 8,), "<u8", np.ascontiguousarray(data[lo : lo + n + GRAM - 1]), 0, (1,)).astype(np.uint64)
+            h = words[:n] * _ODD[0]
+            for i in range(8, GRAM, 8):
+                h ^= h >> np.uint64(29)
+                h += words[i : i + n]
+                h *= _ODD[i // 8]
+            h = mix(h) >> np.uint64(1)
+            if len(self.hot):
+                some = np.flatnonzero(self.maybe[h & (self.size - np.uint64(1))])
+                h[some[_isin(h[some], self.hot)]] |= LAST
+            out[lo : lo + n] = h
+        return out
+
+
+def least_of(every: np.ndarray) -> np.ndarray:
+    """The least gram of each suffix of `LENGTH` bytes."""
+    out = np.empty(max(0, len(every) - SPAN + 1), np.uint64)
+    for lo in range(0, len(out), CHUNK):
+        low, width = every[lo : lo + CHUNK + SPAN - 1], 1
+        while 2 * width <= SPAN:
+            low, width = np.minimum(low[:-width], low[width:]), 2 * width
+        n = len(out[lo : lo + CHUNK])
+        out[lo : lo + n] = np.minimum(low[:n], low[SPAN - width : SPAN - width + n])
+    return out
+
+
+def places(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of `count` numbers each, one after the other."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+class Stretches:
+    """Runs of a block's suffixes that have the same least gram, in the order of a hash of that gram and then of their places."""
+
+    def __init__(self, block: Block, grams: Grams, buckets: int):
+        self.block, self.buckets, every = block, buckets, grams.of(block.data)
+        least = least_of(every)
+        whole = block.whole()[: len(least)]
+        begin, stop = whole.copy(), ~whole
+        begin[1:] &= ~whole[:-1] | (least[1:] != least[:-1])
+        stop[1:] &= whole[:-1]
+        edges = np.flatnonzero(begin | stop)
+        begins = begin[edges]
+        start, count = edges[begins], np.diff(np.append(edges, len(least)))[begins]
+        key = mix(least[start] + np.uint64(1))
+        order = np.argsort(key, kind="stable")
+        self.every, self.key, self.start, self.count = every, key[order], start[order], count[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = self.key[1:] != self.key[:-1]
+        self.heads = np.flatnonzero(new)  # of the stretches of each gram
+        self.held = np.diff(np.append(self.heads, len(key)))
+        self.name_cut = self._cut(self.key[self.heads], buckets)
+
+    @staticmethod
+    def _cut(keys: np.ndarray, parts: int) -> np.ndarray:
+        return np.searchsorted(_buckets(keys, parts), np.arange(parts + 1, dtype=np.uint64))
+
+    def at_two_places(self) -> np.ndarray:
+        """Which stretches hold their least gram more than once."""
+        out = np.empty(len(self.start), dtype=bool)
+        rows = np.lib.stride_tricks.sliding_window_view(self.every, SPAN) if len(out) else None
+        for lo in range(0, len(out), CHUNK // 8):
+            first, last = self.start[lo : lo + CHUNK // 8], self.count[lo : lo + CHUNK // 8] - 1
+            out[lo : lo + CHUNK // 8] = rows[first].argmin(axis=1) != last + SPAN - 1 - rows[first + last][:, ::-1].argmin(axis=1)
+        return out
+
+    def names(self) -> list[tuple[int, bytes]]:
+        """For each bucket: 32 bits of each of its grams, and a bit for those that more than one place here has."""
+        names = (self.key[self.heads] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        often = (self.held > 1) | (np.logical_or.reduceat(self.at_two_places(), self.heads) if len(names) else False)
+        return [(b, names[lo:hi].tobytes() + np.packbits(often[lo:hi]).tobytes()) for b, (lo, hi) in enumerate(zip(self.name_cut, self.name_cut[1:], strict=False)) if lo < hi]
+
+    def choose(self, told: list[tuple[int, bytes]]) -> Chosen:
+        """The stretches of the grams that more than one place has."""
+        shared = np.zeros(len(self.heads), dtype=bool)
+        for b, data in told:
+            lo, hi = int(self.name_cut[b]), int(self.name_cut[b + 1])
+            shared[lo:hi] = np.unpackbits(np.frombuffer(data, np.uint8), count=hi - lo)
+        some = np.repeat(shared, self.held)
+        start, count, raw = self.start[some], self.count[some], self.block.data.tobytes()
+        first: dict[bytes, int] = {}
+        leads = np.array([first.setdefault(raw[a:b], i) == i for i, (a, b) in enumerate(zip(start.tolist(), (start + count + LENGTH - 1).tolist(), strict=True))], dtype=bool)
+        return Chosen(list(first), start[leads], count[leads], start[~leads], count[~leads], self._cut(self.key[some][leads], self.buckets * SLICES))
+
+
+@dataclass
+class Chosen:
+    """Stretches that a block sends, of those with equal bytes the first."""
+
+    texts: list[bytes]
+    start: np.ndarray
+    count: np.ndarray
+    copy_start: np.ndarray
+    copy_count: np.ndarray
+    cut: np.ndarray  # where each slice begins
+
+    def messages(self) -> list[tuple[int, bytes]]:
+        """For each bucket: the number of stretches in each slice, of suffixes in each stretch, and the stretches."""
+        squeeze, out = zstandard.ZstdCompressor(level=3), []
+        for b in range(0, len(self.cut) // SLICES):
+            cut = self.cut[b * SLICES : (b + 1) * SLICES + 1]
+            if (mine := slice(int(cut[0]), int(cut[-1]))).start < mine.stop:
+                out.append((b, squeeze.compress(np.diff(cut).astype(np.int32).tobytes() + self.count[mine].astype(np.int32).tobytes() + b"".join(self.texts[mine]))))
+        return out
 
+    def repeated(self, told: list[tuple[int, bytes]]) -> np.ndarray:
+        """Places of suffixes that an earlier one equals."""
+        ends = np.concatenate([[0], np.cumsum(self.count)])
+        bits = np.zeros(int(ends[-1]), dtype=bool)
+        for b, data in told:
+            lo, hi = ends[self.cut[b * SLICES]], ends[self.cut[(b + 1) * SLICES]]
+            bits[lo:hi] = np.unpackbits(unpack(data), count=int(hi - lo))
+        return np.concatenate([places(self.start, self.count)[bits], places(self.copy_start, self.copy_count)])
+
+
+def shared_names(messages: list[bytes]) -> list[bytes]:
+    """For each message of a bucket: a bit for each of its grams that another block, or more than one place in a block, has."""
+    sizes = [8 * len(m) // 33 for m in messages]
+    names = np.concatenate([np.frombuffer(m, np.uint32, n) for m, n in zip(messages, sizes, strict=True)])
+    often = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8, offset=4 * n), count=n) for m, n in zip(messages, sizes, strict=True)])
+    _, which, times = np.unique(names, return_inverse=True, return_counts=True)
+    shared = (np.bincount(which, weights=often) > 0) | (times > 1)
+    return [np.packbits(x).tobytes() for x in np.split(shared[which], np.cumsum(sizes)[:-1])]
+
+
+def settled(messages: list[bytes], grams: Grams) -> list[bytes]:
+    """For each message of a bucket, in the order of blocks: a bit for each of its suffixes that an earlier one equals."""
+    held = []
+    for data in messages:
+        raw = unpack(data).tobytes()
+        per = np.frombuffer(raw, np.int32, SLICES)
+        count = np.frombuffer(raw, np.int32, int(per.sum()), 4 * SLICES).astype(np.int64)
+        begin = 4 * (SLICES + len(count)) + np.concatenate([[0], np.cumsum(count + LENGTH - 1)])
+        held.append((raw, np.concatenate([[0], np.cumsum(per)]), count, begin))
+    bits: list[list[np.ndarray]] = [[] for _ in held]
+    for s in range(SLICES):
+        first: dict[bytes, int] = {}
+        leads, counts = [], []
+        for raw, cut, count, begin in held:
+            ends = begin[cut[s] : cut[s + 1] + 1].tolist()
+            base = len(leads)
+            leads += [first.setdefault(raw[a:b], base + i) == base + i for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
+            counts.append(count[cut[s] : cut[s + 1]])
+        count, lead = np.concatenate(counts), np.array(leads, dtype=bool)
+        again = np.ones(int(count.sum()), dtype=bool)  # stretches that an earlier one equals are repeated
+        again[places((np.cumsum(count) - count)[lead], count[lead])] = repeats_among(list(first), grams)
+        ends = np.cumsum([0] + [int(c.sum()) for c in counts])
+        for mine, lo, hi in zip(bits, ends, ends[1:], strict=False):
+            mine.append(again[lo:hi])
+    squeeze = zstandard.ZstdCompressor(level=1)
+    return [squeeze.compress(np.packbits(np.concatenate(mine)).tobytes()) for mine in bits]
+
+
+def repeats_among(texts: list[bytes], grams: Grams) -> np.ndarray:
+    """Which suffixes of different stretches, in their order, an earlier one equals."""
+    lens = np.array([len(t) for t in texts], np.int64)
+    out = np.zeros(int((lens - LENGTH + 1).sum()), dtype=bool)
+    if not len(lens):
+        return out
+    data, start = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(lens) - lens
+    every = np.concatenate([grams.of(data), np.zeros(GRAM - 1, np.uint64)])
+    every[((start + lens)[:, None] - np.arange(1, GRAM)).ravel()] = np.iinfo(np.uint64).max
+    least = np.minimum.reduceat(every, start)
+    times = np.add.reduceat((every == np.repeat(least, lens)).astype(np.int32), start)
+    _, which, shared = np.unique(least, return_inverse=True, return_counts=True)
+    some = np.flatnonzero((shared[which] > 1) | (times > 1))  # a gram at one place of one stretch is in no two suffixes at the same offset
+    block = Block(lens[some], data[places(start[some], lens[some])])
+    names, often = np.unique(block.names(1)[1], return_counts=True)
+    tied = np.zeros(len(block.data), dtype=bool)
+    tied[block.ties(1, names[often > 1])] = True
+    if not tied.any():
+        return out
+    samples = Samples(block, tied)
+    told = [(b, piece_ranks(np.frombuffer(m, np.uint8).reshape(-1, PIECE_BYTES)).tobytes()) for b, m in samples.piece_messages(1)]
+    again = np.zeros(len(block.data), dtype=bool)
+    again[samples.records(samples.ranks(1, told, np.uint32), 1).repeated([])] = True
+    out[places((start - np.arange(len(lens)) * (LENGTH - 1))[some], lens[some] - LENGTH + 1)] = again[block.whole()]
+    return out
 
 
+def piece_ranks(pieces: np.ndarray) -> np.ndarray:
+    """Ranks of pieces by their bytes; equal ones have equal ranks."""
+    words = as_words(pieces)
+    order = np.lexsort(words[::-1])
+    new = np.zeros(len(order), dtype=bool)
+    for w in words:
+        ranked = w[order]
+        new[1:] |= ranked[1:] != ranked[:-1]
+    ranks = np.empty(len(order), np.uint32)
+    ranks[order] = np.cumsum(new)
+    return ranks
+
 def grouped(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """An order in which equal rows of the columns (uint64) lie side by side, and where each group starts.
 
@@ -249,9 +476,6 @@ class Records:
     first: np.ndarray  # each record's first sample
     cut: np.ndarray  # where each bucket's records begin
 
-    def messages(self) -> list[tuple[int, bytes]]:
-        return [(b, self.rows[self.cut[b] : self.cut[b + 1]].tobytes()) for b in range(len(self.cut) - 1) if self.cut[b] < self.cut[b + 1]]
-
     def repeated(self, told: list[tuple[int, bytes]]) -> np.ndarray:
         """Places of suffixes that an earlier one equals, in this block or (as told) in one before it."""
         earlier = np.zeros(len(self.rows), np.uint16)
@@ -286,9 +510,9 @@ def _isin(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
-def _rows(block: int, parts: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+def _rows(block: int, kind: int, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([block] * len(parts), pa.int64()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.int32()), pa.array([p[2] for p in parts], pa.binary())],
+        [pa.array([block] * len(parts), pa.int64()), pa.array([p[0] for p in parts], pa.int32()), pa.array([kind] * len(parts), pa.int32()), pa.array([p[1] for p in parts], pa.binary())],
         names=["block", "bucket", "kind", "data"],
     )
 
@@ -343,152 +567,79 @@ def pack_firsts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, PACKED)
 
 
-def repeated_names(packed: DataFrame, buckets: int) -> DataFrame:
-    """Messages to blocks: their sampled names that occur again, there or in other blocks."""
+def hot_grams(packed: DataFrame, most: int) -> np.ndarray:
+    """Grams with at least `most` places, counted in the blocks where they have `HOT_IN_BLOCK` or more."""
+    least = HOT_IN_BLOCK
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, lens, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                names, counts = np.unique(Block(lens, data).names(buckets)[1], return_counts=True)
-                parts = []
-                for kind, some in ((1, names[counts == 1]), (2, names[counts > 1])):
-                    cut = np.searchsorted(some >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-                    parts += [(b, kind, some[cut[b] : cut[b + 1]].astype(np.uint32).tobytes()) for b in range(buckets) if cut[b] < cut[b + 1]]
-                if parts:
-                    yield _rows(block, parts)
-
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        held = [np.frombuffer(d, dtype=np.uint32) for d in rows["data"]]
-        names, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = np.zeros(len(names), dtype=bool)
-        for kind, some in zip(rows["kind"], held, strict=True):
-            if kind == 2:
-                often[np.searchsorted(names, some)] = True
-        again = names[often | (counts > 1)]
-        rows["data"] = [some[_isin(some, again)].tobytes() for some in held]
-        rows["kind"] = 0
-        return rows[rows["data"].str.len() > 0]
-
-    return packed.select("block", "lens", "data").mapInArrow(name, MESSAGE).groupBy("bucket").applyInPandas(meet, MESSAGE)
+            for data in batch.column(0).to_pylist():
+                every = np.sort(Grams(np.zeros(0, np.uint64)).of(unpack(data)))
+                some = every[: max(0, len(every) - least + 1)][every[least - 1 :] == every[: max(0, len(every) - least + 1)]]
+                some = np.unique(some)
+                n = np.searchsorted(every, some, side="right") - np.searchsorted(every, some)
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
+    rows = packed.select("data").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= most)
+    return rows.select("gram").toPandas()["gram"].to_numpy(np.uint64)  # at most a number of bytes over `most`
 
-def _repeated(messages: pd.DataFrame) -> np.ndarray:
-    parts = [np.frombuffer(d, dtype=np.uint32).astype(np.uint64) | (np.uint64(b) << np.uint64(32)) for b, d in zip(messages["bucket"], messages["data"], strict=True)]
-    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
+def _told(messages: pd.DataFrame, kind: int) -> list[tuple[int, bytes]]:
+    mine = messages[messages["kind"] == kind]
+    return list(zip(mine["bucket"], mine["data"], strict=True))
 
-TIED = PACKED + ", tied binary"
-RANKED = TIED + ", ranks binary"
 
-
-def candidates(packed: DataFrame, names: DataFrame, buckets: int) -> DataFrame:
-    """Blocks, with a bit a byte that says which suffixes are candidates."""
-
-    def run(key: tuple, block: pd.DataFrame, messages: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for ids, lens, data in zip(block["ids"], block["lens"], block["data"], strict=True):
-            b = Block(lens, data)
-            tied = np.zeros(len(b.data), dtype=bool)
-            tied[b.ties(buckets, _repeated(messages))] = True
-            out.append((key[0], ids, lens, data, zstandard.ZstdCompressor(level=1).compress(np.packbits(tied).tobytes())))
-        return pd.DataFrame(out, columns=["block", "ids", "lens", "data", "tied"])
-
-    return packed.groupBy("block").cogroup(names.groupBy("block")).applyInPandas(run, TIED)
-
-
-def _samples(lens: np.ndarray, data: bytes, tied: bytes) -> Samples:
-    block = Block(lens, data)
-    return Samples(block, np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(tied), np.uint8), count=len(block.data)).astype(bool))
-
-
-def _told(messages: pd.DataFrame) -> list[tuple[int, bytes]]:
-    return list(zip(messages["bucket"], messages["data"], strict=True))
-
-
-def ranked_pieces(ties: DataFrame, buckets: int) -> DataFrame:
-    """Messages to blocks: the ranks of the pieces they sent, in their order."""
+def shared_grams(packed: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+    """Messages to blocks: which of the grams of their stretches more than one place has."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams(hot)
         for batch in batches:
-            for block, lens, data, tied in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if parts := [(b, 0, m) for b, m in _samples(lens, data, tied).piece_messages(buckets)]:
-                    yield _rows(block, parts)
-
-    def rank(rows: pd.DataFrame) -> pd.DataFrame:
-        held = [np.frombuffer(d, np.uint8).reshape(-1, PIECE_BYTES) for d in rows["data"]]
-        words = as_words(np.concatenate(held))
-        order = np.lexsort(words[::-1])  # by bytes
-        new = np.zeros(len(order), dtype=bool)
-        for w in words:
-            ranked = w[order]
-            new[1:] |= ranked[1:] != ranked[:-1]
-        ranks = np.empty(len(order), np.uint32)
-        ranks[order] = np.cumsum(new)
-        ends = np.cumsum([len(h) for h in held])
-        rows["data"] = [ranks[e - len(h) : e].tobytes() for h, e in zip(held, ends, strict=True)]
-        return rows
-
-    return ties.select("block", "lens", "data", "tied").mapInArrow(send, MESSAGE).groupBy("bucket").applyInPandas(rank, MESSAGE)
-
-
-def with_ranks(ties: DataFrame, ranks: DataFrame, buckets: int, kind: type) -> DataFrame:
-    """Blocks, with the rank of the piece at each place of one."""
-
-    def run(key: tuple, block: pd.DataFrame, messages: pd.DataFrame) -> pd.DataFrame:
-        squeeze = zstandard.ZstdCompressor(level=1)
-        block["ranks"] = [squeeze.compress(_samples(lens, data, tied).ranks(buckets, _told(messages), kind).tobytes()) for lens, data, tied in zip(block["lens"], block["data"], block["tied"], strict=True)]
-        return block
-
-    return ties.groupBy("block").cogroup(ranks.groupBy("block")).applyInPandas(run, RANKED)
+            for block, lens, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if parts := Stretches(Block(lens, data), grams, buckets).names():
+                    yield _rows(block, NAMES, parts)
 
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        rows["data"] = shared_names(list(rows["data"]))
+        return rows
 
-def _records(lens: np.ndarray, data: bytes, tied: bytes, ranks: bytes, buckets: int, kind: type, turn: tuple[int, int]) -> Records:
-    return _samples(lens, data, tied).records(np.frombuffer(zstandard.ZstdDecompressor().decompress(ranks), kind), buckets, turn)
+    return packed.select("block", "lens", "data").mapInArrow(send, MESSAGE).groupBy("bucket").applyInPandas(meet, MESSAGE)
 
 
-def settled(ranked: DataFrame, buckets: int, kind: type, turn: tuple[int, int]) -> DataFrame:
-    """Messages to blocks: of the records they sent to the buckets of a turn, a bit for each offset whose suffix a block before has."""
-    width = LINKS * np.dtype(kind).itemsize + 2 * SIDE + 2
+def sorted_buckets(packed: DataFrame, names: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+    """Messages to blocks: a bit for each suffix they sent that an earlier one equals."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, lens, data, tied, ranks in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if parts := [(b, 0, m) for b, m in _records(lens, data, tied, ranks, buckets, kind, turn).messages()]:
-                    yield _rows(block, parts)
+    def send(key: tuple, block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for lens, data in zip(block["lens"], block["data"], strict=True):
+            chosen = Stretches(Block(lens, data), Grams(hot), buckets).choose(_told(told, NAMES))
+            out += [(key[0], b, SUFFIXES, m) for b, m in chosen.messages()]
+        return pd.DataFrame(out, columns=["block", "bucket", "kind", "data"])
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        held = [np.frombuffer(d, np.uint8).reshape(-1, width) for d in rows["data"]]
-        owner = np.repeat(rows["block"].to_numpy(), [len(h) for h in held])
-        every = np.concatenate(held)
-        bits = np.zeros(len(every), np.uint16)
-        for d, mine, order, starts in equal_suffixes(every):
-            mine = mine[order]
-            first = np.repeat(np.minimum.reduceat(owner[mine], starts), np.diff(np.append(starts, len(order))))
-            bits[mine] |= (owner[mine] > first).astype(np.uint16) << np.uint16(d)
-        ends = np.cumsum([len(h) for h in held])
-        rows["data"] = [bits[e - len(h) : e].tobytes() for h, e in zip(held, ends, strict=True)]
+        rows = rows.sort_values("block")
+        rows["data"] = settled(list(rows["data"]), Grams(hot))
         return rows
 
-    return ranked.select("block", "lens", "data", "tied", "ranks").mapInArrow(send, MESSAGE).groupBy("bucket").applyInPandas(settle, MESSAGE)
+    sent = packed.select("block", "lens", "data").groupBy("block").cogroup(names.groupBy("block")).applyInPandas(send, MESSAGE)
+    return sent.groupBy("bucket").applyInPandas(settle, MESSAGE)
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def keep(ranked: DataFrame, messages: DataFrame, buckets: int, kind: type, with_text: bool = False) -> DataFrame:
+def keep(packed: DataFrame, messages: DataFrame, hot: np.ndarray, buckets: int, with_text: bool = False) -> DataFrame:
     """Per packed document: what is removed, and the hash (or also the bytes) of what stays."""
 
     def apply(key: tuple, block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for ids, lens, data, tied, ranks in zip(*(block[c] for c in ("ids", "lens", "data", "tied", "ranks")), strict=True):
+        for ids, lens, data in zip(*(block[c] for c in ("ids", "lens", "data")), strict=True):
             b = Block(lens, data)
-            edge = np.zeros(len(b.data) + 1, dtype=np.int32)
-            for r in range(ROUNDS):
-                mine = told[told["bucket"] % ROUNDS == r]
-                again = np.unique(_records(lens, data, tied, ranks, buckets, kind, (r, ROUNDS)).repeated(_told(mine)))
-                np.add.at(edge, again, 1)
-                np.add.at(edge, again + LENGTH, -1)
-            gone = np.cumsum(edge)[:-1] > 0
+            again = np.zeros(len(b.data) + LENGTH, dtype=np.int32)
+            chosen = Stretches(b, Grams(hot), buckets).choose(_told(told, NAMES))
+            again[chosen.repeated(_told(told, SUFFIXES)) + LENGTH] = 1
+            seen = np.cumsum(again, dtype=np.int32)
+            gone = seen[LENGTH:] > seen[:-LENGTH]
             for doc, s, n in zip(ids, b.start.tolist(), b.lens.tolist(), strict=True):
                 mine = gone[s : s + n]
                 left = b.data[s : s + n][~mine].tobytes()
@@ -496,7 +647,7 @@ def keep(ranked: DataFrame, messages: DataFrame, buckets: int, kind: type, with_
                 out.append((doc, n, int(mine.sum()), spans, hashlib.sha256(left).hexdigest(), *([left] if with_text else [])))
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
 
-    return ranked.groupBy("block").cogroup(messages.groupBy("block")).applyInPandas(apply, KEPT + ", kept binary" * with_text)
+    return packed.groupBy("block").cogroup(messages.groupBy("block")).applyInPandas(apply, KEPT + ", kept binary" * with_text)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -505,32 +656,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ws = Workspace(spark, "suffixes")
     keys = ws.save(text_keys(docs), "keys")
     total = keys.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(ROUNDS, total // BUCKET_BYTES)
+    buckets = max(MIN_BUCKETS, total // BUCKET_BYTES)
     packed = ws.save(pack_firsts(docs, keys), "packed", "none")
     ws.release()
-    names = ws.save(repeated_names(packed, buckets), "names", "none")
-    ws.release()
-    ties = ws.save(candidates(packed, names, buckets), "ties", "none")
-    for name in ("names", "packed"):
-        ws.drop(name)
+    hot = hot_grams(packed, max(HOT, total >> 20))
     ws.release()
-    ranks = ws.save(ranked_pieces(ties, buckets), "ranks")
+    names = ws.save(shared_grams(packed, hot, buckets), "names")
     ws.release()
-    kind = np.uint64 if total >= 1 << 32 else np.uint32  # a rank's number is below the number of samples, a third of the bytes
-    ranked = ws.save(with_ranks(ties, ranks, buckets, kind), "ranked", "none")
-    for name in ("ties", "ranks"):
-        ws.drop(name)
+    messages = names.unionByName(ws.save(sorted_buckets(packed, names, hot, buckets), "told"))
     ws.release()
-    messages = None
-    for r in range(ROUNDS):
-        told = ws.save(settled(ranked, buckets, kind, (r, ROUNDS)), f"round{r}")
-        messages = told if messages is None else messages.unionByName(told)
-        ws.release()
     plain = keys.where("sha is not null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), "copies")
     copies = F.when(F.col("repeats"), F.col("copies")).otherwise(F.col("copies") - 1)
     whole = keys.where("sha is null").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(EMPTY_SHA).alias("kept_sha256"), copies.alias("copies")).where("copies > 0")
     rows = plain.unionByName(whole).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy", "copies")
-    rows = rows.unionByName(keep(ranked, messages, buckets, kind))
+    rows = rows.unionByName(keep(packed, messages, hot, buckets))
     out = Workspace(spark, "repeats").save(rows.withColumn("doc_id", F.when(F.col("doc_id") != FIRST, F.col("doc_id"))), "rows")
     ws.clear()
     ws.release()

@@ -174,5 +174,47 @@ def test_equal_fingerprints_do_not_matter(monkeypatch):
     assert want == brute
 
 
+def around_a_passage(n):
+    """Texts that differ around the same passage."""
+    rng = random.Random(5)
+    passage = "".join(rng.choices("lmno ", k=300))
+    return [(i, "".join(rng.choices("abcdefgh ", k=rng.randrange(200, 300))) + passage + "".join(rng.choices("abcdefgh ", k=200)), "s") for i in range(n)]
+
+
+def test_repeats_do_not_depend_on_grams_with_many_places(spark, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "HOT", 4)
+    monkeypatch.setattr(suffixdedup, "HOT_IN_BLOCK", 2)
+    monkeypatch.setattr(suffixdedup, "BLOCK_BYTES", 6_000)
+    rows = [*around_a_passage(40), *[(100 + d, t, s) for d, t, s in repeating_texts(3)]]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.remove_repeats(documents(spark, rows)).collect()), key=str)
+    assert got == brute_repeats(rows)
+
+
+def test_ends_of_a_common_passage_do_not_meet_in_one_slice():
+    texts = [t.encode() for _, t, _ in around_a_passage(400)]
+    block = suffixdedup.Block(np.array([len(t) for t in texts]), np.frombuffer(b"".join(texts), np.uint8))
+    plain = suffixdedup.Grams(np.zeros(0, np.uint64))
+    places, often = np.unique(plain.of(block.data), return_counts=True)
+
+    def largest(grams):
+        stretches = suffixdedup.Stretches(block, grams, 16)
+        sent = stretches.choose(list(enumerate(suffixdedup.shared_names([m])[0] for _, m in stretches.names())))
+        return max(sum(len(t) for t in sent.texts[a:b]) for a, b in zip(sent.cut, sent.cut[1:], strict=False))
+
+    assert 5 * largest(suffixdedup.Grams(places[often >= 100])) < largest(plain)
+
+
+def test_suffixes_are_sent_as_text_they_share(spark):
+    """Near copies: what is shuffled stays a small multiple of the text."""
+    rng = random.Random(11)
+    bases = ["".join(rng.choices("abcdefghijklmnop ", k=4000)) for _ in range(50)]
+    rows = [(i, b[:k] + str(i) + b[k:], "s") for i, (b, k) in enumerate((rng.choice(bases), rng.randrange(4000)) for _ in range(1000))]
+    executors = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    before = executors().apply(0).totalShuffleWrite()
+    got = suffixdedup.remove_repeats(documents(spark, rows)).agg({"n_bytes": "sum", "n_removed": "sum"}).first()
+    assert got["sum(n_removed)"] > 0.9 * got["sum(n_bytes)"]
+    assert executors().apply(0).totalShuffleWrite() - before < 4 * got["sum(n_bytes)"]
+
+
 def test_no_documents_no_repeats(spark):
     assert suffixdedup.remove_repeats(documents(spark, EDGE).limit(0)).count() == 0
