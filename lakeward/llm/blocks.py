@@ -12,11 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .cluster import lean
+
 BLOCK_BYTES = 4 << 20
 PIECE = 1 << 18
 SPACE = np.zeros(256, dtype=bool)
@@ -107,14 +110,14 @@ SLICE_BYTES = 4 << 20
 def text_slices(batches: Iterator[pa.RecordBatch], text_col: int, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of record batches with a few megabytes of text (or one longer text) each, and their texts."""
     for batch in batches:
-        texts = texts_of(batch.column(text_col))
-        at = 0
-        while at < len(texts):
+        column, at = batch.column(text_col).cast(pa.binary()), 0
+        lens = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+        while at < len(lens):
             stop, held = at, 0
-            while stop < len(texts) and held < most:
-                held += len(texts[stop])
+            while stop < len(lens) and held < most:
+                held += lens[stop]
                 stop += 1
-            yield batch.slice(at, stop - at), texts[at:stop]
+            yield batch.slice(at, stop - at), texts_of(column.slice(at, stop - at))
             at = stop
 
 
@@ -165,7 +168,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_
         for block, rows, texts in blocks_of(batches, 1, block_bytes):
             yield packed_row(block, [i for r in rows for i in r.column(0).to_pylist()], texts)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PACKED)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), PACKED)
 
 
 def pack_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,7 +186,7 @@ def pack_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 out.write_table(rest)
             yield packed_row(block, whole.column("id").to_pylist(), texts, sink.getvalue().to_pybytes())
 
-    return rows.mapInArrow(run, PACKED + ", rest binary")
+    return rows.mapInArrow(lean(run), PACKED + ", rest binary")
 
 
 def unpack_rows(packed: DataFrame, schema: StructType, text_col: str = "text") -> DataFrame:
@@ -202,7 +205,7 @@ def unpack_rows(packed: DataFrame, schema: StructType, text_col: str = "text") -
                 stay[gone or []] = False
                 yield from pa.Table.from_arrays([*columns[:at], texts, *columns[at:]], names=schema.names).filter(pa.array(stay)).to_batches()
 
-    return packed.mapInArrow(run, schema)
+    return packed.mapInArrow(lean(run), schema)
 
 
 def unpack(data: bytes) -> np.ndarray:

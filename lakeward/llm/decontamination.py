@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import batch_words, shingle_fingerprints, texts_of
-from .cluster import Workspace, table
+from .cluster import Workspace, lean, table
 
 WORDS = 5
 SIMILAR = 0.75
@@ -285,7 +285,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 found = [(ids[i].as_py(), *leak) for i, leaks in _leaky(texts_of(batch.column(1)), items) for leak in leaks]
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in LEAKS.split(", ")])
 
-        last = texts.mapInArrow(run, LEAKS), remove
+        last = texts.mapInArrow(lean(run), LEAKS), remove
     out = last[0]
     for part in kept:
         out = out.unionByName(part)
@@ -322,7 +322,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 stay[[i for i, _ in _leaky(texts_of(batch.column(place)), items)]] = False
                 yield batch.filter(pa.array(stay))
 
-        docs, last = docs.mapInArrow(run, schema), remove
+        docs, last = docs.mapInArrow(lean(run), schema), remove
     return docs
 
 

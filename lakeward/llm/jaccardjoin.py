@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import pack, pack_rows, shingle_fingerprints, unpack, unpack_rows, word_fingerprints
-from .cluster import Workspace, table
+from .cluster import Workspace, lean, table
 
 SHARE = 3, 4  # the similarity 0.75
 LIGHT_MOST = 24
@@ -109,7 +109,7 @@ def shingle_sets(packed: DataFrame) -> DataFrame:
                     names=["node", "doc", "n", "sig"],
                 )
 
-    return packed.mapInArrow(run, SETS)
+    return packed.mapInArrow(lean(run), SETS)
 
 
 def shared_shingles(packed: DataFrame, buckets: int) -> DataFrame:
@@ -149,7 +149,7 @@ def shared_shingles(packed: DataFrame, buckets: int) -> DataFrame:
                 out.append((block, bucket, 0, mine[many].tobytes() + df[many].astype(np.uint32).tobytes()))
         return pd.DataFrame(out, columns=["block", "bucket", "kind", "data"])
 
-    return packed.select("block", "lens", "data").mapInArrow(name, MESSAGE).groupBy("bucket").applyInPandas(meet, MESSAGE)
+    return packed.select("block", "lens", "data").mapInArrow(lean(name), MESSAGE).groupBy("bucket").applyInPandas(meet, MESSAGE)
 
 
 def head_messages(heads: DataFrame) -> DataFrame:
@@ -256,15 +256,15 @@ def star_edges(members: DataFrame) -> DataFrame:
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return rows.select("pivot", "node", "n", "m", "held", "top").mapInArrow(run, "a long, b long")
+    return rows.select("pivot", "node", "n", "m", "held", "top").mapInArrow(lean(run), "a long, b long")
 
 
-def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """node, label: the smallest (doc, node) reachable by edges (a, b), for each row of `nodes` (node, doc)."""
-    both = ws.save(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
+def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame, ws: Workspace, name: str, rows: int | None = None) -> DataFrame:
+    """node, label: the smallest (doc, node) reachable by edges (a, b), for each row of `nodes` (node, doc), which are about `rows`."""
+    both = ws.save(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges", rows=rows)
     own = F.struct("doc", "node")
     touched = both.select(F.col("a").alias("node")).distinct()
-    labels = ws.save(nodes.select("node", own.alias("label")).join(touched, "node"), f"{name}-0")
+    labels = ws.save(nodes.select("node", own.alias("label")).join(touched, "node"), f"{name}-0", rows=rows)
     turn = 0
     while True:
         turn += 1
@@ -272,7 +272,7 @@ def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame, ws: Work
         stepped = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "theirs").alias("next"))
         jumps = labels.select(F.col("node").alias("j"), F.col("label").alias("far"))
         moved = stepped.join(jumps, F.col("next.node") == F.col("j"), "left").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("moved"))
-        labels = ws.save(moved, f"{name}-{turn}")
+        labels = ws.save(moved, f"{name}-{turn}", rows=rows)
         if turn > 1:
             ws.drop(f"{name}-{turn - 2}")
         if not labels.where("moved").limit(1).count():
@@ -282,11 +282,11 @@ def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame, ws: Work
     return labels.select("node", "label").unionByName(rest)
 
 
-def scan_edges(members: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame:
+def scan_edges(members: DataFrame, labels: DataFrame, ws: Workspace, total: int | None = None) -> DataFrame:
     """Links found by members outside their group's main component, each scanning the lists of all other members."""
     mark = labels.select("node", F.col("label.node").alias("comp"))
     tops = mark.select(F.col("node").alias("pivot"), F.col("comp").alias("main"))
-    rows = ws.save(members.select("pivot", "node").join(mark, "node").join(tops, "pivot").withColumn("out", F.col("comp") != F.col("main")), "members")
+    rows = ws.save(members.select("pivot", "node").join(mark, "node").join(tops, "pivot").withColumn("out", F.col("comp") != F.col("main")), "members", rows=total)
     sizes = rows.groupBy("pivot").agg(F.count("*").alias("g"), F.sum(F.col("out").cast("long")).alias("u")).where("u > 0")
     sizes = sizes.select("pivot", F.ceil(F.col("g") / CHUNK).cast("int").alias("gs"), F.ceil(F.col("u") / CHUNK).cast("int").alias("us"))
     split = rows.join(sizes, "pivot").withColumn("h", F.xxhash64("node"))
@@ -341,27 +341,28 @@ class Joined:
 def join_nodes(packed: DataFrame, ws: Workspace) -> Joined:
     """Components of the texts of `packed`, which stays as it is."""
     spark = packed.sparkSession
-    total = packed.agg(F.coalesce(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("n")).first()["n"]
+    texts = F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)
+    total, rows = packed.agg(F.coalesce(F.sum(texts), F.lit(0)), F.coalesce(F.sum(F.size("lens")), F.lit(0))).first()
     buckets = max(2, total // BUCKET_BYTES)
     sets = ws.save(shingle_sets(packed), "sets", "none")
     messages = ws.save(shared_shingles(packed, buckets), "messages", "none")
     ws.release()
     # Classes of equal sets, each held by its smallest (doc, node).
-    classes = ws.save(sets.where("n > 0").groupBy("sig").agg(F.min(F.struct("doc", "node")).alias("head")).select("sig", F.col("head.doc").alias("doc"), F.col("head.node").alias("node")), "classes", "none")
+    classes = ws.save(sets.where("n > 0").groupBy("sig").agg(F.min(F.struct("doc", "node")).alias("head")).select("sig", F.col("head.doc").alias("doc"), F.col("head.node").alias("node")), "classes", "none", rows)
     heads = classes.select("node", "doc")
     heavy = ws.save(rare_prefixes(packed, messages.unionByName(head_messages(heads)), buckets), "heavy", "none")
     ws.drop("messages")
     ws.release()
     most = boundary(heavy)
-    members = ws.save(groups(heavy, most), "groups", "none")
-    edges = ws.save(light_edges(heavy, most).unionByName(star_edges(members)), "edges")
-    active = ws.save(heavy.select("node").join(heads, "node"), "active")
+    members = ws.save(groups(heavy, most), "groups", "none", rows)
+    edges = ws.save(light_edges(heavy, most).unionByName(star_edges(members)), "edges", rows=rows)
+    active = ws.save(heavy.select("node").join(heads, "node"), "active", rows=rows)
     ws.drop("heavy")
     ws.release()
-    labels = components(spark, active, edges, ws, "first")
-    found = ws.save(scan_edges(members, labels, ws), "found")
+    labels = components(spark, active, edges, ws, "first", rows)
+    found = ws.save(scan_edges(members, labels, ws, rows), "found")
     ws.drop("groups")
-    labels = components(spark, active, edges.unionByName(found), ws, "last")
+    labels = components(spark, active, edges.unionByName(found), ws, "last", rows)
     own = F.struct("doc", classes["node"])
     return Joined(sets, classes.join(labels.withColumnRenamed("node", "at"), classes["node"] == F.col("at"), "left").select("sig", F.coalesce("label", own).alias("smallest")))
 

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import SPACE, span_table, texts_of
-from .cluster import Workspace, parts_for, table
+from .blocks import SPACE, span_table, text_slices
+from .cluster import Workspace, lean, parts_for, table
 
 FRAME = 1024
 PERCENT = 95
@@ -353,8 +353,8 @@ def encode_sorted(docs: DataFrame, vocabulary: str, segment_bytes: int = SEGMENT
             values = [part, seq, docs, lens.tolist(), len(ids), pack_frames(ids)]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds, strict=True)], names=["part", "seq", "ids", "lens", "n_ids", "data"])
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+        for rows, found in text_slices(batches, 1):
+            for doc, text in zip(rows.column(0).to_pylist(), found, strict=True):
                 docs.append(doc)
                 texts.append(text)
                 held += len(text) + 1
@@ -364,7 +364,7 @@ def encode_sorted(docs: DataFrame, vocabulary: str, segment_bytes: int = SEGMENT
         if docs:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SEGMENTS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), SEGMENTS)
 
 
 def write_files(docs: DataFrame, vocabulary: str, path: str) -> None:
@@ -391,7 +391,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                     names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    read = segments.select("part", "seq", "ids", "lens", "data").mapInArrow(run, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    read = segments.select("part", "seq", "ids", "lens", "data").mapInArrow(lean(run), "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
     sizes = segments.select("part", "seq", "n_ids")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_at"))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import LOWER, mix, span_table, text_slices
-from .cluster import Workspace, table
+from .cluster import Workspace, lean, table
 
 SAMPLE = 12_000
 FEATURES = 3_000
@@ -194,7 +194,7 @@ def _train(sample: DataFrame, totals: np.ndarray, ws: Workspace) -> Chain | None
             kinds, n = np.unique(np.column_stack([once[:, 0], own[once[:, 1]], toxic[once[:, 1]]]), axis=0, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(kinds[:, 0])), pa.array(kinds[:, 1].astype(np.int32)), pa.array(kinds[:, 2].astype(bool)), pa.array(n)], names=["feature", "fold", "toxic", "n"])
 
-    found = sample.select("text", F.col("toxic").cast("long"), "fold").mapInArrow(frequencies, "feature long, fold int, toxic boolean, n long")
+    found = sample.select("text", F.col("toxic").cast("long"), "fold").mapInArrow(lean(frequencies), "feature long, fold int, toxic boolean, n long")
     count = lambda t, f: F.coalesce(F.sum(F.when((F.col("toxic") == t) & (F.col("fold") == f), F.col("n"))), F.lit(0)).alias(f"{'bad' if t else 'good'}{f}")
     table_ = ws.save(found.groupBy("feature").agg(*[count(t, f) for t in (True, False) for f in range(FOLDS)]), "features")
     sums = lambda kind, out: sum((F.col(f"{kind}{f}") for f in range(FOLDS) if f != out), F.lit(0))
@@ -208,7 +208,7 @@ def _train(sample: DataFrame, totals: np.ndarray, ws: Workspace) -> Chain | None
             x = np.column_stack([c.columns(*features) for c in chains])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "toxic", "quality", "fold", "x"])
 
-    rows = sample.select("doc_id", "text", F.col("toxic").cast("long"), F.col("quality").cast("long"), "fold").mapInArrow(vectors, "doc_id long, toxic long, quality long, fold int, x array<double>").collect()
+    rows = sample.select("doc_id", "text", F.col("toxic").cast("long"), F.col("quality").cast("long"), "fold").mapInArrow(lean(vectors), "doc_id long, toxic long, quality long, fold int, x array<double>").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     toxic, quality = (np.array([r[c] > 0 for r in rows], dtype=np.float64) for c in ("toxic", "quality"))
     x, *within = np.split(np.array([r["x"] for r in rows]), FOLDS + 1, axis=1)
@@ -230,7 +230,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             p = shared.value.predict(shared.value.columns(*hashed_features(texts)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in p.T], pa.array(p[:, -1] >= shared.value.threshold)], names=["doc_id", *[f"p_{c}" for c in CHAIN], "rejected"])
 
-    return ids.mapInArrow(run, "doc_id long, " + ", ".join(f"p_{c} double" for c in CHAIN) + ", rejected boolean")
+    return ids.mapInArrow(lean(run), "doc_id long, " + ", ".join(f"p_{c} double" for c in CHAIN) + ", rejected boolean")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
@@ -248,7 +248,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None =
             p = shared.value.predict(shared.value.columns(*hashed_features(texts)))
             yield batch.filter(pa.array(p[:, -1] < shared.value.threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
