@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 from ..operators import deletes as dl
 from ..operators.files import DATA, EQUALITY_DELETES, POSITION_DELETES, partition_key
 from .literals import parse_literal
+from .stitch import stitch
 from .store import Conflict, Store, spark_path
 
 ENTRIES = (
@@ -264,17 +265,37 @@ class Warehouse:
         out = g.join(parts, "path").withColumns({"content": F.lit(content), "seq": F.lit(seq).cast("long"), "spec_id": F.lit(0), "eq_columns": F.lit(None).cast("array<string>"), "referenced": F.lit(None).cast("string")})
         return out.withColumn("part", part_text(F.col("part_values")))
 
-    def write_data(self, table: Table, rows: DataFrame, row_group_bytes: int | None = None) -> list[str]:
+    def write_data(self, table: Table, rows: DataFrame, row_group_bytes: int | None = None, files: int | None = None) -> list[str]:
         """Write rows as data files, a folder per partition; partition columns stay in the files.
 
         Row groups are as large as the argument or the table asks, else 128 MiB.
+        With `files`, a partition has no more than so many, in the order of the rows.
         """
         folder = f"{table.key}/data/{uuid.uuid4().hex}"
         parts = table.meta["partition"]
         writer = rows.withColumns({f"__p_{c}": F.col(c) for c in parts}).write if parts else rows.write
         writer = writer.option("parquet.block.size", row_group_bytes or int(table.meta["properties"].get("write.parquet.row-group-size-bytes", ROW_GROUP)))
         (writer.partitionBy(*[f"__p_{c}" for c in parts]) if parts else writer).parquet(self.store.at(folder))
-        return [p for p, _, _ in self.store.walk(folder) if p.endswith(".parquet")]
+        return self.joined([p for p, _, _ in self.store.walk(folder) if p.endswith(".parquet")], files)
+
+    def joined(self, paths: list[str], files: int | None = 1) -> list[str]:
+        """Files of the same rows, no more than `files` in each folder: neighbours become one; all stay as they are without `files`."""
+        folders: dict[str, list[str]] = {}
+        for p in paths:
+            folders.setdefault(p.rsplit("/", 1)[0], []).append(p)
+        out, groups = [], []
+        for folder, own in folders.items():
+            if files is None or len(own) <= files:
+                out += own
+                continue
+            name = uuid.uuid4().hex
+            groups += [(f"{folder}/part-{i:05}-{name}.parquet", own[i * len(own) // files : (i + 1) * len(own) // files]) for i in range(files)]
+        stitch(self.spark, groups)
+        for target, pieces in groups:
+            out.append(target)
+            for p in pieces:
+                self.store.delete_path(p)
+        return out
 
     def append(self, ident: tuple[str, str], rows: DataFrame, summary: dict | None = None, at_ms: int | None = None, sort_files: int | None = None) -> Table:
         """Commit rows as a new snapshot.
