@@ -345,11 +345,13 @@ class Warehouse:
         """Commit a delete file: (file_path, pos) rows, or rows of the equality columns, of one partition or all."""
         table = self.load(ident)
         folder = f"{table.key}/data/deletes-{uuid.uuid4().hex}"
-        deletes.coalesce(1).write.parquet(self.store.at(folder))
+        deletes.write.parquet(self.store.at(folder))
+        self.joined([p for p, _, _ in self.store.walk(folder) if p.endswith(".parquet")])
         files = [(p, n) for p, n, _ in self.store.walk(folder) if p.endswith(".parquet")]
+        count = self.spark.read.schema(deletes.schema).parquet(*[p for p, _ in files]).count()
 
         def change(t: Table) -> dict:
-            rows = [(p, EQUALITY_DELETES if eq_columns else POSITION_DELETES, n, deletes.count(), part_values_ or {}, t.meta["last_seq"] + 1, eq_columns) for p, n in files]
+            rows = [(p, EQUALITY_DELETES if eq_columns else POSITION_DELETES, n, count, part_values_ or {}, t.meta["last_seq"] + 1, eq_columns) for p, n in files]
             e = self.spark.createDataFrame(rows, "path string, content int, file_bytes long, record_count long, part_values map<string,string>, seq long, eq_columns array<string>")
             empty = F.lit(None)
             e = e.withColumns({"spec_id": F.lit(0), "value_counts": empty.cast("map<string,long>"), "null_counts": empty.cast("map<string,long>"), "lower": empty.cast("map<string,string>"), "upper": empty.cast("map<string,string>"), "referenced": empty.cast("string"), "part": part_text(F.col("part_values"))})

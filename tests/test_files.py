@@ -53,6 +53,16 @@ def test_hot_and_single_partitions_become_one_file(wh):
     assert len(live(wh)) == 3
 
 
+def test_deletes_of_many_tasks_are_one_file_and_a_rewrite_leaves_one_a_partition(wh):
+    t = fill(wh)
+    rows, before = t.read_files([e["path"] for e in live(wh)]), rows_of(t.scan().where("id % 97 <> 0"))
+    wh.delete_rows(T, rows.repartition(4).where("id % 97 = 0").select(F.col("__path").alias("file_path"), F.col("__pos").alias("pos")))
+    gone = [e for e in live(wh) if e["content"] == 1]
+    assert [e["record_count"] for e in gone] == [24] and rows_of(wh.load(T).scan()) == before
+    mt.rewrite(wh, T, lambda table, data: data, "rewrite_deletes", target=max(e["file_bytes"] for e in live(wh)))
+    assert len(live(wh)) == 3 and rows_of(wh.load(T).scan()) == before
+
+
 def test_joined_files_hold_all_rows_and_positions(wh):
     rows = wh.spark.range(0, 5000, 1, 5).select("id", F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("s"), F.array("id").alias("a"), (F.col("id") % 2 == 0).alias("b"))
     rows.write.option("parquet.block.size", 4096).option("parquet.bloom.filter.enabled#id", "true").parquet(wh.store.at("x"))
