@@ -253,12 +253,17 @@ class Warehouse:
         return table.meta | {"snapshots": [*table.meta["snapshots"], s], "current": snapshot_id, "last_seq": s["seq"], "commit_log": log}
 
     def entries_of(self, table: Table, paths: list[str], seq: int, content: int = DATA) -> DataFrame:
-        """Entries of written files: sizes, counts and bounds from one aggregate over them."""
+        """Entries of written files: sizes, counts and bounds from one aggregate over them.
+
+        Bounds of texts alone would make Spark sort all rows by their file;
+        with an object among the aggregates it hashes them, a group a file.
+        """
         columns = [f.name for f in table.schema if f.dataType.typeName() not in ("array", "map", "struct", "binary")]
         rows = self.spark.read.schema(table.schema).parquet(*paths)
+        none = F.size(F.collect_list(F.lit(None).cast("int")))  # 0; the object that lets Spark hash
         as_map = lambda f: F.create_map(*[x for c in columns for x in (F.lit(c), f(F.col(c)))]) if columns else F.lit(None)
         g = rows.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("file_bytes")).agg(
-            F.count("*").alias("record_count"), as_map(lambda c: F.count("*")).alias("value_counts"), as_map(lambda c: F.count_if(c.isNull())).alias("null_counts"),
+            (F.count("*") + none).alias("record_count"), as_map(lambda c: F.count("*")).alias("value_counts"), as_map(lambda c: F.count_if(c.isNull())).alias("null_counts"),
             as_map(lambda c: F.min(c).cast("string")).alias("lower"), as_map(lambda c: F.max(c).cast("string")).alias("upper"),
         )
         parts = self.spark.createDataFrame([(p, part_values(p)) for p in paths], "path string, part_values map<string,string>")

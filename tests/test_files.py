@@ -63,6 +63,14 @@ def test_deletes_of_many_tasks_are_one_file_and_a_rewrite_leaves_one_a_partition
     assert len(live(wh)) == 3 and rows_of(wh.load(T).scan()) == before
 
 
+def test_entries_are_hashed_not_sorted(wh):
+    t = fill(wh)
+    out = wh.entries_of(t, [e["path"] for e in live(wh)], 1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan
+    assert {(e["path"], e["record_count"], e["lower"]["s"], e["upper"]["s"]) for e in live(wh)} == {(r["path"], r["record_count"], r["lower"]["s"], r["upper"]["s"]) for r in out.collect()}
+
+
 def test_joined_files_hold_all_rows_and_positions(wh):
     rows = wh.spark.range(0, 5000, 1, 5).select("id", F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("s"), F.array("id").alias("a"), (F.col("id") % 2 == 0).alias("b"))
     rows.write.option("parquet.block.size", 4096).option("parquet.bloom.filter.enabled#id", "true").parquet(wh.store.at("x"))
