@@ -141,7 +141,8 @@ def phys_import(spark, d):
     wh = warehouse(spark)
     source = wh.store.at("source")
     rows = read(spark, d, "lineitem").select(*COLUMNS)
-    rows.withColumn("__p_l_returnflag", F.col("l_returnflag")).repartition(1).write.partitionBy("__p_l_returnflag").parquet(source)
+    rows.withColumn("__p_l_returnflag", F.col("l_returnflag")).write.partitionBy("__p_l_returnflag").parquet(source)
+    wh.joined([p for p, _, _ in wh.store.walk("source") if p.endswith(".parquet")])
     return per_flag(wh.import_folder(IDENT, source, ["l_returnflag"]))
 
 

@@ -71,6 +71,14 @@ def test_entries_are_hashed_not_sorted(wh):
     assert {(e["path"], e["record_count"], e["lower"]["s"], e["upper"]["s"]) for e in live(wh)} == {(r["path"], r["record_count"], r["lower"]["s"], r["upper"]["s"]) for r in out.collect()}
 
 
+def test_an_import_is_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    (spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").repartition(3).write.parquet(str(tmp_path / "lineitem.parquet")))
+    seen, joined = [], Warehouse.joined
+    monkeypatch.setattr(Warehouse, "joined", lambda self, paths, files=1: seen.append(len(paths)) or joined(self, paths, files))
+    got = physical.phys_import(spark, str(tmp_path)).collect()
+    assert seen[0] > 3 and {(r["l_returnflag"], r["files"]) for r in got} == {("A", 1), ("N", 1), ("R", 1)}
+
+
 def test_joined_files_hold_all_rows_and_positions(wh):
     rows = wh.spark.range(0, 5000, 1, 5).select("id", F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("s"), F.array("id").alias("a"), (F.col("id") % 2 == 0).alias("b"))
     rows.write.option("parquet.block.size", 4096).option("parquet.bloom.filter.enabled#id", "true").parquet(wh.store.at("x"))
