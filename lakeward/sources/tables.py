@@ -303,7 +303,7 @@ class Warehouse:
         return out
 
     def append(self, ident: tuple[str, str], rows: DataFrame, summary: dict | None = None, at_ms: int | None = None, sort_files: int | None = None) -> Table:
-        """Commit rows as a new snapshot.
+        """Commit rows as a new snapshot, with no more than `sort_files` files a partition.
 
         With a query_id and a batch_id (a number that grows) in `summary`, a
         batch up to the last one of its query is not committed again.
@@ -312,7 +312,7 @@ class Warehouse:
         if committed(table, summary):
             return table
         rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in table.schema])
-        paths = self.write_data(table, rows.coalesce(sort_files) if sort_files else rows)
+        paths = self.write_data(table, rows, files=sort_files)
         return self.add_files(ident, paths, summary, at_ms)
 
     def staged_entries(self, table: Table, paths: list[str]) -> DataFrame | None:

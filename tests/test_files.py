@@ -63,6 +63,13 @@ def test_deletes_of_many_tasks_are_one_file_and_a_rewrite_leaves_one_a_partition
     assert len(live(wh)) == 3 and rows_of(wh.load(T).scan()) == before
 
 
+def test_an_append_of_one_file_is_written_by_all_tasks(wh):
+    rows = wh.spark.range(0, 400, 1, 4).select("id", F.spark_partition_id().alias("task"), (F.col("id") % 2).alias("flag"))
+    wh.create(T, rows.schema, ["flag"])
+    wh.append(T, rows, sort_files=1)
+    assert len(live(wh)) == 2 and wh.load(T).scan().select("task").distinct().count() == 4
+
+
 def test_entries_are_hashed_not_sorted(wh):
     t = fill(wh)
     out = wh.entries_of(t, [e["path"] for e in live(wh)], 1)
